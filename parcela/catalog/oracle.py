@@ -111,7 +111,7 @@ def _listing_columns() -> str:
       CAST(1 + o_custkey % 6 AS DOUBLE) AS ROOMS, CAST(o_orderkey % 30 AS DOUBLE) AS FLOOR,
       {_case('o_orderkey % 21', PROPERTY_LABELS)} AS PROPERTY_TYPE, {_case('1 + o_orderkey % 3', OPERATION_LABELS)} AS OPERATION_TYPE,
       CAST(1 + o_orderkey % 6 AS DOUBLE) AS STRATUM, CAST(1 + o_custkey % 5 AS DOUBLE) AS BEDROOMS,
-      ' Listing' || chr(10) || chr(10) || ' of ' || o_orderpriority || chr(8203) AS DESCRIPTION,
+      ' Listing' || chr(10) || chr(10) || ' of' || chr(160) || o_orderpriority || chr(8203) AS DESCRIPTION,
       '{LINK_PREFIX}/listing/' || o_orderkey AS LINK"""
 
 
@@ -130,7 +130,7 @@ FIELD_LIST = ", ".join(FEATURES)
 
 
 def _wide(v: str) -> str:
-    return f"list_transform({v}, x -> CAST(x AS DOUBLE))"
+    return f"CAST({v} AS DOUBLE[])"
 
 
 def _histogram(column: str, bins: str) -> str:
@@ -165,7 +165,7 @@ ORACLE: dict[str, str] = {
     "scan_points": f"WITH {POINTS} SELECT row_id, PRICE, PROPERTY_TYPE FROM points",
     "project_fields": _on_listings("SELECT row_id, PRICE, AREA, ROOMS, BATHROOMS, LINK, PROPERTY_TYPE FROM listings"),
     "select_features": _on_listings(f"SELECT {FIELD_LIST} FROM listings"),
-    "decode_labels": f"""SELECT p_partkey, p_size AS property_type_id, p_size % 4 AS operation_type_id, p_size % 7 AS antiquity,
+    "decode_labels": f"""SELECT p_partkey, p_size AS property_type_id, p_size % 4 AS operation_type_id, p_size % 7 AS antiquity_id,
       {_case('p_size', PROPERTY_LABELS)} AS PROPERTY_TYPE, {_case('p_size % 4', OPERATION_LABELS)} AS OPERATION_TYPE,
       {_case('p_size % 7', ANTIQUITY_LABELS)} AS ANTIQUITY FROM part""",
     "stamp_batch": "SELECT o_orderkey, o_orderdate AS scraped_at, strftime(o_orderdate, '%Y-%m-%d_%H-%M-%S') AS batch_id FROM orders",
@@ -227,11 +227,12 @@ ORACLE: dict[str, str] = {
       FROM asked a""",
     "compare_signatures": """WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS timestamp, event_type AS property,
         CASE WHEN user_id % 2 = 0 THEN 'Arriendo' ELSE 'Venta' END AS operation, COUNT(*) AS total_properties,
-        ROUND(AVG(value), 6) AS mean_price, ROUND(COUNT(*) FILTER (WHERE value > 1) * 100.0 / COUNT(*), 6) AS success_rate
+        AVG(value) AS mean_price, COUNT(*) FILTER (WHERE value > 1) * 100.0 / COUNT(*) AS success_rate
         FROM events GROUP BY 1, 2, 3)
-      SELECT *, LAG(timestamp) OVER w AS previous_timestamp, total_properties - LAG(total_properties) OVER w AS total_properties_change,
-        ROUND(mean_price - LAG(mean_price) OVER w, 5) AS mean_price_change,
-        ROUND(success_rate - LAG(success_rate) OVER w, 5) AS success_rate_change
+      SELECT timestamp, property, operation, total_properties, ROUND(mean_price, 6) AS mean_price, ROUND(success_rate, 6) AS success_rate,
+        LAG(timestamp) OVER w AS previous_timestamp, total_properties - LAG(total_properties) OVER w AS total_properties_change,
+        ROUND(mean_price - LAG(mean_price) OVER w, 6) AS mean_price_change,
+        ROUND(success_rate - LAG(success_rate) OVER w, 6) AS success_rate_change
       FROM d WINDOW w AS (PARTITION BY operation, property ORDER BY timestamp)""",
     "row_counts": _on_listings("SELECT OPERATION_TYPE, COUNT(*) AS total, COUNT(*) FILTER (WHERE PROPERTY_TYPE = 'Casa') AS matching FROM listings GROUP BY 1"),
     "distinct_values": _on_listings("SELECT DISTINCT PROPERTY_TYPE FROM listings"),
@@ -272,9 +273,10 @@ ORACLE: dict[str, str] = {
       SELECT vec_id, ROUND(list_dot_product(a, b), 6) AS dot, ROUND(list_cosine_similarity(a, b), 6) AS cosine,
         ROUND(SQRT(list_dot_product(a, a)), 6) AS norm FROM o WHERE b IS NOT NULL""",
     "validate_vectors": """SELECT COUNT(*) AS total, COUNT(*) - COUNT(embedding) AS missing, COUNT(*) FILTER (WHERE len(embedding) <> 64) AS wrong_width,
-      COUNT(*) FILTER (WHERE len(list_filter(embedding, x -> x IS NULL)) > 0) AS null_entries,
-      COUNT(*) FILTER (WHERE len(list_filter(embedding, x -> x <> 0)) = 0) AS all_zero,
-      COUNT(*) FILTER (WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x <> 0)) > 0) AS valid FROM embeddings""",
+      COUNT(*) FILTER (WHERE list_aggregate(embedding, 'count') < len(embedding)) AS null_entries,
+      COUNT(*) FILTER (WHERE list_aggregate(embedding, 'max') = 0 AND list_aggregate(embedding, 'min') = 0) AS all_zero,
+      COUNT(*) FILTER (WHERE len(embedding) = 64 AND list_aggregate(embedding, 'count') = 64
+        AND NOT (list_aggregate(embedding, 'max') = 0 AND list_aggregate(embedding, 'min') = 0)) AS valid FROM embeddings""",
     "flatten_vectors": "SELECT vec_id, CAST(len(embedding) AS INT) AS width, CAST(embedding[1] AS DOUBLE) AS first_value FROM embeddings",
     "normalize_texts": f"SELECT doc_id, trim(regexp_replace(text, '{BLANKS}', ' ', 'g'), ' ') AS text FROM documents",
     "listing_ids": f"SELECT page_id, {_uuid('url')} AS _id FROM pages",

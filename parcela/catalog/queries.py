@@ -150,8 +150,8 @@ def select_features(spark, sf):
 def decode_labels(spark, sf):
     codes = table(spark, sf, "part").select(
         "p_partkey", F.col("p_size").alias("property_type_id"),
-        (F.col("p_size") % 4).alias("operation_type_id"), (F.col("p_size") % 7).alias("antiquity"))
-    return filters.decode_labels(codes)
+        (F.col("p_size") % 4).alias("operation_type_id"), (F.col("p_size") % 7).alias("antiquity_id"))
+    return filters.decode_labels(codes, antiquity="antiquity_id")
 
 
 @query
@@ -317,10 +317,10 @@ def compare_signatures(spark, sf):
         F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), F.col("event_type").alias("property"),
         F.when(F.col("user_id") % 2 == 0, "Arriendo").otherwise("Venta").alias("operation"),
     ).agg(
-        F.count("*").alias("total_properties"), F.round(F.avg("value"), 6).alias("mean_price"),
-        F.round(F.count_if(F.col("value") > 1) * 100.0 / F.count("*"), 6).alias("success_rate"),
+        F.count("*").alias("total_properties"), F.avg("value").alias("mean_price"),
+        (F.count_if(F.col("value") > 1) * 100.0 / F.count("*")).alias("success_rate"),
     )
-    return rounded(stats.compare_signatures(daily), 5, "mean_price_change", "success_rate_change")
+    return rounded(stats.compare_signatures(daily), 6, "mean_price", "success_rate", "mean_price_change", "success_rate_change")
 
 
 @query
@@ -600,7 +600,7 @@ def target_scores(spark, sf):
 
 def _trained(kind):
     def run(spark, sf):
-        return models.train_price_model(listings(spark, sf), kind, key="row_id", params=QUICK[kind]).metrics
+        return models.train_price_model(clean_listings(listings(spark, sf)), kind, key="row_id", params=QUICK[kind]).metrics
 
     run.__name__ = f"train_{kind}"
     return run
@@ -613,7 +613,7 @@ for _kind in QUICK:
 @query
 def search_parameters(spark, sf):
     space = {"regParam": ("log", 1e-4, 10.0), "elasticNetParam": ("float", 0.1, 0.9)}
-    done = models.train_price_model(listings(spark, sf), "elastic_net", key="row_id", trials=3, folds=3, space=space)
+    done = models.train_price_model(clean_listings(listings(spark, sf)), "elastic_net", key="row_id", trials=3, folds=3, space=space)
     return done.metrics.withColumn("params", F.lit(repr(sorted(done.params.items()))))
 
 
@@ -621,7 +621,7 @@ def search_parameters(spark, sf):
 def score_prices(spark, sf):
     rows = listings(spark, sf)
     root = scratch(spark, "models")
-    models.save_model(models.train_price_model(rows, "elastic_net", key="row_id", params=QUICK["elastic_net"]), root)
+    models.save_model(models.train_price_model(clean_listings(rows), "elastic_net", key="row_id", params=QUICK["elastic_net"]), root)
     version, model = models.load_latest(spark, root)
     scored = models.score_prices(model, models.prepare_scoring_input(rows))
     return scored.select("row_id", "predicted_price", F.lit(version).alias("version"))

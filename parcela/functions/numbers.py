@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed pattern: what counts as a number in text. Spark's own cast also takes
 # a type suffix ("12d"), which must become null here.
@@ -43,19 +43,24 @@ _CDF_BOTTOM = [
 ]
 
 
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function, about 14 correct digits."""
-    a = F.abs(z)
-    density = F.exp(-a * a / F.lit(2.0))
-    tail_far = a + F.lit(0.65)
+def with_normal_cdf(df: DataFrame, z: str, output: str) -> DataFrame:
+    """Add the standard normal distribution function of ``z``, about 14 correct
+    digits. Repeated terms are columns of their own, so that the generated code
+    stays small enough to be compiled."""
+    rows = df.withColumn("_a", F.abs(F.col(z).cast("double")))
+    rows = rows.withColumn("_d", F.exp(-F.col("_a") * F.col("_a") / F.lit(2.0)))
+    a, density = F.col("_a"), F.col("_d")
+    tail = a + F.lit(0.65)
     for k in (4.0, 3.0, 2.0, 1.0):
-        tail_far = a + F.lit(k) / tail_far
-    upper = (
+        tail = a + F.lit(k) / tail
+    rows = rows.withColumn(
+        "_u",
         F.when(a > 37.0, F.lit(0.0))
         .when(a < 7.07106781186547, density * _horner(a, _CDF_TOP) / _horner(a, _CDF_BOTTOM))
-        .otherwise(density / tail_far / F.lit(2.506628274631))
+        .otherwise(density / tail / F.lit(2.506628274631)),
     )
-    return F.when(z > 0.0, F.lit(1.0) - upper).otherwise(upper)
+    upper = F.col("_u")
+    return rows.withColumn(output, F.when(F.col(z) > 0.0, F.lit(1.0) - upper).otherwise(upper)).drop("_a", "_d", "_u")
 
 
 # Wichura's algorithm AS 241 (PPND16), "The percentage points of
@@ -86,14 +91,19 @@ _PPF_TAIL = (
 )
 
 
-def normal_ppf(p: Column) -> Column:
-    """Inverse of normal_cdf for 0 < p < 1."""
-    q = p - F.lit(0.5)
-    centre_arg = F.lit(0.180625) - q * q
-    centre = q * _horner(centre_arg, _PPF_CENTRE[0]) / _horner(centre_arg, _PPF_CENTRE[1])
-    r = F.sqrt(-F.ln(F.when(q < 0.0, p).otherwise(F.lit(1.0) - p)))
-    near, far = r - F.lit(1.6), r - F.lit(5.0)
-    tail = F.when(
-        r <= 5.0, _horner(near, _PPF_MIDDLE[0]) / _horner(near, _PPF_MIDDLE[1])
-    ).otherwise(_horner(far, _PPF_TAIL[0]) / _horner(far, _PPF_TAIL[1]))
-    return F.when(F.abs(q) <= 0.425, centre).otherwise(F.when(q < 0.0, -tail).otherwise(tail))
+def with_normal_ppf(df: DataFrame, p: str, output: str) -> DataFrame:
+    """Add the inverse of the normal distribution function, null unless 0 < p < 1."""
+    inner = F.when((F.col(p) > 0.0) & (F.col(p) < 1.0), F.col(p))
+    rows = df.withColumns({"_q": inner - F.lit(0.5), "_t": F.least(inner, F.lit(1.0) - inner)})
+    q = F.col("_q")
+    rows = rows.withColumns({"_c": F.lit(0.180625) - q * q, "_r": F.sqrt(-F.ln("_t"))})
+    rows = rows.withColumns({"_m": F.col("_r") - F.lit(1.6), "_f": F.col("_r") - F.lit(5.0)})
+    ratio = lambda c, k: _horner(F.col(c), k[0]) / _horner(F.col(c), k[1])
+    rows = rows.withColumn(
+        "_s",
+        F.when(F.abs(q) <= 0.425, F.abs(q) * ratio("_c", _PPF_CENTRE))
+        .when(F.col("_r") <= 5.0, ratio("_m", _PPF_MIDDLE))
+        .otherwise(ratio("_f", _PPF_TAIL)),
+    )
+    signed = F.when(q < 0.0, -F.col("_s")).otherwise(F.col("_s"))
+    return rows.withColumn(output, signed).drop("_q", "_t", "_c", "_r", "_m", "_f", "_s")

@@ -13,7 +13,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numbers import normal_cdf, normal_ppf
+from ..functions.numbers import with_normal_cdf, with_normal_ppf
 from ..schema import FeatureSpec
 from .quantiles import one_row_quantiles
 
@@ -185,14 +185,14 @@ class NumericScalerModel(Model, _Stored):
 
 def feature_stages(spec: FeatureSpec = FeatureSpec(), output: str = "features") -> list:
     """Stages from raw columns to one feature vector. Categories not seen at fit
-    (and nulls) become all zeros."""
+    (and nulls) become all zeros: they share the last index, which is dropped."""
     indexed = [f"{c}_index" for c in spec.categorical]
     encoded = [f"{c}_onehot" for c in spec.categorical]
-    return [
-        NumericScaler(columns=spec.numeric),
+    scaler = [NumericScaler(columns=spec.numeric)] if spec.numeric else []
+    return scaler + [
         StringIndexer(inputCols=list(spec.categorical), outputCols=indexed,
                       handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True, handleInvalid="keep"),
+        OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
         VectorAssembler(inputCols=[f"{c}_scaled" for c in spec.numeric] + encoded, outputCol=output),
     ]
 
@@ -277,9 +277,13 @@ class TargetTransformModel(Model, _Stored):
             at = lambda values, i: F.element_at(
                 _table(values), F.greatest(F.lit(1), F.least(i, F.lit(len(knots)))))
             slot = F.col("_slot").cast("int")
-            low, high = at(knots, slot), at(knots, slot + 1)
-            low_first, low_final = at(first.values(), slot), at(final.values(), slot)
-            high_first = at(first.values(), slot + 1)
+            rows = rows.withColumns({
+                "_low": at(knots, slot), "_high": at(knots, slot + 1),
+                "_first": at(first.values(), slot), "_final": at(final.values(), slot),
+                "_next": at(first.values(), slot + 1),
+            })
+            low, high, low_first, low_final, high_first = (
+                F.col(c) for c in ("_low", "_high", "_first", "_final", "_next"))
             between = (F.col("_v") - low) / F.nullif(high - low, F.lit(0.0))
             share = (
                 F.when(F.col("_v") < knots[0] + _END, 0.0)
@@ -288,18 +292,19 @@ class TargetTransformModel(Model, _Stored):
                 .otherwise(low_final + between * (high_first - low_final))
             )
         rows = rows.withColumn("_p", F.when(F.col("_v").isNotNull(), share))
-        inner = F.when((F.col("_p") > 0.0) & (F.col("_p") < 1.0), F.col("_p"))
+        rows = with_normal_ppf(rows, "_p", "_z")
         score = (
             F.when(F.col("_p") <= 0.0, _LOWEST).when(F.col("_p") >= 1.0, _HIGHEST)
-            .otherwise(F.greatest(F.lit(_LOWEST), F.least(normal_ppf(inner), F.lit(_HIGHEST))))
+            .otherwise(F.greatest(F.lit(_LOWEST), F.least("_z", F.lit(_HIGHEST))))
         )
-        return rows.withColumn(self.get("outputCol"), score).drop("_v", "_p", "_slot")
+        score = F.when(F.col("_p").isNotNull(), score)
+        return rows.withColumn(self.get("outputCol"), score).drop("_v", "_p", "_z", "_slot", "_low", "_high", "_first", "_final", "_next")
 
     def inverse(self, dataset: DataFrame, column: str, output: str) -> DataFrame:
         """Back from normal scores to the target's unit (the cap stays)."""
         levels, last = self.get("levels"), len(self.get("levels")) - 1
         table = _table(levels)
-        rows = dataset.withColumn("_p", normal_cdf(F.col(column).cast("double")))
+        rows = with_normal_cdf(dataset, column, "_p")
         position = F.col("_p") * last
         slot = F.greatest(F.lit(0), F.least(F.floor(position).cast("int"), F.lit(last - 1)))
         low, high = F.element_at(table, slot + 1), F.element_at(table, slot + 2)

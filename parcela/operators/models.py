@@ -12,8 +12,9 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import to_number
 from ..schema import FeatureSpec
 from ..session import materialize
 from .features import TargetInverse, TargetTransform, feature_pipeline, hash_split
@@ -155,12 +156,18 @@ def train_price_model(df: DataFrame, kind: str = "xgboost", spec: FeatureSpec =
     """Filter, split, prepare, search (unless ``params`` are given), fit and
     evaluate. ``metrics`` holds one row for the training set and one for the
     test set, in the unit of the target."""
-    rows = training_rows(df, spec, order, keep=[key])
+    # Read by every fit below, so what made ``df`` is not computed again each time.
+    rows = materialize(training_rows(df, spec, order, keep=[key]), "training")
     train, test = hash_split(rows, key, test_share, seed)
     features = feature_pipeline(spec).fit(train)
     target = TargetTransform(inputCol=spec.target).fit(train)
+    # A target of -1 or less has no logarithm; such a row cannot be learnt from.
+    # Filtered on the raw column: a filter on the label would be pushed below the
+    # transform and carry its whole expression along.
+    learnable = train.filter(F.col(spec.target) > -1.0)
     # Every trial and every tree level reads this table again.
-    prepared = materialize(target.transform(features.transform(train)).select(key, "features", "label"), "prepared")
+    labelled = target.transform(features.transform(learnable)).select(key, "features", "label")
+    prepared = materialize(labelled, "prepared")
     if params is None:
         params = random_search(prepared, kind, trials, folds, seed, key=key, space=space).params
     fitted = make_regressor(kind, params, seed=seed).fit(prepared)
@@ -189,6 +196,14 @@ REQUIRED_INPUT = {
 OPTIONAL_INPUT = {"BUILT_AREA": 0.0, "PRIVATE_AREA": 0.0, "FLOOR": 0.0, "GARAGE": 0.0}
 
 
+def _typed(c: str, kind: str) -> Column:
+    if kind == "string":
+        return F.col(c).cast("string")
+    number = to_number(c)
+    # A whole number may arrive as 3, 3.0 or text; 3.5 is no whole number.
+    return F.when(number == F.floor(number), number.try_cast("int")) if kind == "int" else number
+
+
 def prepare_scoring_input(df: DataFrame, fill_null: bool = True) -> DataFrame:
     """Give a scoring table its types and defaults. Absent optional fields
     become 0 (nulls too, unless ``fill_null`` is off); rows that lack a required
@@ -196,13 +211,12 @@ def prepare_scoring_input(df: DataFrame, fill_null: bool = True) -> DataFrame:
     absent = [c for c in REQUIRED_INPUT if c not in df.columns]
     if absent:
         raise ValueError(f"scoring input lacks {absent}")
-    typed = {c: F.col(c).try_cast(kind) for c, kind in REQUIRED_INPUT.items()}
+    typed = {c: _typed(c, kind) for c, kind in REQUIRED_INPUT.items()}
     for c, default in OPTIONAL_INPUT.items():
         if c not in df.columns:
             typed[c] = F.lit(default)
         else:
-            value = F.col(c).try_cast("double")
-            typed[c] = F.coalesce(value, F.lit(default)) if fill_null else value
+            typed[c] = F.coalesce(to_number(c), F.lit(default)) if fill_null else to_number(c)
     return df.withColumns(typed).na.drop(subset=list(REQUIRED_INPUT))
 
 

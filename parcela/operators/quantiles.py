@@ -64,7 +64,7 @@ def quantiles(
     if method not in ("hash", "approx"):
         raise ValueError(f"unknown quantile method {method!r}")
 
-    at = F.array(*[F.lit(p) for p in probs])
+    at = _constants(probs)
     pick = F.percentile if method == "hash" else (lambda c, p: F.percentile_approx(c, p, 10_000))
     wide = values.groupBy(*by).agg(
         *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
@@ -102,13 +102,18 @@ def _log_cell(v: Column) -> Column:
     return F.when(v == 0.0, F.lit(0)).when(v > 0.0, cell).otherwise(-cell).cast("bigint")
 
 
+def _constants(probs: list[float]) -> Column:
+    """The probabilities as one constant array, however many there are."""
+    return F.split(F.lit(",".join(map(repr, probs))), ",").cast("array<double>")
+
+
 def _ranks(total: Column, probs: list[float]) -> Column:
     """Zero-based ranks needed for the quantiles of ``total`` values."""
-    wanted = []
-    for p in probs:
-        position = (total - 1) * F.lit(p)
-        wanted += [F.floor(position), F.ceil(position)]
-    return F.array_distinct(F.array(*[w.cast("bigint") for w in wanted]))
+    def neighbours(p: Column) -> Column:
+        position = (total - 1) * p
+        return F.array(F.floor(position), F.ceil(position))
+
+    return F.array_distinct(F.flatten(F.transform(_constants(probs), neighbours)))
 
 
 def _by_cells(values: DataFrame, columns: list[str], probs: list[float], by: list[str]) -> DataFrame:
@@ -168,14 +173,14 @@ def _by_cells(values: DataFrame, columns: list[str], probs: list[float], by: lis
     found = at_rank.groupBy(*group, "total").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("value_at")
     )
-    results = []
-    for p in probs:
-        position = (F.col("total") - 1) * F.lit(p)
+
+    def between(p: Column) -> Column:
+        position = (F.col("total") - 1) * p
         low, high = F.floor(position), F.ceil(position)
-        a = F.element_at("value_at", low.cast("bigint"))
-        b = F.element_at("value_at", high.cast("bigint"))
-        results.append(F.when(low == high, a).otherwise((high - position) * a + (position - low) * b))
-    return found.select(*group, F.col("total").alias("n"), F.array(*results).alias("quantiles"))
+        a, b = F.element_at("value_at", low), F.element_at("value_at", high)
+        return F.when(low == high, a).otherwise((high - position) * a + (position - low) * b)
+
+    return found.select(*group, F.col("total").alias("n"), F.transform(_constants(probs), between).alias("quantiles"))
 
 
 def _holding_ranks(counted: DataFrame, probs: list[float]) -> DataFrame:
