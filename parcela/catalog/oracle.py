@@ -245,7 +245,7 @@ ORACLE: dict[str, str] = {
       c AS (SELECT (SELECT COUNT(*) FROM listings) AS a, (SELECT COUNT(*) FROM filled WHERE {GOOD_TRAINING} AND """
         + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES) + ") AS b) SELECT a - b AS removed, ROUND((a - b) * 100.0 / a, 6) AS removed_pct FROM c"),
     "histogram": _histogram("PRICE", "20"),
-    "histogram_auto": _histogram("AREA", "CEIL((hi - lo) / LEAST((hi - lo) / (log2(n) + 1), 2 * (q3 - q1) / pow(n, 1 / 3.0)))"),
+    "histogram_auto": _histogram("AREA", "CEIL((hi - lo) / LEAST((hi - lo) / (log2(n) + 1), GREATEST(2 * (q3 - q1) / pow(n, 1 / 3.0), (hi - lo) / sqrt(n) / 2)))"),
     "log_quantiles": _on_listings("""SELECT PROPERTY_TYPE, COUNT(*) AS count, ROUND(MIN(LN(PRICE)), 6) AS min, ROUND(quantile_cont(LN(PRICE), 0.25), 6) AS q1,
       ROUND(quantile_cont(LN(PRICE), 0.5), 6) AS median, ROUND(quantile_cont(LN(PRICE), 0.75), 6) AS q3, ROUND(MAX(LN(PRICE)), 6) AS max
       FROM listings WHERE PRICE > 0 GROUP BY 1"""),
@@ -264,7 +264,7 @@ ORACLE: dict[str, str] = {
     "vector_topk_batch": f"""WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS row_id,
         list_cosine_similarity({_wide('p.embedding')}, {_wide('q.embedding')}) AS score FROM embeddings q CROSS JOIN embeddings p),
       r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM s)
-      SELECT query_id, CAST(rank AS INT) AS rank, ROUND(score, 5) AS score FROM r WHERE rank <= 5""",
+      SELECT query_id, row_id, CAST(rank AS INT) AS rank, ROUND(score, 5) AS score FROM r WHERE rank <= 5""",
     "filtered_first": _on_listings("SELECT row_id, PRICE, AREA FROM listings WHERE PROPERTY_TYPE = 'Apartamento' AND PRICE <= 20000000 ORDER BY row_id LIMIT 10"),
     "first_points": "SELECT vec_id AS row_id FROM embeddings ORDER BY vec_id LIMIT 3",
     "extreme_rows": _on_listings("""SELECT OPERATION_TYPE, MIN(PRICE) AS min_value, arg_min(row_id, (PRICE, row_id)) AS min_id,

@@ -455,7 +455,7 @@ def vector_topk_ranges(spark, sf):
 def vector_topk_batch(spark, sf):
     rows = points(spark, sf)
     asked = rows.select(F.col("row_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return rounded(search.vector_topk_batch(rows, asked, 5, id_col="row_id"), 5, "score").select("query_id", "rank", "score")
+    return rounded(search.vector_topk_batch(rows, asked, 5, id_col="row_id"), 5, "score")
 
 
 @query

@@ -22,8 +22,7 @@ def norm(a: Column | str) -> Column:
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity; null if a vector is all zeros."""
-    size = norm(a) * norm(b)
-    return F.when(size > 0.0, dot(a, b) / size)
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def flat_vector(c: Column | str) -> Column:

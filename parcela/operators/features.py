@@ -263,7 +263,9 @@ class TargetTransformModel(Model, _Stored):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         levels, last = self.get("levels"), len(self.get("levels")) - 1
-        v = F.log1p(F.least(F.col(self.get("inputCol")).cast("double"), F.lit(self.get("cap")[0])))
+        raw, cap = F.col(self.get("inputCol")).cast("double"), F.lit(self.get("cap")[0])
+        # Not least(): that would turn a missing target into the cap.
+        v = F.log1p(F.when(raw > cap, cap).otherwise(raw))
         # Repeated quantiles become one knot that spans several probabilities.
         knots = sorted(set(levels))
         first = {x: levels.index(x) / last for x in knots}

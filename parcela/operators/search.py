@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
@@ -12,7 +13,7 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.vectors import cosine, dot, vector_literal
+from ..functions.vectors import dot, norm, vector_literal
 from ..session import materialize
 
 # Queries answered together in one pass over the listings.
@@ -21,12 +22,17 @@ QUERIES_PER_PASS = 1024
 SCORES_AT_ONCE = 2_000_000
 
 
-def similarity(metric: str, a: Column | str, b: Column | str) -> Column:
-    if metric == "cosine":
-        return cosine(a, b)
+def similarity(metric: str, vector: Column | str, query: Sequence[float]) -> Column:
+    """Score of a vector column against one query. The query's length is taken
+    out here, so a row costs two passes over its vector."""
     if metric == "dot":
-        return dot(a, b)
-    raise ValueError(f"unknown metric {metric!r}")
+        return dot(vector, vector_literal(query))
+    if metric != "cosine":
+        raise ValueError(f"unknown metric {metric!r}")
+    length = math.sqrt(sum(x * x for x in query))
+    if length == 0.0:
+        return F.lit(None).cast("double")
+    return F.try_divide(dot(vector, vector_literal([x / length for x in query])), norm(vector))
 
 
 def vector_topk(df: DataFrame, query: Sequence[float], k: int = 10, vector: str = "embedding",
@@ -35,7 +41,7 @@ def vector_topk(df: DataFrame, query: Sequence[float], k: int = 10, vector: str
     ``df`` first; vectors of another width than the query do not compete."""
     query = [float(x) for x in query]
     scored = df.filter(F.size(vector) == len(query)).withColumn(
-        "score", similarity(metric, F.col(vector), vector_literal(query))
+        "score", similarity(metric, vector, query)
     )
     return scored.orderBy(F.desc_nulls_last("score"), F.asc(id_col)).limit(k)
 
@@ -144,10 +150,15 @@ def vector_topk_lsh(df: DataFrame, query: Sequence[float], k: int = 10, vector:
     from pyspark.ml.linalg import Vectors
 
     query = [float(x) for x in query]
-    length = sum(x * x for x in query) ** 0.5
-    usable = df.filter((F.size(vector) == len(query)) & (dot(vector, vector) > 0.0))
-    inverse = F.lit(1.0) / F.sqrt(dot(vector, vector))
-    unit = usable.withColumn("_unit", array_to_vector(F.transform(vector, lambda x: x.cast("double") * inverse)))
+    length = math.sqrt(sum(x * x for x in query))
+    if length == 0.0:
+        return vector_topk(df, query, k, vector, id_col)
+    right = F.size(vector) == len(query)
+    usable = df.filter(right & (dot(vector, vector) > 0.0))
+    # Spark may evaluate the hash before the filter, so it must take any row.
+    scale = F.coalesce(F.try_divide(F.lit(1.0), norm(vector)), F.lit(0.0))
+    scaled = F.when(right, F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)) * scale))
+    unit = usable.withColumn("_unit", array_to_vector(F.coalesce(scaled, vector_literal([0.0] * len(query)))))
     model = BucketedRandomProjectionLSH(
         inputCol="_unit", outputCol="_hashes", numHashTables=tables, bucketLength=bucket_length, seed=42
     ).fit(unit)

@@ -158,9 +158,12 @@ def auto_bins(rows: DataFrame, lo: float, hi: float, n: int) -> int:
     if hi == lo:
         return 1
     row = quantiles(rows, ["v"], [0.25, 0.75]).first()
-    sturges = (hi - lo) / (math.log2(n) + 1.0)
+    spread = hi - lo
+    sturges = spread / (math.log2(n) + 1.0)
     freedman = 2.0 * (row["quantiles"][1] - row["quantiles"][0]) / n ** (1.0 / 3.0)
-    return max(1, math.ceil((hi - lo) / (min(sturges, freedman) if freedman > 0 else sturges)))
+    # No finer than twice the square-root rule, whatever the quartiles say.
+    width = min(max(freedman, spread / math.sqrt(n) / 2.0), sturges)
+    return max(1, math.ceil(spread / width))
 
 
 def log_quantiles(df: DataFrame, category: str, price: str = "PRICE", method: str = "auto") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -27,12 +28,21 @@ def local_session(cores: int | str = 8, app: str = "parcela", memory: str = "8g"
     return builder.getOrCreate()
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder, named in spark.checkpoint.dir."""
+    """The shared scratch folder the cluster names in spark.checkpoint.dir. Only
+    a local session without that setting gets a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return path.rstrip("/")
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="parcela-")
+    return _local_dirs[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
