@@ -17,7 +17,7 @@ from ..plans.clean import clean_listings
 from ..plans.end_to_end import JobConfig, run_end_to_end
 from ..plans.ingest import ingest_listings
 from ..schema import CAPPED_FIELDS, FeatureSpec
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources import pages, sinks, tables
 from ..streaming.ingest import start_ingest, stream_pages
 
@@ -504,7 +504,7 @@ def flatten_vectors(spark, sf):
 
 @query
 def normalize_texts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", normalize_text("text").alias("text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", normalize_text("text").alias("text"))
 
 
 @query

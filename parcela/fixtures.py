@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 LISTINGS_SQL = """
 SELECT o_orderkey AS row_id,
   'Portal ' || o_orderstatus AS SOURCE,
-  CAST(o_custkey AS VARCHAR(20)) AS WEB_PROPERTY_CODE,
+  CAST(o_custkey AS STRING) AS WEB_PROPERTY_CODE,
   o_orderdate AS scraped_at,
   CASE WHEN o_orderkey % 97 = 0 THEN -o_totalprice WHEN o_orderkey % 89 = 0 THEN NULL
        ELSE o_totalprice * 60 END AS PRICE,
@@ -34,7 +34,7 @@ SELECT o_orderkey AS row_id,
   CASE o_custkey % 6 WHEN 1 THEN 'Menor a 1 año' WHEN 2 THEN 'De 1 a 8 años' WHEN 3 THEN 'De 9 a 15 años'
        WHEN 4 THEN 'De 16 a 30 años' WHEN 5 THEN 'Más de 30 años' ELSE NULL END AS ANTIQUITY,
   CASE WHEN o_orderkey % 5 = 0 THEN 'www.ficnaraiz.example/' WHEN o_orderkey % 5 = 1 THEN 'https://ficnaraiz.example/'
-       ELSE 'https://fincaraiz.example/' END || CAST(o_orderkey AS VARCHAR(20)) AS LINK
+       ELSE 'https://fincaraiz.example/' END || CAST(o_orderkey AS STRING) AS LINK
 FROM {orders}
 """
 

@@ -11,6 +11,7 @@ from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import normalize_text
+from ..session import spread
 
 DEFAULT_WIDTH = 256
 TEXTS_PER_BATCH = 8
@@ -26,6 +27,7 @@ def embed_text(df: DataFrame, text: str = "DESCRIPTION", output: str = "embeddin
     into ``width`` buckets and the counts scaled to length one: no model file
     and the same vector everywhere, but only word overlap counts.
     """
+    df = spread(df)
     clean = F.coalesce(normalize_text(text), F.lit(""))
     if make_model is not None:
         run = predict_batch_udf(make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)

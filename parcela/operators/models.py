@@ -18,7 +18,7 @@ from ..functions import to_number
 from ..schema import FeatureSpec
 from ..session import materialize
 from .features import TargetInverse, TargetTransform, feature_pipeline, hash_split
-from .filters import training_rows
+from .filters import drop_incomplete, training_rows
 from .quantiles import quantiles
 from .stats import regression_metrics
 
@@ -217,7 +217,7 @@ def prepare_scoring_input(df: DataFrame, fill_null: bool = True) -> DataFrame:
             typed[c] = F.lit(default)
         else:
             typed[c] = F.coalesce(to_number(c), F.lit(default)) if fill_null else to_number(c)
-    return df.withColumns(typed).na.drop(subset=list(REQUIRED_INPUT))
+    return drop_incomplete(df.withColumns(typed), list(REQUIRED_INPUT))
 
 
 def _folder(spark: SparkSession, path: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -153,8 +154,6 @@ def histogram(df: DataFrame, column: str, bins: int | str = "auto") -> DataFrame
 
 def auto_bins(rows: DataFrame, lo: float, hi: float, n: int) -> int:
     """Number of bins for the values in column ``v``."""
-    import math
-
     if hi == lo:
         return 1
     row = quantiles(rows, ["v"], [0.25, 0.75]).first()

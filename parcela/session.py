@@ -83,3 +83,19 @@ def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     names = [f.split()[0] for f in schema.split(",")]
     table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)})
     return spark.createDataFrame(table).to(spark.createDataFrame([], schema).schema)
+
+
+# Input estimate up to which spreading rows over the cores is cheap.
+SPREAD_LIMIT_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a small input among all cores before costly work per row.
+
+    A table in one small file is read by one task. Larger inputs arrive in many
+    partitions anyway and are left alone: shuffling them would cost more.
+    """
+    size = estimated_bytes(df)
+    if size is None or size > SPREAD_LIMIT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

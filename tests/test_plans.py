@@ -44,3 +44,9 @@ def test_aggregates_are_reduced_before_the_shuffle(spark, sf):
 def test_metrics_need_no_join(spark, sf):
     df = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_extendedprice AS y_true", "l_extendedprice * l_tax AS y_pred")
     assert "Join" not in plan_of(stats.regression_metrics(df))
+
+
+def test_null_checks_reach_the_scan(spark, sf):
+    df = filters.drop_incomplete(spark.read.parquet(f"{sf}/customer.parquet"), ["c_acctbal", "c_mktsegment"])
+    plan = plan_of(df)
+    assert "IsNotNull(c_acctbal)" in plan and "IsNotNull(c_mktsegment)" in plan
