@@ -269,9 +269,9 @@ ORACLE: dict[str, str] = {
     "first_points": "SELECT vec_id AS row_id FROM embeddings ORDER BY vec_id LIMIT 3",
     "extreme_rows": _on_listings("""SELECT OPERATION_TYPE, MIN(PRICE) AS min_value, arg_min(row_id, (PRICE, row_id)) AS min_id,
       MAX(PRICE) AS max_value, arg_max(row_id, (PRICE, row_id)) AS max_id FROM listings WHERE PRICE IS NOT NULL GROUP BY 1"""),
-    "vector_math": f"""WITH o AS (SELECT vec_id, {_wide('embedding')} AS a, {_wide('LAG(embedding) OVER (PARTITION BY label ORDER BY vec_id)')} AS b FROM embeddings)
+    "vector_math": f"""WITH o AS (SELECT vec_id, {_wide('embedding')} AS a, {_wide('list_reverse(embedding)')} AS b FROM embeddings)
       SELECT vec_id, ROUND(list_dot_product(a, b), 6) AS dot, ROUND(list_cosine_similarity(a, b), 6) AS cosine,
-        ROUND(SQRT(list_dot_product(a, a)), 6) AS norm FROM o WHERE b IS NOT NULL""",
+        ROUND(SQRT(list_dot_product(a, a)), 6) AS norm FROM o""",
     "validate_vectors": """SELECT COUNT(*) AS total, COUNT(*) - COUNT(embedding) AS missing, COUNT(*) FILTER (WHERE len(embedding) <> 64) AS wrong_width,
       COUNT(*) FILTER (WHERE list_aggregate(embedding, 'count') < len(embedding)) AS null_entries,
       COUNT(*) FILTER (WHERE list_aggregate(embedding, 'max') = 0 AND list_aggregate(embedding, 'min') = 0) AS all_zero,

@@ -17,7 +17,7 @@ from ..plans.clean import clean_listings
 from ..plans.end_to_end import JobConfig, run_end_to_end
 from ..plans.ingest import ingest_listings
 from ..schema import CAPPED_FIELDS, FeatureSpec
-from ..session import shared_dir, spread
+from ..session import materialize, shared_dir, spread
 from ..sources import pages, sinks, tables
 from ..streaming.ingest import start_ingest, stream_pages
 
@@ -481,9 +481,8 @@ def extreme_rows(spark, sf):
 
 @query
 def vector_math(spark, sf):
-    first = Window.partitionBy("label").orderBy("vec_id")
-    rows = table(spark, sf, "embeddings").withColumn("other", F.lag("embedding").over(first))
-    return rows.filter("other IS NOT NULL").select(
+    rows = table(spark, sf, "embeddings").withColumn("other", F.reverse("embedding"))
+    return rows.select(
         "vec_id", F.round(dot("embedding", "other"), 6).alias("dot"),
         F.round(cosine("embedding", "other"), 6).alias("cosine"), F.round(norm("embedding"), 6).alias("norm"))
 
@@ -598,9 +597,14 @@ def target_scores(spark, sf):
     return features.TargetTransform().fit(rows).transform(rows).select("row_id", "label")
 
 
+def _cleaned(spark, sf):
+    """Training reads a stored, cleaned table, as in the end-to-end job."""
+    return materialize(clean_listings(listings(spark, sf)), "cleaned")
+
+
 def _trained(kind):
     def run(spark, sf):
-        return models.train_price_model(clean_listings(listings(spark, sf)), kind, key="row_id", params=QUICK[kind]).metrics
+        return models.train_price_model(_cleaned(spark, sf), kind, key="row_id", params=QUICK[kind]).metrics
 
     run.__name__ = f"train_{kind}"
     return run
@@ -613,7 +617,7 @@ for _kind in QUICK:
 @query
 def search_parameters(spark, sf):
     space = {"regParam": ("log", 1e-4, 10.0), "elasticNetParam": ("float", 0.1, 0.9)}
-    done = models.train_price_model(clean_listings(listings(spark, sf)), "elastic_net", key="row_id", trials=3, folds=3, space=space)
+    done = models.train_price_model(_cleaned(spark, sf), "elastic_net", key="row_id", trials=3, folds=3, space=space)
     return done.metrics.withColumn("params", F.lit(repr(sorted(done.params.items()))))
 
 
@@ -621,7 +625,7 @@ def search_parameters(spark, sf):
 def score_prices(spark, sf):
     rows = listings(spark, sf)
     root = scratch(spark, "models")
-    models.save_model(models.train_price_model(clean_listings(rows), "elastic_net", key="row_id", params=QUICK["elastic_net"]), root)
+    models.save_model(models.train_price_model(_cleaned(spark, sf), "elastic_net", key="row_id", params=QUICK["elastic_net"]), root)
     version, model = models.load_latest(spark, root)
     scored = models.score_prices(model, models.prepare_scoring_input(rows))
     return scored.select("row_id", "predicted_price", F.lit(version).alias("version"))

@@ -82,7 +82,8 @@ def cap_with(df: DataFrame, wide: DataFrame, columns: Sequence[str], by: Sequenc
     """Negatives become 0, then values above the group's limit become the limit."""
     joined = _with_limits(df, wide, by)
     capped = {
-        c: F.when(_raised(c) > F.col(f"_limit_{c}"), F.col(f"_limit_{c}")).otherwise(_raised(c))
+        # least() and greatest() skip nulls, so a missing value is kept apart.
+        c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.lit(0.0)), F.col(f"_limit_{c}")))
         for c in columns
     }
     return joined.withColumns(capped).select(*df.columns)

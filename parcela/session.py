@@ -95,7 +95,7 @@ def spread(df: DataFrame) -> DataFrame:
     A table in one small file is read by one task. Larger inputs arrive in many
     partitions anyway and are left alone: shuffling them would cost more.
     """
-    size = estimated_bytes(df)
+    size = None if df.isStreaming else estimated_bytes(df)
     if size is None or size > SPREAD_LIMIT_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
