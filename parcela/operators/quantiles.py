@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import estimated_bytes, small_or_stored
 
 # Input estimate up to which one aggregation buffer is known to be fine.
-HASH_LIMIT_BYTES = 32 << 20
+HASH_LIMIT_BYTES = 8 << 20
 
 CELLS_PER_OCTAVE = 256
 SPLIT = 1 << 14
