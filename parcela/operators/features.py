@@ -216,6 +216,10 @@ _LOWEST = NormalDist().inv_cdf(_END - 2.220446049250313e-16)
 _HIGHEST = NormalDist().inv_cdf(1.0 - (_END - 2.220446049250313e-16))
 
 
+# Rows up to which the target's quantiles are exact (fixed value).
+EXACT_ROWS = 10_000
+
+
 def _table(values: Sequence[float]) -> Column:
     """A constant array; the optimizer folds it to one literal."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
@@ -241,9 +245,13 @@ class TargetTransform(Estimator, _Stored):
         rows = dataset.select(F.col(c).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
         cap = one_row_quantiles(rows, ["v"], [self.get("percentile") / 100.0])["v"][0]
         logs = rows.select(F.log1p(F.least("v", F.lit(cap))).alias("v"))
-        knots = max(2, min(self.get("knots"), logs.count()))
+        count = logs.count()
+        knots = max(2, min(self.get("knots"), count))
         points = [i / (knots - 1) for i in range(knots)]
-        levels = one_row_quantiles(logs, ["v"], points)["v"]
+        # A thousand exact quantiles are costly on many rows. Beyond EXACT_ROWS a
+        # sketch takes over: its ranks are right to one in ten thousand.
+        method = "auto" if count <= EXACT_ROWS else "approx"
+        levels = one_row_quantiles(logs, ["v"], points, method)["v"]
         for i in range(1, knots):
             levels[i] = max(levels[i], levels[i - 1])
         return TargetTransformModel(inputCol=c, outputCol=self.get("outputCol"), cap=[cap], levels=levels)

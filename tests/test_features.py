@@ -117,3 +117,15 @@ def test_split_does_not_depend_on_partitions(spark):
     again, _ = features.hash_split(df.repartition(13), "id")
     assert sorted(r[0] for r in train.collect()) == sorted(r[0] for r in again.collect())
     assert train.count() + test.count() == 5000 and 900 < test.count() < 1100
+
+
+def test_target_scores_from_a_sketch(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    y = rng.lognormal(13, 1, 4000)
+    df = materialize(spark.createDataFrame(pd.DataFrame({"i": range(4000), "PRICE": y})))
+    monkeypatch.setattr(features, "EXACT_ROWS", 100)
+    model = features.TargetTransform().fit(df)
+    out = model.inverse(model.transform(df), "label", "back").orderBy("i").toPandas()
+    inside = (y > np.quantile(y, 0.01)) & (y < np.quantile(y, 0.94))
+    np.testing.assert_allclose(out["label"][inside], numpy_scores(y, y)[inside], atol=0.02)
+    np.testing.assert_allclose(out["back"], np.minimum(y, np.percentile(y, 95)), rtol=1e-6)
