@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitsliced, decontaminate, mixing, sharding
+from . import bitsliced, decontaminate, mixing, sharding, spans, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_warc_index_merge(spark, sf):
+    # The table has no capture time: one page a second, in page order.
+    captured = F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1_600_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return warc.archive_pages(table(spark, sf, "pages"), captured)
+
+
 @query
 def op2_bit_sliced_topk(spark, sf):
     vectors = table(spark, sf, "embeddings")
@@ -33,20 +40,27 @@ def op3_benchmark_decontamination(spark, sf):
     return found.drop("_th")
 
 
+@query
+def op5_sentence_spans(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return spans.remove_repeats(docs)
+
+
 @query
 def op7_extendible_sharding(spark, sf):
-    return sharding.shard_rows(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+    return sharding.shard_rows(table(spark, sf, "documents"))
 
 
 @query
 def op10_poisson_mixing(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source")
+    docs = table(spark, sf, "documents")
     return mixing.poisson_mix(docs, mixing.tempered_weights(docs))
 
 
 ORACLE: dict[str, str] = {
     "op2_bit_sliced_topk": bitsliced.TOPK_SQL,
     "op3_benchmark_decontamination": decontaminate.DECONTAMINATE_SQL,
+    "op5_sentence_spans": spans.SPANS_SQL,
     "op7_extendible_sharding": sharding.shard_sql(),
     "op10_poisson_mixing": mixing.MIX_SQL,
 }

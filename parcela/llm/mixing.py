@@ -93,8 +93,8 @@ r AS (SELECT source, (SELECT sum(n) FROM n) * w / (SELECT sum(w) FROM n) / n AS
 cdf AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM r
   UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf
   WHERE k < ceil(rate + 12 * sqrt(rate) + 24)),
-u AS (SELECT doc_id, source, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '') || '|1'), 1, 13))::BIGINT
+u AS (SELECT *, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '') || '|1'), 1, 13))::BIGINT
   / pow(2, 52) AS u FROM documents),
-k AS (SELECT doc_id, u.source, count(cdf.k) AS copies FROM u LEFT JOIN cdf
-  ON cdf.source IS NOT DISTINCT FROM u.source AND cdf.c <= u.u GROUP BY doc_id, u.source, u.u)
-SELECT doc_id, source, unnest(range(1, copies + 1))::INT AS copy FROM k"""
+k AS (SELECT doc_id, text, lang, u.source, n_chars, count(cdf.k) AS copies FROM u LEFT JOIN cdf
+  ON cdf.source IS NOT DISTINCT FROM u.source AND cdf.c <= u.u GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1))::INT AS copy FROM k"""

@@ -129,12 +129,12 @@ def write_shards(df: DataFrame, path: str) -> None:
 def shard_sql(limit: int = SHARD_BYTES) -> str:
     """The same shards in DuckDB: the least depth whose prefix fits."""
     return f"""
-WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+WITH d AS (SELECT documents.*, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
      s AS (SELECT d.*, r.depth, h >> (60 - r.depth) AS prefix,
          sum(n_bytes) OVER (PARTITION BY r.depth, h >> (60 - r.depth)) AS bytes
          FROM d, (SELECT unnest(range(0, 61))::INT AS depth) r)
-SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard,
+SELECT doc_id, text, lang, source, n_chars, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard,
        0::BIGINT AS page
 FROM s WHERE bytes <= {limit}
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
