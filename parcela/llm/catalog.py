@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitsliced, decontaminate, mixing, sharding, spans, warc
+from . import bitsliced, decontaminate, lshforest, mixing, sharding, spans, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +46,11 @@ def op5_sentence_spans(spark, sf):
     return spans.remove_repeats(docs)
 
 
+@query
+def op6_lsh_forest(spark, sf):
+    return lshforest.near_duplicates(table(spark, sf, "documents"), words=2, percent=80)
+
+
 @query
 def op7_extendible_sharding(spark, sf):
     return sharding.shard_rows(table(spark, sf, "documents"))
