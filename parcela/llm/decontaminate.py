@@ -44,7 +44,7 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", wind
     cut = words.select("item", F.explode(starts).alias("at"), "w").select(
         "item", F.slice("w", F.col("at"), F.lit(window)).alias("terms")
     )
-    return cut.select(F.sha2(F.concat_ws(" ", "terms"), 256).alias("window_id"), "terms", "item").distinct()
+    return cut.select(F.xxhash64(F.concat_ws(" ", "terms")).alias("window_id"), "terms", "item").distinct()
 
 
 def _rarest(cut: DataFrame, frequency: DataFrame, lists: int) -> DataFrame:
