@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitsliced, decontaminate, lshforest, mixing, sharding, spans, warc
+from . import bitsliced, decontaminate, lshforest, mixing, sharding, spans, warc, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +40,11 @@ def op3_benchmark_decontamination(spark, sf):
     return found.drop("_th")
 
 
+@query
+def op4_wrapper_induction(spark, sf):
+    return wrapper.extract_pages(table(spark, sf, "pages"))
+
+
 @query
 def op5_sentence_spans(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
