@@ -8,9 +8,9 @@ overlapping runs, so all of it goes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize, small_or_stored
+from ..session import materialize
 
 # Sentences per run, and the words a run needs to tell a passage from chance.
 SPAN = 2
@@ -23,17 +23,17 @@ def sentences(text: Column) -> Column:
     """Pieces ending in . ! ? before white space, or at a line break."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t]+", f"$1{_BREAK}")
     parts = F.split(marked, rf"[\n\r{_BREAK}]+")
-    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^[ \t]+|[ \t]+$", "")), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(" \t"))), lambda s: s != "")
 
 
-def _normal(s: Column) -> Column:
-    return F.regexp_replace(F.lower(s), r"[ \t]+", " ")
+def _normal(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[ \t]+", " ")
 
 
 def _runs(docs: DataFrame, span: int, min_words: int) -> DataFrame:
     """Runs of ``span`` sentences: row key, position and a 128-bit hash. A
     shorter document is one run."""
-    cut = docs.select("_id", "_th", F.transform(sentences(F.col("_text")), _normal).alias("s")).filter("size(s) > 0")
+    cut = docs.select("_id", "_th", sentences(_normal(F.col("_text"))).alias("s")).filter("size(s) > 0")
     last = F.greatest(F.size("s") - span, F.lit(0))
 
     def run(at: Column) -> Column:
@@ -52,12 +52,13 @@ def repeated_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                        min_words: int = MIN_WORDS) -> DataFrame:
     """Positions of sentences under a non-first run: ``_id``, ``_th``, ``at``."""
     keyed = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
-    runs = _runs(keyed, span, min_words)
+    runs = materialize(_runs(keyed, span, min_words), "runs")
     place = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_th", "at")
     firsts = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    firsts = small_or_stored(materialize(firsts.filter("n > 1").drop("n"), "firsts"))
-    # Stored sides let a run that thousands of documents share be split.
-    later = runs.join(firsts, ["h1", "h2"]).filter(place != F.col("first"))
+    firsts = materialize(firsts.filter("n > 1").drop("n"), "firsts")
+    # Stored sides let a run that thousands of documents share be split. The join
+    # is the same at every size.
+    later = runs.join(firsts.hint("merge"), ["h1", "h2"]).filter(place != F.col("first"))
     covered = later.select("_id", "_th", F.explode(F.sequence(F.col("at"), F.col("at") + span - 1)).alias("at"))
     return covered.distinct()
 
@@ -74,7 +75,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     drop = materialize(repeated_sentences(docs, doc_id, text, span, min_words), "repeats")
     # One document's positions: as many as it has sentences.
-    per_doc = small_or_stored(drop.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(F.collect_set("at").alias("_drop")))
+    per_doc = materialize(drop.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(F.collect_set("at").alias("_drop")), "drop").hint("merge")
     docs = docs.drop("n_sentences", "n_removed")
     joined = docs.join(per_doc, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_t")), "left")
     cut = joined.withColumn("_s", sentences(F.col(text)))
