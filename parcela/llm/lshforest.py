@@ -15,7 +15,7 @@ all regions are joined to components by spreading the least id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -171,13 +171,16 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
         waiting += [int(x) for x in near]
 
 
-def _link(words: int, percent: int, group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("_id")
-    cache = _WordHashes()
-    sets = [shingle_set(t, words, cache) for t in group["_text"]]
-    ids = group["_id"].to_numpy()
-    links = spanning_links(sets, percent)
-    return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
+def _link(words: int, percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_id")
+        cache = _WordHashes()
+        sets = [shingle_set(t, words, cache) for t in group["_text"]]
+        ids = group["_id"].to_numpy()
+        links = spanning_links(sets, percent)
+        return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
+
+    return link
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -221,11 +224,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # One class per set of shingles, named by its least id.
     classes = materialize(usable.groupBy("_set").agg(
         F.min("_id").alias("_id"), F.first("_sig").alias("_sig"), F.max("_chars").alias("_chars"), F.count("*").alias("_n")), "classes")
-    # An id may stand for several texts; its class then is looked at by each of them.
+    # An id that stands for several texts brings all of them into its regions.
     members = regions(classes.select("_id", "_sig", "_chars"))
-    wanted = rows.filter("_id IS NOT NULL").join(
-        small_or_stored(members), "_id").join(small_or_stored(classes.select("_id").distinct()), "_id", "left_semi")
-    links = wanted.groupBy("_region").applyInPandas(partial(_link, words, percent), "a bigint, b bigint")
+    # The join of texts is the same at every size: both sides are dealt by id.
+    wanted = rows.filter("_id IS NOT NULL").join(members.hint("merge"), "_id")
+    links = wanted.groupBy("_region").applyInPandas(_link(words, percent), "a bigint, b bigint")
     named = small_or_stored(classes.filter("_n > 1").select("_set", F.col("_id").alias("a")))
     copies = usable.join(named, "_set").filter("_id <> a").select("a", F.col("_id").alias("b"))
     found = small_or_stored(components(links.unionByName(copies)))
