@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitsliced, decontaminate, lshforest, mixing, sharding, spans, warc, wrapper
+from . import bitsliced, crf, decontaminate, lshforest, mixing, quality, sharding, spans, warc, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,6 +61,16 @@ def op7_extendible_sharding(spark, sf):
     return sharding.shard_rows(table(spark, sf, "documents"))
 
 
+@query
+def op8_crf_language(spark, sf):
+    return crf.identify(table(spark, sf, "documents"))
+
+
+@query
+def op9_weak_label_quality(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("_th")
+
+
 @query
 def op10_poisson_mixing(spark, sf):
     docs = table(spark, sf, "documents")
