@@ -198,16 +198,13 @@ def label_words(model: Model, texts: list[list[str]]) -> list[np.ndarray]:
 def _predict(sent, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     model = sent.value
     for part in parts:
-        langs, sure = [], []
-        # Texts of about a batch of words are held at a time.
-        texts = [words_of(t) for t in part["text"]]
-        start = 0
-        while start < len(texts):
-            stop, held = start, 0
-            while stop < len(texts) and (held < BATCH_WORDS or stop == start):
-                held += len(texts[stop])
-                stop += 1
-            for chance in label_words(model, texts[start:stop]):
+        langs: list[str] = []
+        sure: list[float] = []
+        held: list[list[str]] = []
+        size = 0
+
+        def flush() -> None:
+            for chance in label_words(model, held):
                 if not len(chance) or not model.languages:
                     langs.append(UNKNOWN)
                     sure.append(0.0)
@@ -216,7 +213,15 @@ def _predict(sent, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 best = int(mean.argmax())
                 langs.append(model.languages[best])
                 sure.append(float(min(mean[best], 1.0)))
-            start = stop
+
+        # The words of about a batch are held at a time.
+        for text in part["text"]:
+            held.append(words_of(text))
+            size += len(held[-1])
+            if size >= BATCH_WORDS:
+                flush()
+                held, size = [], 0
+        flush()
         yield part.drop(columns="text").assign(lang_pred=langs, score=sure)
 
 

@@ -75,18 +75,19 @@ def quality_votes(s: np.ndarray) -> str:
 
 
 def toxic_lexicon(labelled: DataFrame, text: str = "text") -> tuple[frozenset[bytes], frozenset[bytes]]:
-    """Words and stems of which nine in ten labelled documents are toxic, from a
-    bounded sample of the labelled rows."""
-    rows = labelled.filter("toxic IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_DOCS)
+    """Words and stems of which nine in ten documents are toxic, from
+    ``labelled`` rows, a bounded sample."""
+    rows = labelled.filter("toxic IS NOT NULL")
 
     def terms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
             for t, toxic in zip(part["text"], part["toxic"]):
                 own = {w for w in _words(t) if w}
-                out += [(w.decode("utf-8", "replace"), "w", toxic) for w in own]
-                out += [(w.decode("utf-8", "replace"), "s", toxic) for w in {w[:STEM] for w in own if len(w) > STEM}]
-            yield pd.DataFrame(out, columns=["term", "kind", "toxic"])
+                stems = {w[:STEM] for w in own if len(w) > STEM}
+                yield pd.DataFrame({
+                    "term": [w.decode("utf-8", "replace") for x in (own, stems) for w in x],
+                    "kind": ["w"] * len(own) + ["s"] * len(stems), "toxic": int(toxic),
+                })
 
     counts = rows.select(F.col(text).alias("text"), "toxic").mapInPandas(terms, "term string, kind string, toxic int").groupBy(
         "kind", "term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
@@ -210,7 +211,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id"
     # Repeated rows share a hash; each text trains once.
     chosen = rows.filter(F.col("_pick") <= cut).select("text", "_pick").mapInPandas(_featured, "_pick bigint, ids array<int>")
     sample = chosen.dropDuplicates(["_pick"]).join(picked, "_pick").orderBy("_pick").select("quality", "toxic", "ids").toArrow()
-    ids = [np.asarray(x, np.int64) for x in sample["ids"].to_pylist()]
+    held = sample["ids"].combine_chunks()
+    bounds = held.offsets.to_numpy()
+    ids = np.split(held.values.to_numpy(), bounds[1:-1])
     columns = [np.array([m.get(p, 0.0) for p in sample[task].to_pylist()]) for m, task in zip(models, ("quality", "toxic"))]
     return np.stack([train(ids, c) for c in columns], axis=1)
 
