@@ -84,7 +84,7 @@ def csv_round_trip(spark, sf):
 def source_fallback(spark, sf):
     rows = listings(spark, sf).select("row_id", "PRICE", "AREA")
     path = scratch(spark, "raw")
-    tables.write_csv(rows.coalesce(1), f"{path}/properties_1.csv")
+    tables.write_csv(rows, f"{path}/properties_1.csv")
     found, used = tables.load_listings(spark, f"{path}/missing", f"{path}/properties_*.csv", f"{path}/none.csv", rows.schema)
     return found.withColumn("source", F.lit(used))
 

@@ -13,9 +13,17 @@ from .quantiles import quantiles
 SOURCE_KEYS = ("SOURCE", "WEB_PROPERTY_CODE")
 
 
+def content_order(df: DataFrame) -> list[Column]:
+    """Sort keys from the whole row; columns of a type without order are left out."""
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    return [F.xxhash64(*plain)] if plain else []
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key. Spark keeps one row per key and task before
-    the shuffle (WindowGroupLimit), so a hot key does not load one task."""
+    the shuffle (WindowGroupLimit), so a hot key does not load one task. Rows that
+    ``order`` leaves equal go by a hash of their content, whatever the partitioning."""
+    order = [*order, *content_order(df)]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
@@ -51,7 +59,7 @@ def dedup_report(df: DataFrame, keys: Sequence[str] = SOURCE_KEYS, time: str = "
 
 
 def group_limits(df: DataFrame, columns: Sequence[str], by: Sequence[str], q: float = 0.99,
-                 method: str = "auto") -> DataFrame:
+                 method: str = "cells") -> DataFrame:
     """Per group and field, the limit above which values are capped."""
     found = quantiles(df, columns, [q], by, method)
     return found.select(*by, "field", "n", F.element_at("quantiles", 1).alias("limit"))
@@ -74,16 +82,22 @@ def _with_limits(df: DataFrame, wide: DataFrame, by: Sequence[str]) -> DataFrame
     return df.join(side, same, "left").drop(*[f"_by_{b}" for b in by])
 
 
+def _number(c: str) -> Column:
+    """The value, null if it is NaN: Spark orders NaN above every number."""
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def _raised(c: str) -> Column:
-    return F.when(F.col(c) < 0, F.lit(0.0)).otherwise(F.col(c).cast("double"))
+    return F.greatest(_number(c), F.when(_number(c).isNotNull(), F.lit(0.0)))
 
 
 def cap_with(df: DataFrame, wide: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Negatives become 0, then values above the group's limit become the limit."""
     joined = _with_limits(df, wide, by)
     capped = {
-        # least() and greatest() skip nulls, so a missing value is kept apart.
-        c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.lit(0.0)), F.col(f"_limit_{c}")))
+        # least() and greatest() skip nulls, so missing values and NaN are kept apart.
+        c: F.when(_number(c).isNotNull(), F.least(_raised(c), F.col(f"_limit_{c}"))).otherwise(F.col(c).cast("double"))
         for c in columns
     }
     return joined.withColumns(capped).select(*df.columns)
@@ -91,7 +105,7 @@ def cap_with(df: DataFrame, wide: DataFrame, columns: Sequence[str], by: Sequenc
 
 def cap_by_group(df: DataFrame, columns: Sequence[str] = ("PRICE",),
                  by: Sequence[str] = ("OPERATION_TYPE", "PROPERTY_TYPE"),
-                 q: float = 0.99, method: str = "auto") -> DataFrame:
+                 q: float = 0.99, method: str = "cells") -> DataFrame:
     """Cap ``columns`` at the group's quantile. The limits are read before
     negatives are raised, and are computed for all columns in one pass."""
     wide = limits_wide(group_limits(df, columns, by, q, method), columns, by)
@@ -100,7 +114,7 @@ def cap_by_group(df: DataFrame, columns: Sequence[str] = ("PRICE",),
 
 def capping_report(df: DataFrame, columns: Sequence[str] = ("PRICE",),
                    by: Sequence[str] = ("OPERATION_TYPE", "PROPERTY_TYPE"),
-                   q: float = 0.99, scale: int = 0, method: str = "auto") -> DataFrame:
+                   q: float = 0.99, scale: int = 0, method: str = "cells") -> DataFrame:
     """Per group and field: the limit, negatives raised and values capped."""
     columns, by = list(columns), list(by)
     wide = limits_wide(group_limits(df, columns, by, q, method), columns, by)

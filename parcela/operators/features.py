@@ -128,7 +128,7 @@ def clip_above(df: DataFrame, column: str, percentile: float = 95) -> DataFrame:
     if column not in found:
         return df
     limit = F.lit(found[column][0])
-    return df.withColumn(column, F.when(F.col(column) > limit, limit).otherwise(F.col(column).cast("double")))
+    return df.withColumn(column, F.when((F.col(column) > limit) & ~F.isnan(column), limit).otherwise(F.col(column).cast("double")))
 
 
 class NumericScaler(Estimator, _Stored):
@@ -216,10 +216,6 @@ _LOWEST = NormalDist().inv_cdf(_END - 2.220446049250313e-16)
 _HIGHEST = NormalDist().inv_cdf(1.0 - (_END - 2.220446049250313e-16))
 
 
-# Rows up to which the target's quantiles are exact (fixed value).
-EXACT_ROWS = 10_000
-
-
 def _table(values: Sequence[float]) -> Column:
     """A constant array; the optimizer folds it to one literal."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
@@ -233,11 +229,13 @@ class TargetTransform(Estimator, _Stored):
     outputCol = Param(Params._dummy(), "outputCol", "transformed target", TypeConverters.toString)
     percentile = Param(Params._dummy(), "percentile", "cap", TypeConverters.toFloat)
     knots = Param(Params._dummy(), "knots", "number of quantiles", TypeConverters.toInt)
+    method = Param(Params._dummy(), "method", "how quantiles are found", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, inputCol: str = "PRICE", outputCol: str = "label", percentile: float = 95.0, knots: int = 1000):
+    def __init__(self, inputCol: str = "PRICE", outputCol: str = "label", percentile: float = 95.0, knots: int = 1000,
+                 method: str = "cells"):
         super().__init__()
-        self._setDefault(inputCol="PRICE", outputCol="label", percentile=95.0, knots=1000)
+        self._setDefault(inputCol="PRICE", outputCol="label", percentile=95.0, knots=1000, method="cells")
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "TargetTransformModel":
@@ -248,10 +246,8 @@ class TargetTransform(Estimator, _Stored):
         count = logs.count()
         knots = max(2, min(self.get("knots"), count))
         points = [i / (knots - 1) for i in range(knots)]
-        # A thousand exact quantiles are costly on many rows. Beyond EXACT_ROWS a
-        # sketch takes over: its ranks are right to one in ten thousand.
-        method = "auto" if count <= EXACT_ROWS else "approx"
-        levels = one_row_quantiles(logs, ["v"], points, method)["v"]
+        # Exact at every size; "approx" is a sketch right to one rank in ten thousand.
+        levels = one_row_quantiles(logs, ["v"], points, self.get("method"))["v"]
         for i in range(1, knots):
             levels[i] = max(levels[i], levels[i - 1])
         return TargetTransformModel(inputCol=c, outputCol=self.get("outputCol"), cap=[cap], levels=levels)

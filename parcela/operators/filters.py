@@ -49,6 +49,11 @@ def select_features(df: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFra
     return df.select(*spec.all)
 
 
+def is_nan(df: DataFrame, c: str) -> Column:
+    """Whether a column of ``df`` holds NaN; only fractions can."""
+    return F.isnan(c) if df.schema[c].dataType.typeName() in ("double", "float") else F.lit(False)
+
+
 def listing_filter(
     df: DataFrame,
     eq: Mapping[str, object] | None = None,
@@ -57,7 +62,8 @@ def listing_filter(
 ) -> DataFrame:
     """Equality and range bounds. A bound of None is not applied; zero is."""
     conditions = [F.col(c) == v for c, v in (eq or {}).items() if v is not None]
-    conditions += [F.col(c) >= v for c, v in (ge or {}).items() if v is not None]
+    # NaN is above every number in Spark, but within no bound.
+    conditions += [(F.col(c) >= v) & ~is_nan(df, c) for c, v in (ge or {}).items() if v is not None]
     conditions += [F.col(c) <= v for c, v in (le or {}).items() if v is not None]
     return df.filter(all_of(conditions)) if conditions else df
 
@@ -99,9 +105,9 @@ def erroneous_rules() -> dict[str, Column]:
         "floor_202": F.col("FLOOR") == 202,
         "stratum_101": F.col("STRATUM") == 101,
         "area_not_positive": apartment & (F.col("AREA") <= 0),
-        "area_over_400": apartment & (F.col("AREA") > 400),
+        "area_over_400": apartment & (F.col("AREA") > 400) & ~F.isnan("AREA"),
         "price_under_100k": apartment & (F.col("PRICE") < 100_000),
-        "price_over_20m": apartment & (F.col("PRICE") > 20_000_000),
+        "price_over_20m": apartment & (F.col("PRICE") > 20_000_000) & ~F.isnan("PRICE"),
     }
 
 

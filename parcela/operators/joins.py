@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import small_or_stored
+from ..session import materialize, small_or_stored
 from .cleaning import first_per_key
 
 
@@ -18,17 +18,19 @@ def unseen_rows(batch: DataFrame, target: DataFrame, key: str = "_id",
     batch of ordinary size the target is only scanned (its key column), never
     shuffled.
     """
-    batch = first_per_key(batch, [key], list(order) or [F.asc(key)])
-    keys = small_or_stored(batch.select(key))
-    known = small_or_stored(target.select(key).join(keys, key, "left_semi"))
-    return batch.join(known, key, "left_anti")
+    batch = materialize(first_per_key(batch, [key], order), "first")
+    keys = small_or_stored(batch.select(F.col(key).alias("_key")))
+    stored = target.select(F.col(key).alias("_stored"))
+    # A null key is one key: rows without key are stored once.
+    known = small_or_stored(stored.join(keys, F.col("_stored").eqNullSafe(F.col("_key")), "left_semi").distinct())
+    return batch.join(known, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
 
 
 def upsert(df: DataFrame, updates: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
     """``df`` with ``updates`` added; an update replaces the row of its key."""
-    updates = first_per_key(updates, [key], list(order) or [F.asc(key)])
-    keys = small_or_stored(updates.select(key))
-    return df.join(keys, key, "left_anti").unionByName(updates, allowMissingColumns=True)
+    updates = materialize(first_per_key(updates, [key], order), "updates")
+    keys = small_or_stored(updates.select(F.col(key).alias("_key")))
+    return df.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(updates, allowMissingColumns=True)
 
 
 def cascade_delete(vectors: DataFrame, deleted: DataFrame, key: str = "_id") -> DataFrame:

@@ -1,10 +1,9 @@
 """Exact quantiles per group, for one or many columns at once.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer.
-That is the fastest plan for a small input, and the wrong one when a group
-holds billions of prices. ``quantiles`` therefore looks at the size of its
-input: small inputs use ``percentile``, larger ones narrow the search down in
-a few passes of plain counting, whose state does not grow with the data:
+That is the wrong plan when a group holds billions of prices. ``quantiles``
+therefore narrows the search down in a few passes of plain counting, whose
+state does not grow with the data, unless the caller asks for another method:
 
 1. count the rows per logarithmic cell of the value (at most 256 cells per
    power of two), and find the cells that hold the wanted ranks;
@@ -24,10 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import estimated_bytes, small_or_stored
-
-# Input estimate up to which one aggregation buffer is known to be fine.
-HASH_LIMIT_BYTES = 8 << 20
+from ..session import small_or_stored
 
 CELLS_PER_OCTAVE = 256
 SPLIT = 1 << 14
@@ -44,21 +40,18 @@ def quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     by: Sequence[str] = (),
-    method: str = "auto",
+    method: str = "cells",
 ) -> DataFrame:
     """Quantiles of numeric ``columns`` within each group of ``by``.
 
     Returns the ``by`` columns, ``field``, ``n`` (values counted) and
     ``quantiles`` (array in the order of ``probabilities``). Nulls and NaN are
     not counted; null group keys form their own group; a field without values
-    has no row. ``method`` is "auto", "hash", "cells" or "approx"; only the last
-    one is inexact. "cells" runs its counting passes when called.
+    has no row. ``method`` is "cells", "hash" (for groups known to fit one buffer)
+    or "approx"; only the last one is inexact. "cells" runs its counting passes when called.
     """
     columns, by, probs = list(columns), list(by), [float(p) for p in probabilities]
     values = df.select(*by, *[_number(c).alias(c) for c in columns])
-    if method == "auto":
-        size = estimated_bytes(values)
-        method = "hash" if size is not None and size <= HASH_LIMIT_BYTES else "cells"
     if method == "cells":
         return _by_cells(values, columns, probs, by)
     if method not in ("hash", "approx"):
@@ -83,7 +76,7 @@ def quantile_columns(names: Sequence[str], source: str = "quantiles") -> list[Co
 
 
 def one_row_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
-                      method: str = "auto") -> dict[str, list[float]]:
+                      method: str = "cells") -> dict[str, list[float]]:
     """Ungrouped quantiles on the driver: one short list per column."""
     rows = quantiles(df, columns, probabilities, method=method).collect()
     return {r["field"]: list(r["quantiles"]) for r in rows}

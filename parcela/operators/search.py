@@ -40,9 +40,9 @@ def vector_topk(df: DataFrame, query: Sequence[float], k: int = 10, vector: str
     """The ``k`` rows nearest to one query vector, with ``score``. Filter
     ``df`` first; vectors of another width than the query do not compete."""
     query = [float(x) for x in query]
-    scored = df.filter(F.size(vector) == len(query)).withColumn(
-        "score", similarity(metric, vector, query)
-    )
+    score = similarity(metric, vector, query)
+    # A NaN score ranks like a missing one, not above all.
+    scored = df.filter(F.size(vector) == len(query)).withColumn("score", F.when(~F.isnan(score), score))
     return scored.orderBy(F.desc_nulls_last("score"), F.asc(id_col)).limit(k)
 
 
@@ -145,8 +145,8 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 def vector_topk_lsh(df: DataFrame, query: Sequence[float], k: int = 10, vector: str = "embedding",
                     id_col: str = "_id", tables: int = 8, bucket_length: float = 0.5) -> DataFrame:
     """Nearest rows by random projection; approximate, so opt-in. Candidates are
-    ranked by exact cosine. If the buckets hold fewer than ``k`` rows, the exact
-    search answers."""
+    ranked by exact cosine. Fewer than ``k`` rows come back if the buckets hold
+    fewer; the exact search is ``vector_topk``."""
     from pyspark.ml.linalg import Vectors
 
     query = [float(x) for x in query]
@@ -164,22 +164,22 @@ def vector_topk_lsh(df: DataFrame, query: Sequence[float], k: int = 10, vector:
     ).fit(unit)
     target = Vectors.dense([x / length for x in query])
     near = model.approxNearestNeighbors(unit, target, 10 * k, distCol="_distance").select(*df.columns)
-    found = vector_topk(near, query, k, vector, id_col)
-    return found if found.count() == k else vector_topk(df, query, k, vector, id_col)
+    return vector_topk(near, query, k, vector, id_col)
 
 
 def validate_vectors(df: DataFrame, width: int, vector: str = "embedding") -> DataFrame:
     """Counts of vectors that are fine, missing, of wrong width, with null
-    entries or all zeros."""
+    entries or all zeros. A vector with NaN is not valid."""
     v = F.col(vector)
     right = F.coalesce(F.size(v) == width, F.lit(False))
     holes = right & F.exists(v, lambda x: x.isNull())
     zeros = right & ~F.exists(v, lambda x: x.isNull() | (x != 0))
+    nans = right & ~holes & F.coalesce(F.exists(v, lambda x: F.isnan(x)), F.lit(False))
     return df.agg(
         F.count("*").alias("total"),
         F.count_if(v.isNull()).alias("missing"),
         F.count_if(v.isNotNull() & ~right).alias("wrong_width"),
         F.count_if(holes).alias("null_entries"),
         F.count_if(zeros).alias("all_zero"),
-        F.count_if(right & ~holes & ~zeros).alias("valid"),
+        F.count_if(right & ~holes & ~zeros & ~nans).alias("valid"),
     )

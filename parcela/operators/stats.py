@@ -92,7 +92,7 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), method: str = "auto",
+def numeric_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), method: str = "cells",
                     probabilities: Sequence[float] = PROFILE_PROBABILITIES) -> DataFrame:
     """Count, mean, sample deviation, extremes and percentiles per column."""
     columns, by = list(columns), list(by)
@@ -165,7 +165,7 @@ def auto_bins(rows: DataFrame, lo: float, hi: float, n: int) -> int:
     return max(1, math.ceil(spread / width))
 
 
-def log_quantiles(df: DataFrame, category: str, price: str = "PRICE", method: str = "auto") -> DataFrame:
+def log_quantiles(df: DataFrame, category: str, price: str = "PRICE", method: str = "cells") -> DataFrame:
     """Quartiles and extremes of the log price per category (price above 0)."""
     logs = df.filter(F.col(price) > 0).select(category, F.ln(price).alias("log_price"))
     found = quantiles(logs, ["log_price"], [0.0, 0.25, 0.5, 0.75, 1.0], [category], method)
@@ -227,7 +227,7 @@ def compare_signatures(signatures: DataFrame) -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, truth: str = "y_true", predicted: str = "y_pred",
-                       by: Sequence[str] = (), method: str = "auto") -> DataFrame:
+                       by: Sequence[str] = (), method: str = "cells") -> DataFrame:
     """Error measures of predictions, as fractions and in units of the target.
 
     A true value of zero makes the percentage error infinite (undefined if the

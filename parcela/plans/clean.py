@@ -14,7 +14,7 @@ from ..session import materialize
 
 def clean_listings(df: DataFrame, dedup: bool = False, tie: str = "_id",
                    rules: Mapping[str, Column] | None = None, fields: Sequence[str] = CAPPED_FIELDS,
-                   by: Sequence[str] = ("OPERATION_TYPE", "PROPERTY_TYPE"), method: str = "auto") -> DataFrame:
+                   by: Sequence[str] = ("OPERATION_TYPE", "PROPERTY_TYPE"), method: str = "cells") -> DataFrame:
     """Cleaned listings. Limits are taken after the deletion, for the price and
     all fields together: no field's limit depends on another. Deduplicated rows
     are written once, since limits and rows are read apart."""

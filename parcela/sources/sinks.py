@@ -11,11 +11,18 @@ from ..operators.joins import unseen_rows
 from ..session import materialize
 
 
+# Conditions of a path that is missing or holds no file.
+NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def existing_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The stored table, or an empty one shaped as ``like``."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        # Only a table that isn't there yet is empty; an unreadable one is an error.
+        if error.getCondition() not in NOTHING_THERE:
+            raise
         return spark.createDataFrame([], like.schema)
 
 

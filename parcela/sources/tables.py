@@ -42,8 +42,9 @@ def load_listings(spark: SparkSession, table: str | None, csv_pattern: str, fall
     if table is not None:
         try:
             return read_listings(spark, table), "table"
-        except AnalysisException:
-            pass
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
     newest = newest_file(spark, csv_pattern)
     if newest is not None:
         return read_csv(spark, newest, schema), newest.rsplit("/", 1)[-1]

@@ -77,15 +77,14 @@ def test_empty_and_null_only(spark):
         assert q.quantiles(nulls, ["v"], [0.5], ["g"], method).count() == 0
 
 
-def test_auto_chooses_by_size(spark, monkeypatch):
+def test_counting_at_every_size(spark, monkeypatch):
     df = spark.range(100).selectExpr("cast(id as double) v")
     called = []
     monkeypatch.setattr(q, "_by_cells", lambda values, *a: called.append(1) or values)
     q.quantiles(df, ["v"], [0.5])
-    assert not called
-    monkeypatch.setattr(q, "HASH_LIMIT_BYTES", 10)
-    q.quantiles(df, ["v"], [0.5])
     assert called
+    q.quantiles(df, ["v"], [0.5], method="hash")
+    assert len(called) == 1
 
 
 def test_approx_is_close(spark):
