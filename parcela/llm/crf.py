@@ -175,6 +175,8 @@ def label_words(model: Model, texts: list[list[str]]) -> list[np.ndarray]:
     """Chances (word x language) for each list of words; long and short texts
     are taken together, sorted by length."""
     out: list[np.ndarray] = [np.zeros((0, len(model.languages)))] * len(texts)
+    if not model.languages:
+        return out
     order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
     at: dict[str, int] = {}
     ids = {i: np.array([at.setdefault(w, len(at)) for w in texts[i]]) for i in order}
