@@ -7,7 +7,9 @@ holds too much text is opened deeper, up to MAX_DEPTH, so its depth adapts to ho
 crowded that part of the tree is and its documents keep their longest common
 prefixes. Within a region the exact links are searched on the full shingle sets,
 starting from one document and asking only documents not yet reached, so a
-group of n copies costs about n comparisons and gives n - 1 links.
+group of n copies costs about n comparisons and gives n - 1 links. A region that
+is too full at MAX_DEPTH is cut into pieces; a second pass compares what its first
+document does not reach with every piece, so cutting loses no link.
 
 Documents with equal shingle sets are one class from the start. The links of
 all regions are joined to components by spreading the least id.
@@ -91,8 +93,9 @@ def _prefix(tree: Column, depth: int) -> Column:
 
 def regions(profiles: DataFrame, most: int = REGION_CHARS) -> DataFrame:
     """Regions of at least two classes: ``_region`` and ``_id``, each set of
-    members once. Regions deeper than MAX_DEPTH are cut into pieces that all
-    hold the region's least document, to which nearly everything there links."""
+    members once. Regions too full at MAX_DEPTH are cut into pieces, named by
+    ``_base`` and ``_piece`` (else null), that all hold the region's least
+    document, to which nearly everything there links."""
     open_ = profiles.select("_id", "_sig", "_chars", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("_tree"))
     done = []
     for depth in range(MIN_DEPTH, MAX_DEPTH + 1, 4):
@@ -116,9 +119,12 @@ def regions(profiles: DataFrame, most: int = REGION_CHARS) -> DataFrame:
             # The first document of a region meets each of its pieces.
             own = F.when(F.col("_id") == F.col("first"), F.sequence(F.lit(0).cast("bigint"), pieces - 1)).otherwise(F.array(piece))
             joined = joined.withColumn("_piece", F.explode(own))
-            done.append(joined.select("_id", F.xxhash64("_region", "_tree", "_piece").alias("_region")))
+            cut = F.when(~fits, F.xxhash64("_region", "_tree"))
+            done.append(joined.select("_id", F.xxhash64("_region", "_tree", "_piece").alias("_region"), cut.alias("_base"),
+                                      F.when(~fits, F.col("_piece")).alias("_piece")))
             break
-        done.append(joined.select("_id", F.xxhash64("_region", "_tree").alias("_region")))
+        none = F.lit(None).cast("bigint")
+        done.append(joined.select("_id", F.xxhash64("_region", "_tree").alias("_region"), none.alias("_base"), none.alias("_piece")))
         full = small_or_stored(sizes.filter(~fits).select("_tree", "_region"))
         if full.isEmpty():
             break
@@ -178,11 +184,40 @@ def _link(words: int, percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         sets = [shingle_set(t, words, cache) for t in group["_text"]]
         ids = group["_id"].to_numpy()
         links = spanning_links(sets, percent)
-        return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
+        rows = [(int(ids[i]), int(ids[j]), None, None) for i, j in links]
+        base = group["_base"].iloc[0]
+        if not pd.isna(base):
+            # Links come from the first document outwards.
+            reached = {0}
+            for i, j in links:
+                if i in reached:
+                    reached.add(j)
+            rows += [(int(ids[i]), None, int(base), len(t)) for i, t in enumerate(group["_text"]) if i not in reached]
+        names = ["a", "b", "_base", "_chars"]
+        return pd.DataFrame({n: pd.array([r[k] for r in rows], "Int64") for k, n in enumerate(names)})
 
     return link
 
 
+def _unreached(linked: DataFrame, members: DataFrame, most: int) -> DataFrame | None:
+    """Groups of the second pass over cut regions: each piece with each chunk of
+    the documents that the region's first one does not reach."""
+    alone = materialize(linked.filter("b IS NULL").groupBy("_base", F.col("a").alias("_id")).agg(F.max("_chars").alias("_chars")), "unreached")
+    if alone.isEmpty():
+        return None
+    chunks = alone.groupBy("_base").agg(F.ceil(F.sum("_chars") / most).alias("chunks"))
+    pieces = members.filter("_base IS NOT NULL")
+    with_chunks = pieces.join(chunks, "_base").select(
+        "_id", "_base", "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("_chunk"))
+    chunk = F.pmod(F.xxhash64("_id"), F.col("chunks")).alias("_chunk")
+    dealt = alone.join(chunks, "_base").select("_id", "_base", chunk)
+    met = dealt.join(with_chunks.select("_base", "_piece", "_chunk").distinct(), ["_base", "_chunk"]).select(*with_chunks.columns)
+    # No base: what this pass does not link is linked to nothing there.
+    none = F.lit(None).cast("bigint")
+    return with_chunks.unionByName(met).distinct().select(
+        "_id", F.xxhash64("_base", "_piece", "_chunk").alias("_region"), none.alias("_base"), none.alias("_piece"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component``, the least node that links lead to.
 
@@ -206,7 +241,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
-                    percent: int = 80) -> DataFrame:
+                    percent: int = 80, region_chars: int = REGION_CHARS) -> DataFrame:
     """Per row of ``docs``: its id, ``n_shingles``, ``component_id`` (least id
     linked directly or through others, itself included) and ``kept``.
 
@@ -225,10 +260,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = materialize(usable.groupBy("_set").agg(
         F.min("_id").alias("_id"), F.first("_sig").alias("_sig"), F.max("_chars").alias("_chars"), F.count("*").alias("_n")), "classes")
     # An id that stands for several texts brings all of them into its regions.
-    members = regions(classes.select("_id", "_sig", "_chars"))
+    members = regions(classes.select("_id", "_sig", "_chars"), region_chars)
     # The join of texts is the same at every size: both sides are dealt by id.
-    wanted = rows.filter("_id IS NOT NULL").join(members.hint("merge"), "_id")
-    links = wanted.groupBy("_region").applyInPandas(_link(words, percent), "a bigint, b bigint")
+    usable_rows = rows.filter("_id IS NOT NULL")
+
+    def linked(groups: DataFrame) -> DataFrame:
+        wanted = usable_rows.join(groups.hint("merge"), "_id")
+        return wanted.groupBy("_region").applyInPandas(_link(words, percent), "a bigint, b bigint, _base bigint, _chars bigint")
+
+    first = materialize(linked(members), "pairs")
+    links = first.filter("b IS NOT NULL").select("a", "b")
+    again = _unreached(first, members, region_chars)
+    if again is not None:
+        links = links.unionByName(linked(materialize(again, "again")).select("a", "b"))
     named = small_or_stored(classes.filter("_n > 1").select("_set", F.col("_id").alias("a")))
     copies = usable.join(named, "_set").filter("_id <> a").select("a", F.col("_id").alias("b"))
     found = small_or_stored(components(links.unionByName(copies)))

@@ -143,6 +143,14 @@ def test_deep_regions_keep_the_group(spark):
     assert members.select("_id").distinct().count() == 60
 
 
+def test_cut_regions_lose_no_link(spark):
+    # A chain: neighbours are alike, the ends are not, and every region is cut.
+    words = [f"w{i * 7919 % 10_007}" for i in range(1400)]
+    texts = [(i, " ".join(words[i * 20:i * 20 + 1000])) for i in range(20)]
+    got = lshforest.near_duplicates(docs_of(spark, texts), words=5, percent=93, region_chars=1000)
+    assert {r.doc_id: r.component_id for r in got.collect()} == lshforest.brute_force(texts, 5, 93) == dict.fromkeys(range(20), 0)
+
+
 def test_shards_fit(spark, odd):
     many = docs_of(spark, [(i % 40, "x" * (i % 50)) for i in range(400)])
     for limit in (200, 1000):
