@@ -68,16 +68,16 @@ def _capped(source: str, columns: list[str], by: list[str], keep: str, q: float
       JOIN (SELECT {keys}, {limits} FROM {source} GROUP BY {keys}) g ON {same}"""
 
 
-def _report(columns: list[str], scale: int) -> str:
+def _report(columns: list[str], scale: int, views: str = LISTINGS, source: str = "listings") -> str:
     raised = lambda c: f"CASE WHEN s.{c} < 0 THEN 0.0 ELSE s.{c} END"
     parts = [
         f"""SELECT s.OPERATION_TYPE, s.PROPERTY_TYPE, '{c}' AS field, ROUND_EVEN(MAX(lim), {scale}) AS p99,
               COUNT(*) FILTER (WHERE s.{c} < 0) AS negatives_fixed,
               COUNT(*) FILTER (WHERE {raised(c)} > lim) AS capped_above_p99
-            FROM listings s JOIN (SELECT OPERATION_TYPE AS o, PROPERTY_TYPE AS p, quantile_cont({c}, 0.99) AS lim
-                                  FROM listings GROUP BY 1, 2) ON s.OPERATION_TYPE = o AND s.PROPERTY_TYPE IS NOT DISTINCT FROM p
+            FROM {source} s JOIN (SELECT OPERATION_TYPE AS o, PROPERTY_TYPE AS p, quantile_cont({c}, 0.99) AS lim
+                                  FROM {source} GROUP BY 1, 2) ON s.OPERATION_TYPE = o AND s.PROPERTY_TYPE IS NOT DISTINCT FROM p
             GROUP BY 1, 2""" for c in columns]
-    return f"WITH {LISTINGS} " + " UNION ALL ".join(parts)
+    return f"WITH {views} " + " UNION ALL ".join(parts)
 
 
 def _profile(source: str, columns: list[str], by: str = "") -> str:
@@ -306,6 +306,8 @@ ORACLE: dict[str, str] = {
     "stream_ingest": f"""SELECT {_uuid('CAST(o_orderkey AS VARCHAR)')} AS _id, CAST(o_orderkey AS VARCHAR) AS WEB_PROPERTY_CODE, o_totalprice AS PRICE,
       'Listing of ' || o_orderpriority AS DESCRIPTION, {_case('1 + o_orderkey % 3', OPERATION_LABELS)} AS OPERATION_TYPE FROM orders""",
     "clean_job": f"WITH {CLEANED} " + _capped("kept", ["PRICE", *CAPPED_FIELDS], ["OPERATION_TYPE", "PROPERTY_TYPE"], "s.row_id, "),
+    "clean_job_removed": _on_listings(f"SELECT COUNT(*) FILTER (WHERE {BAD}) AS removed, ROUND(COUNT(*) FILTER (WHERE {BAD}) * 100.0 / COUNT(*), 6) AS removed_pct FROM listings"),
+    "clean_job_capped": _report(["PRICE", *CAPPED_FIELDS], 2, CLEANED, "kept"),
     "clean_job_with_dedup": f"WITH {LATEST}, kept AS (SELECT * FROM latest WHERE NOT {BAD}) "
         + _capped("kept", ["PRICE", *CAPPED_FIELDS], ["OPERATION_TYPE", "PROPERTY_TYPE"], "s.row_id, "),
     "ingest_run": f"""WITH p AS (SELECT o_orderkey // 32 AS page_no, {_case('o_orderkey % 21', PROPERTY_LABELS)} AS kind, o_totalprice AS price FROM orders),

@@ -13,9 +13,10 @@ from ..functions import (
 )
 from ..operators import cleaning, embedding, features, filters, joins, models, search, stats
 from ..operators.quantiles import quantiles
-from ..plans.clean import clean_listings
+from ..plans.clean import clean_listings, clean_with_reports
 from ..plans.end_to_end import JobConfig, run_end_to_end
 from ..plans.ingest import ingest_listings
+from ..plans.recommend import recommend
 from ..schema import CAPPED_FIELDS, FeatureSpec
 from ..session import materialize, shared_dir, spread
 from ..sources import pages, sinks, tables
@@ -69,7 +70,9 @@ def page_list(spark, sf):
 
 @query
 def collection_scan(spark, sf):
-    return listings(spark, sf).drop("row_id", "scraped_at", "LINK", "LATITUDE", "LONGITUDE")
+    path = scratch(spark, "collection")
+    listings(spark, sf).write.parquet(path)
+    return tables.read_listings(spark, path, ("row_id", "scraped_at", "LINK", "LATITUDE", "LONGITUDE"))
 
 
 @query
@@ -463,6 +466,15 @@ def vector_topk_lsh(spark, sf):
     return search.vector_topk_lsh(points(spark, sf), _query_vector(spark, sf), 10, id_col="row_id").select("row_id", "score")
 
 
+@query
+def recommend_text(spark, sf):
+    """Documents stand for listings; their vectors are stored first, as at ingest."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("PROPERTY_TYPE"))
+    stored = materialize(embedding.embed_text(docs, "text"), "described")
+    found = recommend(stored, "una casa con vista al mar", 10, "es", id_col="doc_id")
+    return rounded(found, 5, "score").select("doc_id", "score")
+
+
 @query
 def filtered_first(spark, sf):
     rows = filters.search_filter(listings(spark, sf), "Apartamento", max_price=20_000_000)
@@ -643,7 +655,7 @@ def stream_ingest(spark, sf):
     path = scratch(spark, "stream")
     stored_pages(spark, sf).select("value").write.text(f"{path}/in")
     feed = stream_pages(spark, f"{path}/in", files_per_batch=4)
-    start_ingest(feed, f"{path}/out", f"{path}/state", embed=False).awaitTermination()
+    start_ingest(feed, f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("_id", "WEB_PROPERTY_CODE", "PRICE", "DESCRIPTION", "OPERATION_TYPE")
 
 
@@ -653,6 +665,16 @@ def clean_job(spark, sf):
     return rounded(cleaned, 4, "PRICE", *CAPPED_FIELDS).select("row_id", "PRICE", *CAPPED_FIELDS)
 
 
+@query
+def clean_job_removed(spark, sf):
+    return rounded(clean_with_reports(listings(spark, sf)).removed, 6, "removed_pct")
+
+
+@query
+def clean_job_capped(spark, sf):
+    return clean_with_reports(listings(spark, sf)).capped
+
+
 @query
 def clean_job_with_dedup(spark, sf):
     cleaned = clean_listings(listings(spark, sf), dedup=True, tie="row_id")
@@ -672,7 +694,7 @@ def _pages_and_requests(spark, sf):
 @query
 def ingest_run(spark, sf):
     fetched, asked = _pages_and_requests(spark, sf)
-    found = ingest_listings(fetched, asked, scratch(spark, "target"), embed=False)
+    found = ingest_listings(fetched, asked, scratch(spark, "target"))
     return rounded(found, 4, "mean_price").select("property", "operation", "pages_success", "pages_failed", "total_properties", "mean_price", "previous_timestamp")
 
 
@@ -681,7 +703,7 @@ def end_to_end(spark, sf):
     fetched, asked = _pages_and_requests(spark, sf)
     path = scratch(spark, "end")
     cfg = JobConfig(f"{path}/listings", f"{path}/models", f"{path}/signatures", "elastic_net",
-                    ingest={"embed": False}, training={"params": QUICK["elastic_net"]})
+                    training={"params": QUICK["elastic_net"]})
     done = run_end_to_end(spark, fetched, asked, cfg)
     return done.trained.metrics.withColumn("version", F.lit(done.version))
 

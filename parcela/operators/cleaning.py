@@ -44,10 +44,11 @@ def duplicate_members(df: DataFrame, keys: Sequence[str] = SOURCE_KEYS, id_col:
                       time: str = "scraped_at") -> DataFrame:
     """The ids of each duplicate group, one row per id: a list per group would
     not fit one row for a hot key. AQE splits a hot key's partition."""
-    keys = list(keys)
-    groups = duplicate_groups(df, keys, time).withColumnsRenamed({k: f"_g_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
-    return df.select(*keys, id_col).join(groups, same, "inner").select(*keys, id_col, "count", "latest_scrape")
+    # A struct is never null and equals one with the same nulls, so the join deals
+    # rows by the very key the groups are dealt by.
+    keyed = df.withColumn("_key", F.struct(*keys))
+    groups = duplicate_groups(keyed, ["_key"], time)
+    return keyed.select("_key", *keys, id_col).join(groups, "_key").select(*keys, id_col, "count", "latest_scrape")
 
 
 def dedup_report(df: DataFrame, keys: Sequence[str] = SOURCE_KEYS, time: str = "scraped_at") -> DataFrame:
@@ -116,8 +117,13 @@ def capping_report(df: DataFrame, columns: Sequence[str] = ("PRICE",),
                    by: Sequence[str] = ("OPERATION_TYPE", "PROPERTY_TYPE"),
                    q: float = 0.99, scale: int = 0, method: str = "cells") -> DataFrame:
     """Per group and field: the limit, negatives raised and values capped."""
-    columns, by = list(columns), list(by)
     wide = limits_wide(group_limits(df, columns, by, q, method), columns, by)
+    return report_with(df, wide, columns, by, scale)
+
+
+def report_with(df: DataFrame, wide: DataFrame, columns: Sequence[str], by: Sequence[str], scale: int = 0) -> DataFrame:
+    """The capping report of limits that are already known."""
+    columns, by = list(columns), list(by)
     counts = _with_limits(df.select(*by, *columns), wide, by).groupBy(*by).agg(*[
         F.struct(
             F.lit(c).alias("field"),

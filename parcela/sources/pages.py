@@ -45,7 +45,8 @@ def flatten_listings(df: DataFrame, json_col: str = "value", keep: tuple[str, ..
     """One row per listing of the pages, with columns LISTING_COLUMNS after the
     ``keep`` columns and ``position`` on the page. Pages that cannot be parsed
     yield nothing."""
-    hits = parse_pages(df, json_col).select(*keep, F.posexplode("page.hits.hits").alias("position", "hit"))
+    # The outer form adds no size filter, for which the JSON would be parsed again.
+    hits = parse_pages(df, json_col).select(*keep, F.posexplode_outer("page.hits.hits").alias("position", "hit"))
     item = lambda f: F.col(f"hit._source.listing.{f}")
     columns = {c: to_number(item(f)) for c, f in _NUMBERS.items()} | {
         "SOURCE": F.lit(SOURCE_NAME),
