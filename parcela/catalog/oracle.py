@@ -14,6 +14,8 @@ BAD = (
     f" OR COALESCE({APARTMENT} AND AREA > 400, FALSE) OR COALESCE({APARTMENT} AND PRICE < 100000, FALSE)"
     f" OR COALESCE({APARTMENT} AND PRICE > 20000000, FALSE))"
 )
+SPLIT_PART = """CASE WHEN ('0x' || substr(md5('42|' || COALESCE(CAST(row_id AS VARCHAR), '')), 1, 8))::BIGINT % 10000 < 2000
+  THEN 'test' ELSE 'train' END"""
 GOOD_TRAINING = (
     f"FLOOR <> 202 AND STRATUM <> 101 AND (NOT COALESCE({APARTMENT}, FALSE)"
     " OR (AREA > 0 AND AREA < 400 AND PRICE > 100000 AND PRICE < 20000000))"
@@ -261,6 +263,9 @@ ORACLE: dict[str, str] = {
     "vector_topk_ranges": f"""WITH {POINTS} SELECT row_id, ROUND(list_dot_product({_wide('embedding')}, {_wide(QUERY_VECTOR)}), 6) AS score
       FROM points WHERE PRICE BETWEEN 100000 AND 1500000 AND ROOMS BETWEEN 1 AND 4 AND GARAGE BETWEEN 0 AND 2
       ORDER BY list_dot_product({_wide('embedding')}, {_wide(QUERY_VECTOR)}) DESC, row_id LIMIT 12""",
+    "split_rows": _on_listings(f"SELECT row_id, {SPLIT_PART} AS part FROM listings"),
+    "prepared_bundle": _on_listings(f"SELECT {SPLIT_PART} AS part, COUNT(*) AS rows FROM listings WHERE {GOOD_TRAINING} AND "
+                                    + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES) + " GROUP BY 1"),
     "vector_topk_batch": f"""WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS row_id,
         list_cosine_similarity({_wide('p.embedding')}, {_wide('q.embedding')}) AS score FROM embeddings q CROSS JOIN embeddings p),
       r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM s)

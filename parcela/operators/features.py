@@ -202,9 +202,10 @@ def feature_pipeline(spec: FeatureSpec = FeatureSpec()) -> Pipeline:
 
 
 def hash_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows by a hash of the key: the same rows on every run
-    and for every partitioning."""
-    slot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000))
+    """Training and test rows by an MD5 of seed and key: the same rows on every
+    run, for every partitioning and in any engine. A null key counts as the empty text."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10_000
     cut = round(test_share * 10_000)
     return df.filter(slot >= cut), df.filter(slot < cut)
 

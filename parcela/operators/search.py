@@ -65,16 +65,27 @@ def _best_of_block(scores: np.ndarray, k: int) -> np.ndarray:
     return above | (level & (np.cumsum(level, axis=0) <= k - above.sum(axis=0)))
 
 
-def _block_topk(queries: np.ndarray, query_ids: list, k: int, metric: str,
-                id_name: str, vector_name: str, schema: pa.Schema) -> Callable:
+def _best_so_far(found: pa.Table, k: int) -> pa.Table:
+    """The ``k`` best rows of each query, missing scores last, ties by id."""
+    keys = [("query", "ascending"), ("score", "descending"), ("id", "ascending")]
+    found = found.take(pc.sort_indices(found, sort_keys=keys, null_placement="at_end"))
+    query = found["query"].to_numpy()
+    return found.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query) < k))
+
+
+def _task_topk(queries: np.ndarray, query_ids: list, k: int, metric: str,
+               id_name: str, vector_name: str, schema: pa.Schema) -> Callable:
     """Score Arrow blocks of listings against all queries at once and pass on,
-    per block and query, only the ``k`` best rows."""
+    per task and query, only the ``k`` best rows."""
     width = queries.shape[1]
     if metric == "cosine":
         queries = _unit_rows(queries)
     step = max(k, SCORES_AT_ONCE // len(queries))
+    # Between prunings a task holds a few times what it passes on.
+    most = 4 * k * len(queries)
 
     def best(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for block in blocks:
             for start in range(0, block.num_rows, step):
                 piece = block.slice(start, step)
@@ -84,11 +95,16 @@ def _block_topk(queries: np.ndarray, query_ids: list, k: int, metric: str,
                 scores = (_unit_rows(matrix) if metric == "cosine" else matrix) @ queries.T
                 rows, cols = np.nonzero(_best_of_block(scores, k))
                 found = scores[rows, cols]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([query_ids[c] for c in cols], type=schema.field(0).type),
-                    piece.column(id_name).take(pa.array(rows)).cast(schema.field(1).type),
-                    pa.array(found, type=pa.float64(), mask=np.isnan(found)),
-                ], schema=schema)
+                held.append(pa.table({
+                    "query": pa.array(cols), "id": piece.column(id_name).take(pa.array(rows)).cast(schema.field(1).type),
+                    "score": pa.array(found, type=pa.float64(), mask=np.isnan(found)),
+                }))
+                if sum(t.num_rows for t in held) > most:
+                    held = [_best_so_far(pa.concat_tables(held), k)]
+        if held:
+            kept = _best_so_far(pa.concat_tables(held), k).combine_chunks()
+            asked = pa.array(query_ids, type=schema.field(0).type).take(kept["query"].combine_chunks())
+            yield from pa.table([asked, kept["id"], kept["score"]], schema=schema).to_batches()
 
     return best
 
@@ -99,7 +115,7 @@ def vector_topk_batch(df: DataFrame, queries: DataFrame, k: int = 10, vector: st
     """Exact top ``k`` listings for every query, with ``score`` and ``rank``.
 
     Listings are read in Arrow blocks and multiplied with the query matrix. A
-    block passes on ``k`` rows per query, so pairs are never shuffled. Queries
+    task passes on ``k`` rows per query, so pairs are never shuffled. Queries
     stream through the driver ``per_pass`` at a time; each pass is one scan of
     the listings, and with more than one pass each stores its result.
     """
@@ -114,7 +130,7 @@ def vector_topk_batch(df: DataFrame, queries: DataFrame, k: int = 10, vector: st
 
     def one_pass(rows: list) -> DataFrame:
         vectors = np.array([r[query_vector] for r in rows], dtype=np.float64)
-        fn = _block_topk(vectors, [r[query_id] for r in rows], k, metric, id_col, vector, _arrow_schema(out))
+        fn = _task_topk(vectors, [r[query_id] for r in rows], k, metric, id_col, vector, _arrow_schema(out))
         usable = df.filter(F.size(vector) == vectors.shape[1]).select(id_col, vector)
         found = usable.mapInArrow(fn, out)
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,23 @@ def test_batch_passes_on_k_rows_per_block_even_if_all_tie():
     assert search._best_of_block(scores, 4).sum(axis=0).tolist() == [4, 4, 4]
 
 
+@pytest.mark.parametrize("blocks", [1, 40])
+def test_a_task_passes_on_k_rows_per_query_whatever_its_blocks(monkeypatch, blocks):
+    monkeypatch.setattr(search, "SCORES_AT_ONCE", 30)
+    rng = np.random.default_rng(8)
+    ids, vectors = rng.permutation(400), rng.integers(-2, 3, (400, 4)).astype(float)
+    vectors[5] = np.nan
+    queries = rng.integers(-2, 3, (3, 4)).astype(float)
+    table = pa.table({"_id": pa.array(ids), "embedding": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
+    schema = pa.schema([("query_id", pa.string()), ("_id", pa.int64()), ("score", pa.float64())])
+    fn = search._task_topk(queries, ["a", "b", "c"], 6, "dot", "_id", "embedding", schema)
+    found = pa.Table.from_batches(list(fn(iter(table.to_batches(max_chunksize=-(-400 // blocks))))), schema).to_pylist()
+    for name, q in zip("abc", queries):
+        scores = np.where(np.isnan(vectors @ q), -np.inf, vectors @ q)
+        order = sorted(range(400), key=lambda i: (-scores[i], ids[i]))[:6]
+        assert [(r["_id"], r["score"]) for r in found if r["query_id"] == name] == [(ids[i], scores[i]) for i in order]
+
+
 def test_no_queries(spark, store):
     df, *_ = store
     none = spark.createDataFrame([], "query_id int, query_vector array<float>")
