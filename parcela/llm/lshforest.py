@@ -97,12 +97,15 @@ def regions(profiles: DataFrame, most: int = REGION_CHARS) -> DataFrame:
     ``_base`` and ``_piece`` (else null), that all hold the region's least
     document, to which nearly everything there links."""
     open_ = profiles.select("_id", "_sig", "_chars", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("_tree"))
+    hashed = F.xxhash64("_id")
+    halves = [hashed.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(hashed, 32)]
     done = []
     for depth in range(MIN_DEPTH, MAX_DEPTH + 1, 4):
         placed = open_.withColumn("_region", _prefix(F.col("_tree"), depth))
         sizes = placed.groupBy("_tree", "_region").agg(
             F.count("*").alias("n"), F.sum("_chars").alias("chars"), F.min("_id").alias("first"),
-            F.sum(F.pmod(F.xxhash64("_id"), F.lit(1 << 50))).alias("members"),
+            # Sums of 32-bit halves: no number of members overflows them.
+            F.struct(*[F.sum(half) for half in halves]).alias("members"),
         ).filter("n > 1")
         sizes = materialize(sizes, "regions")
         fits = F.col("chars") <= most

@@ -151,6 +151,13 @@ def test_cut_regions_lose_no_link(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == lshforest.brute_force(texts, 5, 93) == dict.fromkeys(range(20), 0)
 
 
+def test_region_of_many_classes(spark):
+    sig = F.array(*[F.lit(i) for i in range(lshforest.SIGNATURE)])
+    profiles = spark.range(40_000).select(F.col("id").alias("_id"), sig.alias("_sig"), F.lit(10).cast("bigint").alias("_chars"))
+    members = lshforest.regions(profiles)
+    assert members.count() == members.select("_id").distinct().count() == 40_000
+
+
 def test_shards_fit(spark, odd):
     many = docs_of(spark, [(i % 40, "x" * (i % 50)) for i in range(400)])
     for limit in (200, 1000):
