@@ -1,15 +1,13 @@
 """Near-duplicate documents with an LSH forest.
 
 A document's MinHash signature is read in several sorted orders (trees), each
-starting at another place of the signature. Documents that share a prefix of a
-tree's order form a region. A region starts at MIN_DEPTH common values; one that
-holds too much text is opened deeper, up to MAX_DEPTH, so its depth adapts to how
-crowded that part of the tree is and its documents keep their longest common
-prefixes. Within a region the exact links are searched on the full shingle sets,
-starting from one document and asking only documents not yet reached, so a
-group of n copies costs about n comparisons and gives n - 1 links. A region that
-is too full at MAX_DEPTH is cut into pieces; a second pass compares what its first
-document does not reach with every piece, so cutting loses no link.
+starting at another place of the signature. Documents that share the first
+DEPTH values of a tree's order form a region. Within a region the exact links
+are searched on the full shingle sets, starting from one document and asking
+only documents not yet reached, so a group of n copies costs about n comparisons
+and gives n - 1 links. A region with too much text for one task is cut into
+pieces; a second pass compares what its first document does not reach with every
+piece, so cutting loses no link, and a crowded region finds what a small one does.
 
 Documents with equal shingle sets are one class from the start. The links of
 all regions are joined to components by spreading the least id.
@@ -28,11 +26,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import materialize, small_or_stored
 
 TREES = 16
-MIN_DEPTH = 4
-MAX_DEPTH = 16
-# Values per signature; tree t starts at value t * MIN_DEPTH.
-SIGNATURE = TREES * MIN_DEPTH
-# Characters of text one region task holds before the region is opened deeper.
+DEPTH = 4
+# Values per signature; tree t starts at value t * DEPTH.
+SIGNATURE = TREES * DEPTH
+# Characters of text one region task holds before the region is cut.
 REGION_CHARS = 4 << 20
 
 _SEED = np.random.default_rng(20_240_501)
@@ -85,57 +82,38 @@ def _profile(words: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         yield pd.DataFrame(out, columns=["_id", "n_shingles", "_set", "_sig", "_chars"])
 
 
-def _prefix(tree: Column, depth: int) -> Column:
-    """Hash of the first ``depth`` values in the order of a tree."""
-    twice = F.concat("_sig", "_sig")
-    return F.xxhash64(tree, F.slice(twice, tree * MIN_DEPTH + 1, F.lit(depth)))
+def _prefix(tree: Column) -> Column:
+    """Hash of the first DEPTH values in the order of a tree."""
+    return F.xxhash64(tree, F.slice("_sig", tree * DEPTH + 1, F.lit(DEPTH)))
 
 
 def regions(profiles: DataFrame, most: int = REGION_CHARS) -> DataFrame:
     """Regions of at least two classes: ``_region`` and ``_id``, each set of
-    members once. Regions too full at MAX_DEPTH are cut into pieces, named by
-    ``_base`` and ``_piece`` (else null), that all hold the region's least
-    document, to which nearly everything there links."""
-    open_ = profiles.select("_id", "_sig", "_chars", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("_tree"))
+    members once. Regions with more than ``most`` characters are cut into pieces,
+    named by ``_base`` and ``_piece`` (else null), that all hold the region's
+    least document, to which nearly everything in a group of copies links. That
+    document itself has no ``_piece``."""
+    trees = profiles.select("_id", "_sig", "_chars", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("_tree"))
+    placed = trees.select("_id", "_chars", "_tree", _prefix(F.col("_tree")).alias("_region"))
     hashed = F.xxhash64("_id")
     halves = [hashed.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(hashed, 32)]
-    done = []
-    for depth in range(MIN_DEPTH, MAX_DEPTH + 1, 4):
-        placed = open_.withColumn("_region", _prefix(F.col("_tree"), depth))
-        sizes = placed.groupBy("_tree", "_region").agg(
-            F.count("*").alias("n"), F.sum("_chars").alias("chars"), F.min("_id").alias("first"),
-            # Sums of 32-bit halves: no number of members overflows them.
-            F.struct(*[F.sum(half) for half in halves]).alias("members"),
-        ).filter("n > 1")
-        sizes = materialize(sizes, "regions")
-        fits = F.col("chars") <= most
-        last = depth + 4 > MAX_DEPTH
-        # Trees often agree on a region: equal members are looked at once.
-        once = sizes.filter(F.lit(last) | fits).groupBy("n", "members", "first").agg(
-            F.min(F.struct("_tree", "_region", "chars")).alias("r")).select("r.*", "first")
-        once = small_or_stored(materialize(once, "once"))
-        narrow = placed.select("_id", "_chars", "_tree", "_region")
-        joined = narrow.join(once, ["_tree", "_region"])
-        if last:
-            pieces = F.ceil(F.col("chars") / most)
-            piece = F.pmod(F.xxhash64("_id"), pieces)
-            # The first document of a region meets each of its pieces.
-            own = F.when(F.col("_id") == F.col("first"), F.sequence(F.lit(0).cast("bigint"), pieces - 1)).otherwise(F.array(piece))
-            joined = joined.withColumn("_piece", F.explode(own))
-            cut = F.when(~fits, F.xxhash64("_region", "_tree"))
-            done.append(joined.select("_id", F.xxhash64("_region", "_tree", "_piece").alias("_region"), cut.alias("_base"),
-                                      F.when(~fits, F.col("_piece")).alias("_piece")))
-            break
-        none = F.lit(None).cast("bigint")
-        done.append(joined.select("_id", F.xxhash64("_region", "_tree").alias("_region"), none.alias("_base"), none.alias("_piece")))
-        full = small_or_stored(sizes.filter(~fits).select("_tree", "_region"))
-        if full.isEmpty():
-            break
-        open_ = placed.join(full, ["_tree", "_region"], "left_semi").drop("_region")
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
-    return materialize(found.distinct(), "members")
+    sizes = placed.groupBy("_tree", "_region").agg(
+        F.count("*").alias("n"), F.sum("_chars").alias("chars"), F.min("_id").alias("first"),
+        # Sums of 32-bit halves: no number of members overflows them.
+        F.struct(*[F.sum(half) for half in halves]).alias("members"),
+    ).filter("n > 1")
+    # Trees often agree on a region: equal members are looked at once.
+    once = sizes.groupBy("n", "members", "first").agg(F.min(F.struct("_tree", "_region", "chars")).alias("r")).select("r.*", "n", "first")
+    once = small_or_stored(materialize(once, "once"))
+    cut = F.col("chars") > most
+    pieces = F.least(F.ceil(F.col("chars") / most), F.col("n"))
+    # The first document of a region meets each of its pieces.
+    is_first = F.col("_id") == F.col("first")
+    own = F.when(is_first, F.sequence(F.lit(0).cast("bigint"), pieces - 1)).otherwise(F.array(F.pmod(hashed, pieces)))
+    joined = placed.join(once, ["_tree", "_region"]).withColumn("_piece", F.explode(own))
+    return materialize(joined.select(
+        "_id", F.xxhash64("_region", "_tree", "_piece").alias("_region"), F.when(cut, F.xxhash64("_region", "_tree")).alias("_base"),
+        F.when(cut & ~is_first, F.col("_piece")).alias("_piece")).distinct(), "members")
 
 
 def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -208,8 +186,9 @@ def _unreached(linked: DataFrame, members: DataFrame, most: int) -> DataFrame |
     alone = materialize(linked.filter("b IS NULL").groupBy("_base", F.col("a").alias("_id")).agg(F.max("_chars").alias("_chars")), "unreached")
     if alone.isEmpty():
         return None
-    chunks = alone.groupBy("_base").agg(F.ceil(F.sum("_chars") / most).alias("chunks"))
-    pieces = members.filter("_base IS NOT NULL")
+    chunks = alone.groupBy("_base").agg(F.least(F.ceil(F.sum("_chars") / most), F.count("*")).alias("chunks"))
+    # The first document has met everything in the first pass.
+    pieces = members.filter("_piece IS NOT NULL")
     with_chunks = pieces.join(chunks, "_base").select(
         "_id", "_base", "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("_chunk"))
     chunk = F.pmod(F.xxhash64("_id"), F.col("chunks")).alias("_chunk")

@@ -151,6 +151,19 @@ def test_cut_regions_lose_no_link(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == lshforest.brute_force(texts, 5, 93) == dict.fromkeys(range(20), 0)
 
 
+def test_crowded_regions_find_pairs_at_80_percent(spark):
+    # Pairs at 0.811, each above the region size.
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{j}" for j in range(100)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:-10] + [f"g{g}x{j}" for j in range(10)]))]
+    exact = lshforest.brute_force(rows, 5, 80)
+    assert all(exact[i] == i - i % 2 for i, _ in rows)
+    got = lshforest.near_duplicates(docs_of(spark, rows), words=5, percent=80, region_chars=300)
+    found = {r.doc_id: r.component_id for r in got.collect()}
+    assert sum(found[i] != exact[i] for i in exact) <= 1
+
+
 def test_region_of_many_classes(spark):
     sig = F.array(*[F.lit(i) for i in range(lshforest.SIGNATURE)])
     profiles = spark.range(40_000).select(F.col("id").alias("_id"), sig.alias("_sig"), F.lit(10).cast("bigint").alias("_chars"))
