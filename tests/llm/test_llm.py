@@ -105,6 +105,21 @@ def test_wrapper_drops_what_pages_share(spark):
     assert wrapper.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_wrapper_keeps_article_text():
+    def text(page):
+        return wrapper.main_text(wrapper.parse(page), set())
+
+    assert text("<p>a<svg width='1'/>b</p><math/><p>c") == "ab c"
+    assert text("<p>a<svg hidden/>b<svg><path/></svg>c") == "abc"
+    deep = "<div id=page><article>one " + "<div>" * 70 + "two" + "</div>" * 70 + " three</article></div>four"
+    assert text(deep) == "one two three"
+    assert text("<div>" * 70 + "<nav>menu</nav><article>one</article>") == "one"
+    assert text("<div class='content has-sidebar'><p>one</div><div class=sidebar>two") == "one"
+    assert text("<div class='layout sidebar-right'><article>one</article><div class=sidebar>two</div></div>") == "one"
+    assert text("<main><div class='page header-top'><article>one</article></div></main>") == "one"
+    assert text("<article>one</article><div class=related><article>two</article></div>") == "one"
+
+
 def test_spans(spark):
     passage = "The first sentence is here. The second one follows it now. A third ends it."
     rows = [(1, "Start of one. " + passage), (2, "Other begin.\n" + passage + "\nOther end."), (3, passage), (4, None), (5, ""), (6, "Ab. Cd."), (7, "Ab. Cd.")]
