@@ -1,4 +1,5 @@
 import pytest
+from plan_text import plan_of
 from pyspark.sql import functions as F
 
 from parcela.operators import cleaning, joins
@@ -48,7 +49,5 @@ def test_append_and_union(spark, tmp_path):
 
 def test_first_per_key_prunes_before_the_shuffle(spark, sf):
     df = spark.read.parquet(f"{sf}/orders.parquet")
-    from conftest import plan_of
-
     plan = plan_of(cleaning.dedup_latest(df, ["o_custkey"], "o_orderdate", "o_orderkey"))
     assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")

@@ -1,6 +1,6 @@
 """The physical plans the operators are meant to get."""
 
-from conftest import plan_of
+from plan_text import plan_of
 from pyspark.sql import functions as F
 
 from parcela.fixtures import listings, points
