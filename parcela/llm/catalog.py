@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitsliced, crf, decontaminate, lshforest, mixing, quality, sharding, spans, warc, wrapper
+from . import bitsliced, crf, decontaminate, linededup, lshforest, mixing, quality, sharding, spans, warc, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,10 +77,16 @@ def op10_poisson_mixing(spark, sf):
     return mixing.poisson_mix(docs, mixing.tempered_weights(docs))
 
 
+@query
+def op11_line_dedup(spark, sf):
+    return linededup.digests(table(spark, sf, "documents"))
+
+
 ORACLE: dict[str, str] = {
     "op2_bit_sliced_topk": bitsliced.TOPK_SQL,
     "op3_benchmark_decontamination": decontaminate.DECONTAMINATE_SQL,
     "op5_sentence_spans": spans.SPANS_SQL,
     "op7_extendible_sharding": sharding.shard_sql(),
     "op10_poisson_mixing": mixing.MIX_SQL,
+    "op11_line_dedup": linededup.LINES_SQL,
 }
