@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitsliced, crf, decontaminate, linededup, lshforest, mixing, quality, sharding, spans, warc, wrapper
+from . import bitsliced, crf, decontaminate, linededup, lshforest, merkle, mixing, quality, sharding, spans, warc, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,6 +82,11 @@ def op11_line_dedup(spark, sf):
     return linededup.digests(table(spark, sf, "documents"))
 
 
+@query
+def op12_merkle_manifest(spark, sf):
+    return merkle.verified(table(spark, sf, "documents"), merkle.third_of_ids())
+
+
 ORACLE: dict[str, str] = {
     "op2_bit_sliced_topk": bitsliced.TOPK_SQL,
     "op3_benchmark_decontamination": decontaminate.DECONTAMINATE_SQL,
@@ -89,4 +94,5 @@ ORACLE: dict[str, str] = {
     "op7_extendible_sharding": sharding.shard_sql(),
     "op10_poisson_mixing": mixing.MIX_SQL,
     "op11_line_dedup": linededup.LINES_SQL,
+    "op12_merkle_manifest": merkle.MERKLE_SQL,
 }
