@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitsliced, crf, decontaminate, linededup, lshforest, merkle, mixing, quality, sharding, spans, warc, wrapper
+from . import bitsliced, crf, decontaminate, fagin, linededup, lshforest, merkle, mixing, quality, sharding, spans, warc, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,6 +87,13 @@ def op12_merkle_manifest(spark, sf):
     return merkle.verified(table(spark, sf, "documents"), merkle.third_of_ids())
 
 
+@query
+def op13_threshold_hard_negatives(spark, sf):
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").withColumn("label", noisy)
+    return fagin.mine(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 ORACLE: dict[str, str] = {
     "op2_bit_sliced_topk": bitsliced.TOPK_SQL,
     "op3_benchmark_decontamination": decontaminate.DECONTAMINATE_SQL,
@@ -95,4 +102,5 @@ ORACLE: dict[str, str] = {
     "op10_poisson_mixing": mixing.MIX_SQL,
     "op11_line_dedup": linededup.LINES_SQL,
     "op12_merkle_manifest": merkle.MERKLE_SQL,
+    "op13_threshold_hard_negatives": fagin.MINE_SQL,
 }
