@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import with_normal_cdf, with_normal_ppf
 from ..schema import FeatureSpec
-from .quantiles import one_row_quantiles
+from ..session import materialize
+from .quantiles import one_row_quantiles, quantiles
 
 
 class _Stored(Params, DefaultParamsReadable, DefaultParamsWritable):
@@ -242,9 +243,13 @@ class TargetTransform(Estimator, _Stored):
     def _fit(self, dataset: DataFrame) -> "TargetTransformModel":
         c = self.get("inputCol")
         rows = dataset.select(F.col(c).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
-        cap = one_row_quantiles(rows, ["v"], [self.get("percentile") / 100.0])["v"][0]
+        # Read by every counting pass of both searches.
+        rows = materialize(rows, "target")
+        top = quantiles(rows, ["v"], [self.get("percentile") / 100.0]).first()
+        if top is None:
+            raise ValueError(f"no row has a value in {c}")
+        cap, count = top["quantiles"][0], top["n"]
         logs = rows.select(F.log1p(F.least("v", F.lit(cap))).alias("v"))
-        count = logs.count()
         knots = max(2, min(self.get("knots"), count))
         points = [i / (knots - 1) for i in range(knots)]
         # Exact at every size; "approx" is a sketch right to one rank in ten thousand.

@@ -64,10 +64,15 @@ def small_or_stored(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
     large side is not shuffled. A bigger result is written to the shared folder
     and joined without a hint, where AQE handles size and skew.
     """
+    return looked_at(df, max_rows)[0]
+
+
+def looked_at(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> tuple[DataFrame, pa.Table | None]:
+    """``small_or_stored``, and the rows themselves if they are few."""
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-    return materialize(df, "side")
+        return F.broadcast(df.sparkSession.createDataFrame(head, df.schema)), head
+    return materialize(df, "side"), None
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

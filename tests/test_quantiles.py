@@ -49,8 +49,8 @@ def test_splitting_cells_changes_nothing(spark, skewed, monkeypatch, rows_to_sor
 def test_large_side_is_stored_instead_of_broadcast(spark, skewed, monkeypatch):
     df = spark.createDataFrame(skewed)
     expected = collected(q.quantiles(df, ["x"], [0.5], ["g"], "hash"))
-    small = q.small_or_stored
-    monkeypatch.setattr(q, "small_or_stored", lambda side: small(side, max_rows=1))
+    look = q.looked_at
+    monkeypatch.setattr(q, "looked_at", lambda side: look(side, max_rows=1))
     assert collected(q.quantiles(df, ["x"], [0.5], ["g"], "cells")) == expected
 
 
@@ -90,3 +90,17 @@ def test_counting_at_every_size(spark, monkeypatch):
 def test_approx_is_close(spark):
     df = spark.range(10_000).selectExpr("cast(id as double) v")
     assert abs(q.one_row_quantiles(df, ["v"], [0.5], "approx")["v"][0] - 5000) < 20
+
+
+@pytest.mark.parametrize("probs", [[0.5], [0.0, 1.0], [i / 999 for i in range(1000)], [0.5, 0.5 + 1e-15, 0.5000001, 0.3, 1.0], [i / 70 for i in range(35, 71)]])
+def test_looking_up_ranks_equals_trying_all(spark, probs):
+    rng = np.random.default_rng(5)
+    total = np.concatenate([[1, 1, 2, 10**15], rng.integers(1, 60, 300), rng.integers(1, 10**9, 300)])
+    before = (rng.random(len(total)) * total).astype(int)
+    n = 1 + (rng.random(len(total)) ** 3 * (total - before)).astype(int)
+    ranks = q._Ranks(probs)
+    first, end = ranks.span("before", "n")
+    df = spark.createDataFrame(pd.DataFrame({"total": total, "before": before, "n": np.minimum(n, total - before)}))
+    for r in df.selectExpr("*", f"{first} AS p0", f"{end} AS p1").collect():
+        at = (r["total"] - 1) * np.array(ranks.probs)
+        assert r["p0"] == np.sum(np.ceil(at) < r["before"]) and r["p1"] == np.sum(np.floor(at) < r["before"] + r["n"])
