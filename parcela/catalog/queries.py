@@ -99,7 +99,7 @@ def insert_if_absent(spark, sf):
     first = rows.filter("STRATUM = 1")
     sinks.insert_if_absent(first, path, "WEB_PROPERTY_CODE", [F.asc("row_id")])
     sinks.insert_if_absent(rows, path, "WEB_PROPERTY_CODE", [F.asc("row_id")])
-    return spark.read.schema(rows.schema).parquet(path)
+    return sinks.read_keyed(spark, path).select(rows.columns)
 
 
 @query
@@ -656,7 +656,7 @@ def stream_ingest(spark, sf):
     stored_pages(spark, sf).select("value").write.text(f"{path}/in")
     feed = stream_pages(spark, f"{path}/in", files_per_batch=4)
     start_ingest(feed, f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("_id", "WEB_PROPERTY_CODE", "PRICE", "DESCRIPTION", "OPERATION_TYPE")
+    return sinks.read_keyed(spark, f"{path}/out").select("_id", "WEB_PROPERTY_CODE", "PRICE", "DESCRIPTION", "OPERATION_TYPE")
 
 
 @query

@@ -197,16 +197,21 @@ def scrape_signature(requests: DataFrame, pages: DataFrame, listings: DataFrame,
     fetched = pages.groupBy("operation", "property").agg(
         F.count_if(F.col("ok")).alias("pages_success"), F.count_if(~F.col("ok")).alias("pages_failed")
     )
-    # Reduced to one row per request and type before anything is compared.
+    # One row per request and type found; then a running total along the run.
     parts = listings.groupBy("operation", "property", "PROPERTY_TYPE").agg(
         F.count("*").alias("n"), F.sum("PRICE").alias("price_sum"), F.count("PRICE").alias("price_n")
-    ).join(requests, ["operation", "property"]).drop("property").withColumnRenamed("position", "seen_at")
-    seen = requests.join(parts, "operation").filter("seen_at <= position")
-    own = F.col("PROPERTY_TYPE") == F.col("property")
-    totals = seen.groupBy("operation", "property", "position").agg(
-        F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("total_properties"),
-        (F.sum(F.when(own, F.col("price_sum"))) / F.nullif(F.sum(F.when(own, F.col("price_n"))), F.lit(0))).alias("mean_price"),
-    )
+    ).join(requests, ["operation", "property"]).select("operation", "position", F.col("PROPERTY_TYPE").alias("type"), "n", "price_sum", "price_n")
+    # A request stands in the run as a row of its own type that adds nothing.
+    asked = requests.select("operation", "position", F.col("property").alias("type"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("price_sum"),
+                            F.lit(0).alias("price_n"), F.col("property").alias("request"))
+    run = parts.withColumn("request", F.lit(None).cast("string")).unionByName(asked)
+    up_to = lambda *by: Window.partitionBy(*by).orderBy("position").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = up_to("operation", "type")
+    totals = run.select(
+        "operation", "request", "position", F.sum("n").over(own).alias("total_properties"),
+        (F.sum("price_sum").over(own) / F.nullif(F.sum("price_n").over(own), F.lit(0))).alias("mean_price"),
+        F.sum("n").over(up_to("operation")).alias("_seen"),
+    ).filter("request IS NOT NULL AND _seen > 0").select("operation", F.col("request").alias("property"), "total_properties", "mean_price")
     done, failed = F.coalesce("pages_success", F.lit(0)), F.coalesce("pages_failed", F.lit(0))
     return totals.join(fetched, ["operation", "property"], "left").select(
         F.lit(timestamp).alias("timestamp"), "property", "operation",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.models import TrainedModel, save_model, train_price_model
 from ..session import materialize
+from ..sources.sinks import read_keyed
 from .clean import clean_listings
 from .ingest import ingest_listings
 
@@ -35,6 +36,6 @@ def run_end_to_end(spark: SparkSession, pages: DataFrame, requests: DataFrame, c
     """The stored table is never overwritten: cleaning writes a new copy."""
     signature = ingest_listings(pages, requests, cfg.target, signatures=cfg.signatures,
                                 json_col=cfg.json_col, **cfg.ingest)
-    cleaned = materialize(clean_listings(spark.read.parquet(cfg.target)), "cleaned")
+    cleaned = materialize(clean_listings(read_keyed(spark, cfg.target)), "cleaned")
     trained = train_price_model(cleaned, cfg.kind, **cfg.training)
     return JobResult(signature, cleaned, trained, save_model(trained, cfg.model_root))

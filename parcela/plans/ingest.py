@@ -11,15 +11,13 @@ from ..operators.embedding import embed_text
 from ..operators.filters import stamp_batch
 from ..operators.stats import compare_signatures, scrape_signature
 from ..schema import BATCH_ID_FORMAT
-from ..session import materialize
-from ..sources.pages import flatten_listings, parse_pages
+from ..session import materialize, scratch_scope
+from ..sources.pages import flatten_listings, flatten_pages
 from ..sources.sinks import existing_table, insert_if_absent
 
 
-def prepare_listings(pages: DataFrame, at: Column, json_col: str = "value", embed: bool = True,
-                     keep: tuple[str, ...] = (), **embedding) -> DataFrame:
-    """Rows ready to be stored, from pages of raw JSON."""
-    rows = flatten_listings(pages, json_col, keep)
+def prepared(rows: DataFrame, at: Column, embed: bool = True, **embedding) -> DataFrame:
+    """Flattened listings with key, clean text, vector and batch stamp."""
     rows = rows.withColumn("_id", uuid5_dns("WEB_PROPERTY_CODE"))
     rows = rows.withColumn("DESCRIPTION", normalize_text("DESCRIPTION"))
     if embed:
@@ -27,25 +25,32 @@ def prepare_listings(pages: DataFrame, at: Column, json_col: str = "value", embe
     return stamp_batch(rows, at)
 
 
+def prepare_listings(pages: DataFrame, at: Column, json_col: str = "value", keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """Rows ready to be stored, from pages of raw JSON."""
+    return prepared(flatten_listings(pages, json_col, keep), at, **options)
+
+
 def ingest_listings(pages: DataFrame, requests: DataFrame, target: str, at: Column | None = None,
                     signatures: str | None = None, json_col: str = "value", **options) -> DataFrame:
     """Store the pages' listings, then sign the run and compare it.
 
     pages: operation, property and the JSON; requests: operation, property,
     position. Returns the run's signature beside the run before it; signatures
-    are kept in ``signatures`` if given.
+    are kept in ``signatures`` if given. The pages are parsed once: listings and
+    page states are parts of one stored table, which is deleted at the end.
     """
     spark = pages.sparkSession
     if at is None:
         # One instant for the whole run.
         at = F.lit(spark.sql("SELECT current_timestamp()").first()[0])
     keys = ("operation", "property")
-    rows = materialize(prepare_listings(pages, at, json_col, keep=keys, **options), "listings")
-    insert_if_absent(rows.drop("position", *keys), target, order=[F.asc("WEB_PROPERTY_CODE")])
-
     stamp = spark.range(1).select(F.date_format(at, BATCH_ID_FORMAT)).first()[0]
-    states = parse_pages(pages, json_col).select(*keys, "ok")
-    signed = materialize(scrape_signature(requests, states, rows, stamp), "signature")
+    with scratch_scope(spark):
+        flat = materialize(flatten_pages(pages, json_col, keys), "pages")
+        rows = flat.filter("is_listing").drop("ok", "page_start", "is_listing", "position")
+        insert_if_absent(prepared(rows.drop(*keys), at, **options), target, order=[F.asc("WEB_PROPERTY_CODE")])
+        states = flat.filter("page_start").select(*keys, "ok")
+        signed = materialize(scrape_signature(requests, states, rows, stamp), "signature", lasting=True)
     if signatures is None:
         return compare_signatures(signed)
     before = existing_table(spark, signatures, signed)

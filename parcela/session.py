@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -45,14 +48,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
-def materialize(df: DataFrame, name: str = "part") -> DataFrame:
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the copies that ``materialize`` makes inside, in this thread, at the
+    end. For jobs whose result is written, not handed back as a plan."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialize(df: DataFrame, name: str = "part", lasting: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a result feeds several jobs. The copy survives lost executors,
-    and its measured size lets Catalyst choose joins.
+    and its measured size lets Catalyst choose joins. A ``lasting`` copy outlives
+    the scratch scope it is made in.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parcela-{name}-{uuid.uuid4().hex}"
+    if not lasting:
+        for scope in _scopes.__dict__.get("stack", [])[-1:]:
+            scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -41,12 +41,13 @@ def page_list(df: DataFrame, hits: str = "total_hits", rows: int = ROWS_PER_PAGE
     return df.withColumn("page_no", F.explode(numbers))
 
 
-def flatten_listings(df: DataFrame, json_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per listing of the pages, with columns LISTING_COLUMNS after the
-    ``keep`` columns and ``position`` on the page. Pages that cannot be parsed
-    yield nothing."""
+def flatten_pages(df: DataFrame, json_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Listings and page states in one parse: after the ``keep`` columns ``ok``
+    (the page holds a hit list), ``page_start`` (one row per page has it),
+    ``is_listing``, ``position`` on the page and the columns LISTING_COLUMNS. A
+    page without listings has one row, which is none."""
     # The outer form adds no size filter, for which the JSON would be parsed again.
-    hits = parse_pages(df, json_col).select(*keep, F.posexplode_outer("page.hits.hits").alias("position", "hit"))
+    hits = parse_pages(df, json_col).select(*keep, "ok", F.posexplode_outer("page.hits.hits").alias("position", "hit"))
     item = lambda f: F.col(f"hit._source.listing.{f}")
     columns = {c: to_number(item(f)) for c, f in _NUMBERS.items()} | {
         "SOURCE": F.lit(SOURCE_NAME),
@@ -62,5 +63,13 @@ def flatten_listings(df: DataFrame, json_col: str = "value", keep: tuple[str, ..
         "DESCRIPTION": item("description"),
         "LINK": F.concat(F.lit(LINK_PREFIX), item("link")),
     }
-    present = hits.filter(F.col("hit._source.listing").isNotNull())
-    return present.select(*keep, "position", *[columns[c].alias(c) for c in LISTING_COLUMNS])
+    return hits.select(
+        *keep, "ok", (F.coalesce("position", F.lit(0)) == 0).alias("page_start"),
+        F.col("hit._source.listing").isNotNull().alias("is_listing"), "position", *[columns[c].alias(c) for c in LISTING_COLUMNS])
+
+
+def flatten_listings(df: DataFrame, json_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per listing of the pages, with columns LISTING_COLUMNS after the
+    ``keep`` columns and ``position`` on the page. Pages that cannot be parsed
+    yield nothing."""
+    return flatten_pages(df, json_col, keep).filter("is_listing").select(*keep, "position", *LISTING_COLUMNS)

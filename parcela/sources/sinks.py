@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.joins import unseen_rows
-from ..session import materialize
+from ..session import materialize, scratch_scope
 
 
 # Conditions of a path that is missing or holds no file.
@@ -31,13 +31,59 @@ def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+# Key ranges of a new keyed table. A table keeps the number it began with: it
+# stands in the name of the partition column.
+KEY_PREFIXES = 64
+_PREFIX = "key_prefix_of_"
+
+
+def _prefix_column(columns: Sequence[str]) -> str | None:
+    return next((c for c in columns if c.startswith(_PREFIX)), None)
+
+
+def key_prefix(key: str, prefix_column: str) -> Column:
+    """The key range of a row; null is a key."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(int(prefix_column.removeprefix(_PREFIX)))).cast("int")
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a keyed table."""
+    rows = spark.read.parquet(path)
+    return rows.drop(*[c for c in rows.columns if c.startswith(_PREFIX)])
+
+
+def keys_in_reach(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The part of a keyed table that may hold the batch's keys: only the
+    partitions of their prefixes are read."""
+    column = _prefix_column(target.columns)
+    if column is None:
+        return target
+    # At most as many values as a table has prefixes.
+    wanted = [r[0] for r in batch.select(key_prefix(key, column)).distinct().collect()]
+    return target.filter(F.col(column).isin(wanted))
+
+
 def insert_if_absent(batch: DataFrame, path: str, key: str = "_id", order: Sequence[Column] = (),
-                     partition_by: Sequence[str] = ("OPERATION_TYPE",)) -> None:
+                     partition_by: Sequence[str] = ("OPERATION_TYPE",), prefixes: int = KEY_PREFIXES) -> None:
     """Append the rows whose key is not stored yet; stored rows always win.
 
-    The batch is written once to the shared folder, since its keys are read
-    before its rows. Running the same batch again adds nothing.
+    The table is partitioned by a hash prefix of the key, so a batch reads the
+    keys of its own prefixes only, and rows and keys are committed by one write.
+    Running the same batch again adds nothing. A table that was stored without
+    prefixes is read and continued as it is. The batch is written once to the
+    shared folder, since its keys are read before its rows, and the copies are
+    deleted at the end. Read the table with ``read_keyed``.
     """
-    batch = materialize(batch, "batch")
-    fresh = unseen_rows(batch, existing_table(batch.sparkSession, path, batch), key, order)
-    append_rows(fresh, path, [c for c in partition_by if c in batch.columns])
+    spark = batch.sparkSession
+    with scratch_scope(spark):
+        batch = materialize(batch, "batch")
+        target = existing_table(spark, path, batch)
+        stored = _prefix_column(target.columns) is not None
+        column = _prefix_column(target.columns) or f"{_PREFIX}{prefixes}"
+        fresh = unseen_rows(batch, keys_in_reach(target, batch, key), key, order)
+        by = [c for c in partition_by if c in batch.columns]
+        if stored or not target.columns or target.isEmpty():
+            # One file for each prefix and partition.
+            fresh = fresh.withColumn(column, key_prefix(key, column)).repartition(column, *by)
+            by = [column, *by]
+        append_rows(fresh, path, by)

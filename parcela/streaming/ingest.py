@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.ingest import prepare_listings
+from ..session import scratch_scope
 from ..sources.sinks import insert_if_absent
 
 
@@ -22,12 +23,13 @@ def start_ingest(pages: DataFrame, target: str, checkpoint: str, trigger: dict |
     """Insert each micro-batch's unseen listings into ``target``.
 
     A batch that is run again after a failure finds its rows stored and adds
-    nothing, so every listing is stored once. ``trigger`` is passed to Spark;
-    the default handles what is there and stops.
+    nothing, so every listing is stored once. A batch leaves no copies behind.
+    ``trigger`` is passed to Spark; the default handles what is there and stops.
     """
     def insert(batch: DataFrame, batch_id: int) -> None:
-        rows = prepare_listings(batch, F.current_timestamp(), json_col, **options)
-        insert_if_absent(rows.drop("position"), target, order=[F.asc("WEB_PROPERTY_CODE"), F.asc("LINK")])
+        with scratch_scope(batch.sparkSession):
+            rows = prepare_listings(batch, F.current_timestamp(), json_col, **options)
+            insert_if_absent(rows.drop("position"), target, order=[F.asc("WEB_PROPERTY_CODE"), F.asc("LINK")])
 
     writer = pages.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

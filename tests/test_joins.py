@@ -1,8 +1,11 @@
+import pathlib
+
 import pytest
 from plan_text import plan_of
 from pyspark.sql import functions as F
 
 from parcela.operators import cleaning, joins
+from parcela.session import shared_dir
 from parcela.sources import sinks
 
 
@@ -51,3 +54,28 @@ def test_first_per_key_prunes_before_the_shuffle(spark, sf):
     df = spark.read.parquet(f"{sf}/orders.parquet")
     plan = plan_of(cleaning.dedup_latest(df, ["o_custkey"], "o_orderdate", "o_orderkey"))
     assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_insert_reads_only_the_prefixes_of_the_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(500).selectExpr("cast(id as string) _id", "id AS n", "'x' AS OPERATION_TYPE")
+    sinks.insert_if_absent(rows, path)
+    batch = spark.createDataFrame([("7", 0, "x"), ("new", 1, "x"), (None, 2, "x")], "_id string, n bigint, OPERATION_TYPE string")
+    plan = plan_of(sinks.keys_in_reach(spark.read.parquet(path), batch, "_id").select("_id"))
+    line = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    assert "key_prefix_of_64" in line and (" IN (" in line or "INSET" in line)
+    before = len(list(pathlib.Path(shared_dir(spark)).iterdir()))
+    for _ in range(3):
+        sinks.insert_if_absent(batch, path)
+        assert len(list(pathlib.Path(shared_dir(spark)).iterdir())) == before
+    stored = sinks.read_keyed(spark, path)
+    assert stored.count() == 502 and stored.columns == ["_id", "n", "OPERATION_TYPE"]
+    assert {r["n"] for r in stored.filter("_id IS NULL OR _id IN ('7', 'new')").collect()} == {7, 1, 2}
+
+
+def test_insert_continues_a_table_without_prefixes(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "_id string, n int, OPERATION_TYPE string")
+    rows.write.partitionBy("OPERATION_TYPE").parquet(path)
+    sinks.insert_if_absent(spark.createDataFrame([("a", 9, "x"), ("c", 3, "x")], rows.schema), path)
+    assert sorted((r["_id"], r["n"]) for r in sinks.read_keyed(spark, path).collect()) == [("a", 1), ("b", 1), ("c", 3)]
