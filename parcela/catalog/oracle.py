@@ -270,6 +270,7 @@ ORACLE: dict[str, str] = {
         list_cosine_similarity({_wide('p.embedding')}, {_wide('q.embedding')}) AS score FROM embeddings q CROSS JOIN embeddings p),
       r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM s)
       SELECT query_id, row_id, CAST(rank AS INT) AS rank, ROUND(score, 5) AS score FROM r WHERE rank <= 5""",
+    "indexed_search": "SELECT vec_id AS query_id, CAST(1 AS DOUBLE) AS top_score, TRUE AS recall_reached FROM embeddings WHERE vec_id % 50 = 0",
     "filtered_first": _on_listings("SELECT row_id, PRICE, AREA FROM listings WHERE PROPERTY_TYPE = 'Apartamento' AND PRICE <= 20000000 ORDER BY row_id LIMIT 10"),
     "first_points": "SELECT vec_id AS row_id FROM embeddings ORDER BY vec_id LIMIT 3",
     "extreme_rows": _on_listings("""SELECT OPERATION_TYPE, MIN(PRICE) AS min_value, arg_min(row_id, (PRICE, row_id)) AS min_id,

@@ -11,7 +11,7 @@ from ..fixtures import listings, points, stored_pages, table
 from ..functions import (
     absolute_link, cosine, dot, flat_vector, norm, normalize_text, or_default, repair_text, to_number, uuid5_dns,
 )
-from ..operators import cleaning, embedding, features, filters, joins, models, search, stats
+from ..operators import cleaning, embedding, features, filters, joins, models, search, stats, vector_index
 from ..operators.quantiles import quantiles
 from ..plans.clean import clean_listings, clean_with_reports
 from ..plans.end_to_end import JobConfig, run_end_to_end
@@ -466,6 +466,25 @@ def vector_topk_lsh(spark, sf):
     return search.vector_topk_lsh(points(spark, sf), _query_vector(spark, sf), 10, id_col="row_id").select("row_id", "score")
 
 
+@query
+def indexed_search(spark, sf):
+    """Searches in a stored index of 16 cells, 6 of them probed; the recall is
+    that of all its searches together, measured against the exact ones."""
+    rows = points(spark, sf)
+    path = scratch(spark, "index")
+    vector_index.learn_cells(rows, path, cells=16)
+    # As at ingest: the index grows by appended rows.
+    vector_index.add_rows(rows.filter("row_id % 3 = 0"), path)
+    vector_index.add_rows(rows.filter("row_id % 3 <> 0"), path)
+    asked = rows.filter("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = materialize(vector_index.indexed_topk_batch(spark, path, asked, 10, 6, id_col="row_id"), "found")
+    exact = search.vector_topk_batch(rows, asked, 10, id_col="row_id")
+    hits = exact.join(found.select("query_id", "row_id", F.lit(1).alias("hit")), ["query_id", "row_id"], "left")
+    recall = hits.agg((F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("recall_reached"))
+    best = found.filter("rank = 1").select("query_id", F.round("score", 5).alias("top_score"))
+    return best.crossJoin(F.broadcast(recall))
+
+
 @query
 def recommend_text(spark, sf):
     """Documents stand for listings; their vectors are stored first, as at ingest."""

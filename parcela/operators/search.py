@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
-from itertools import islice
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from ..functions.vectors import dot, norm, vector_literal
 from ..session import materialize
 
 # Queries answered together in one pass over the listings.
-QUERIES_PER_PASS = 1024
+QUERIES_PER_PASS = 16_384
 # Scores a task holds in memory at a time.
 SCORES_AT_ONCE = 2_000_000
 
@@ -73,38 +73,65 @@ def _best_so_far(found: pa.Table, k: int) -> pa.Table:
     return found.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query) < k))
 
 
-def _task_topk(queries: np.ndarray, query_ids: list, k: int, metric: str,
-               id_name: str, vector_name: str, schema: pa.Schema) -> Callable:
-    """Score Arrow blocks of listings against all queries at once and pass on,
-    per task and query, only the ``k`` best rows."""
-    width = queries.shape[1]
-    if metric == "cosine":
-        queries = _unit_rows(queries)
-    step = max(k, SCORES_AT_ONCE // len(queries))
-    # Between prunings a task holds a few times what it passes on.
-    most = 4 * k * len(queries)
-
+class _BestRows:
+    """The ``k`` best rows of each query among the blocks offered so far."""
+
+    def __init__(self, queries: np.ndarray, query_ids: pa.Array, k: int, metric: str, schema: pa.Schema):
+        self.queries = _unit_rows(queries) if metric == "cosine" else queries
+        self.query_ids, self.k, self.metric, self.schema = query_ids, k, metric, schema
+        self.step = max(k, SCORES_AT_ONCE // len(queries))
+        # Between prunings a task holds a few times what it passes on.
+        self.most = 4 * k * len(queries)
+        self.held: list[pa.Table] = []
+
+    def offer(self, ids: pa.Array, vectors: pa.ListArray) -> None:
+        for start in range(0, len(ids), self.step):
+            some = ids.slice(start, self.step)
+            order = pc.sort_indices(some)
+            some = some.take(order)
+            flat = vectors.slice(start, self.step).take(order).flatten().to_numpy(zero_copy_only=False)
+            matrix = flat.astype(np.float64).reshape(-1, self.queries.shape[1])
+            scores = (_unit_rows(matrix) if self.metric == "cosine" else matrix) @ self.queries.T
+            rows, cols = np.nonzero(_best_of_block(scores, self.k))
+            found = scores[rows, cols]
+            self.held.append(pa.table({
+                "query": pa.array(cols), "id": some.take(pa.array(rows)).cast(self.schema.field(1).type),
+                "score": pa.array(found, type=pa.float64(), mask=np.isnan(found)),
+            }))
+            if sum(t.num_rows for t in self.held) > self.most:
+                self.held = [_best_so_far(pa.concat_tables(self.held), self.k)]
+
+    def batches(self) -> list[pa.RecordBatch]:
+        if not self.held:
+            return []
+        kept = _best_so_far(pa.concat_tables(self.held), self.k).combine_chunks()
+        asked = self.query_ids.take(kept["query"].combine_chunks())
+        return pa.table([asked, kept["id"], kept["score"]], schema=self.schema).to_batches()
+
+
+def _task_topk(k: int, metric: str, schema: pa.Schema) -> Callable:
+    """A task's rows are queries first, then listings. Queries become a matrix,
+    listings stream past it in Arrow blocks, and per query ``k`` rows go on."""
     def best(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        asked: list[pa.Table] = []
+        rows: _BestRows | None = None
         for block in blocks:
-            for start in range(0, block.num_rows, step):
-                piece = block.slice(start, step)
-                piece = piece.take(pc.sort_indices(piece.column(id_name)))
-                flat = piece.column(vector_name).flatten().to_numpy(zero_copy_only=False)
-                matrix = flat.astype(np.float64).reshape(-1, width)
-                scores = (_unit_rows(matrix) if metric == "cosine" else matrix) @ queries.T
-                rows, cols = np.nonzero(_best_of_block(scores, k))
-                found = scores[rows, cols]
-                held.append(pa.table({
-                    "query": pa.array(cols), "id": piece.column(id_name).take(pa.array(rows)).cast(schema.field(1).type),
-                    "score": pa.array(found, type=pa.float64(), mask=np.isnan(found)),
-                }))
-                if sum(t.num_rows for t in held) > most:
-                    held = [_best_so_far(pa.concat_tables(held), k)]
-        if held:
-            kept = _best_so_far(pa.concat_tables(held), k).combine_chunks()
-            asked = pa.array(query_ids, type=schema.field(0).type).take(kept["query"].combine_chunks())
-            yield from pa.table([asked, kept["id"], kept["score"]], schema=schema).to_batches()
+            table = pa.Table.from_batches([block])
+            queries = table.filter(pc.equal(table["kind"], 0))
+            if queries.num_rows:
+                asked.append(queries)
+            listings = table.filter(pc.equal(table["kind"], 1)).combine_chunks()
+            if not listings.num_rows:
+                continue
+            if rows is None:
+                known = pa.concat_tables(asked)
+                # A task that holds several places got the queries once for each.
+                known = known.filter(pc.equal(known["place"], known["place"][0])).combine_chunks()
+                matrix = known["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                rows = _BestRows(matrix.astype(np.float64).reshape(known.num_rows, -1), known["query"].combine_chunks(), k, metric, schema)
+            rows.offer(listings["id"].combine_chunks(), listings["vector"].combine_chunks())
+        if rows is not None:
+            yield from rows.batches()
 
     return best
 
@@ -114,42 +141,48 @@ def vector_topk_batch(df: DataFrame, queries: DataFrame, k: int = 10, vector: st
                       metric: str = "cosine", per_pass: int = QUERIES_PER_PASS) -> DataFrame:
     """Exact top ``k`` listings for every query, with ``score`` and ``rank``.
 
-    Listings are read in Arrow blocks and multiplied with the query matrix. A
-    task passes on ``k`` rows per query, so pairs are never shuffled. Queries
-    stream through the driver ``per_pass`` at a time; each pass is one scan of
-    the listings, and with more than one pass each stores its result.
+    Listings are spread over the tasks; every task also gets all queries, sorted
+    before its listings, and passes on ``k`` rows per query. So pairs are never
+    shuffled, and neither queries nor listings visit the driver. Up to
+    ``per_pass`` queries take one scan; more take further passes, each storing
+    its result. Vectors that are missing or not as wide as the widest query take
+    no part.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError(f"unknown metric {metric!r}")
+    spark = df.sparkSession
     out = T.StructType([
         T.StructField(query_id, queries.schema[query_id].dataType),
         T.StructField(id_col, df.schema[id_col].dataType),
         T.StructField("score", T.DoubleType()),
     ])
+    number, width = queries.agg(F.count("*"), F.max(F.size(query_vector))).first()
+    if not number:
+        return spark.createDataFrame([], out.add("rank", T.IntegerType()))
+    fits = lambda c: F.coalesce(F.size(c) == width, F.lit(False))
+    asked = queries.filter(fits(query_vector)).select(
+        F.lit(0).alias("kind"), F.col(query_id).alias("query"), F.lit(None).cast(out[id_col].dataType).alias("id"),
+        F.col(query_vector).cast("array<double>").alias("vector"))
+    passes = max(1, math.ceil(number / per_pass))
+    if passes > 1:
+        # Dealt in turn, so that passes are of equal size.
+        asked = materialize(asked.repartition(passes).withColumn("pass", F.spark_partition_id()), "queries")
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.filter(fits(vector)).select(
+        F.lit(1).alias("kind"), F.lit(None).cast(out[query_id].dataType).alias("query"), F.col(id_col).alias("id"),
+        F.col(vector).cast("array<double>").alias("vector"), F.pmod(F.xxhash64(id_col, vector), F.lit(places)).cast("int").alias("place"))
     order = Window.partitionBy(query_id).orderBy(F.desc_nulls_last("score"), F.asc(id_col))
 
-    def one_pass(rows: list) -> DataFrame:
-        vectors = np.array([r[query_vector] for r in rows], dtype=np.float64)
-        fn = _task_topk(vectors, [r[query_id] for r in rows], k, metric, id_col, vector, _arrow_schema(out))
-        usable = df.filter(F.size(vector) == vectors.shape[1]).select(id_col, vector)
-        found = usable.mapInArrow(fn, out)
+    def one_pass(some: DataFrame) -> DataFrame:
+        everywhere = some.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+        met = everywhere.unionByName(rows).repartition("place").sortWithinPartitions("kind")
+        found = met.mapInArrow(_task_topk(k, metric, _arrow_schema(out)), out)
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    source = queries.select(query_id, query_vector).toLocalIterator()
-    rows = list(islice(source, per_pass))
-    if not rows:
-        return df.sparkSession.createDataFrame([], out.add("rank", T.IntegerType()))
-    ahead = list(islice(source, per_pass))
-    if not ahead:
-        return one_pass(rows)
-    parts = []
-    while rows:
-        parts.append(materialize(one_pass(rows), "topk"))
-        rows, ahead = ahead, list(islice(source, per_pass))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    return found
+    if passes == 1:
+        return one_pass(asked)
+    parts = [materialize(one_pass(asked.filter(F.col("pass") == p).drop("pass")), "topk") for p in range(passes)]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:

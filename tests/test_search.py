@@ -73,10 +73,15 @@ def test_a_task_passes_on_k_rows_per_query_whatever_its_blocks(monkeypatch, bloc
     ids, vectors = rng.permutation(400), rng.integers(-2, 3, (400, 4)).astype(float)
     vectors[5] = np.nan
     queries = rng.integers(-2, 3, (3, 4)).astype(float)
-    table = pa.table({"_id": pa.array(ids), "embedding": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
+    asked = pa.table({"kind": pa.array([0] * 3, pa.int32()), "query": ["a", "b", "c"], "id": pa.array([None] * 3, pa.int64()),
+                      "vector": pa.array(queries.tolist(), pa.list_(pa.float64())), "place": pa.array([1] * 3, pa.int32())})
+    again = asked.set_column(4, "place", pa.array([2] * 3, pa.int32()))
+    rows = pa.table({"kind": pa.array([1] * 400, pa.int32()), "query": pa.array([None] * 400, pa.string()), "id": pa.array(ids),
+                     "vector": pa.array(vectors.tolist(), pa.list_(pa.float64())), "place": pa.array([1] * 400, pa.int32())})
+    table = pa.concat_tables([asked, again, rows]).combine_chunks()
     schema = pa.schema([("query_id", pa.string()), ("_id", pa.int64()), ("score", pa.float64())])
-    fn = search._task_topk(queries, ["a", "b", "c"], 6, "dot", "_id", "embedding", schema)
-    found = pa.Table.from_batches(list(fn(iter(table.to_batches(max_chunksize=-(-400 // blocks))))), schema).to_pylist()
+    fn = search._task_topk(6, "dot", schema)
+    found = pa.Table.from_batches(list(fn(iter(table.to_batches(max_chunksize=-(-406 // blocks))))), schema).to_pylist()
     for name, q in zip("abc", queries):
         scores = np.where(np.isnan(vectors @ q), -np.inf, vectors @ q)
         order = sorted(range(400), key=lambda i: (-scores[i], ids[i]))[:6]
