@@ -303,6 +303,22 @@ ORACLE: dict[str, str] = {
         + " FROM listings) SELECT row_id, " + ", ".join(
         f"ROUND(({c} - (SELECT AVG({c}) FROM f)) / (SELECT STDDEV_POP({c}) FROM f), 6) AS {c}_scaled" for c in ("ROOMS", "BUILT_AREA", "PRICE"))
         + " FROM f"),
+    "scoring_rejects": _on_listings(f""", q AS (SELECT row_id, concat_ws('; ', {", ".join(f"CASE WHEN {c} IS NULL THEN '{c} is missing' END" for c in
+        ("AREA", "LATITUDE", "LONGITUDE"))}, CASE WHEN row_id % 7 = 0 THEN 'ROOMS is not a whole number: many' WHEN row_id % 11 = 0 THEN
+        'ROOMS is not a whole number: 2.5' WHEN ROOMS IS NULL THEN 'ROOMS is missing' END, {", ".join(f"CASE WHEN {c} IS NULL THEN '{c} is missing' END"
+        for c in ("BATHROOMS", "STRATUM", "BEDROOMS", "ANTIQUITY", "PROPERTY_TYPE"))}) AS reasons FROM listings)
+      SELECT row_id, reasons = '' AS accepted, reasons FROM q"""),
+    "assembled_features": _on_listings(", f AS (SELECT row_id, ANTIQUITY, PROPERTY_TYPE, " + ", ".join(
+        f"COALESCE({c}, (SELECT quantile_cont({c}, 0.5) FROM listings)) AS {c}" for c in ("ROOMS", "BUILT_AREA", "PRICE"))
+        + " FROM listings) SELECT row_id, " + ", ".join(
+        f"ROUND(({c} - (SELECT AVG({c}) FROM f)) / (SELECT STDDEV_POP({c}) FROM f), 6) AS f{i}" for i, c in enumerate(("ROOMS", "BUILT_AREA", "PRICE")))
+        + ", " + " || ".join(
+        [f"CASE WHEN ANTIQUITY = '{v}' THEN '1' ELSE '0' END" for v in sorted(ANTIQUITY_LABELS.values())]
+        + [f"CASE WHEN PROPERTY_TYPE = '{v}' THEN '1' ELSE '0' END" for v in sorted(("Casa", "Apartamento", "Apartaestudio", "Oficina", "Local", "Bodega"))])
+        + " AS bits FROM f"),
+    "embed_with_model": f"""WITH t AS (SELECT p_partkey, coalesce(trim(regexp_replace(p_name, '{BLANKS}', ' ', 'g'), ' '), '') AS t FROM part)
+      SELECT p_partkey, CAST(length(t) AS DOUBLE) AS e0, CAST(length(t) - length(replace(t, 'a', '')) - 2 * (length(t) - length(replace(t, 'e', ''))) AS DOUBLE) AS e1,
+        0.5 * (length(t) - length(replace(t, ' ', ''))) AS e2 FROM t""",
     "one_hot": _on_listings("SELECT row_id, " + " || ".join(
         [f"CASE WHEN ANTIQUITY = '{v}' THEN '1' ELSE '0' END" for v in sorted(ANTIQUITY_LABELS.values())]
         + [f"CASE WHEN PROPERTY_TYPE = '{v}' THEN '1' ELSE '0' END" for v in sorted(("Casa", "Apartamento", "Apartaestudio", "Oficina", "Local", "Bodega"))])

@@ -587,6 +587,16 @@ def scoring_input(spark, sf):
     return models.prepare_scoring_input(rows).select("row_id", "ROOMS", "BUILT_AREA", "PRIVATE_AREA", "FLOOR", "STRATUM")
 
 
+@query
+def scoring_rejects(spark, sf):
+    """Every request, accepted or refused with its reasons, from the two stored parts."""
+    rooms = F.when(F.col("row_id") % 7 == 0, F.lit("many")).when(F.col("row_id") % 11 == 0, F.lit("2.5")).otherwise(F.col("ROOMS").cast("string"))
+    rows = listings(spark, sf).withColumn("ROOMS", rooms)
+    ready, refused = models.split_scoring_input(rows, scratch(spark, "requests"))
+    return ready.select("row_id", F.lit(True).alias("accepted"), F.lit("").alias("reasons")).unionByName(
+        refused.select("row_id", F.lit(False).alias("accepted"), F.array_join("reasons", "; ").alias("reasons")))
+
+
 # --- Features and models ----------------------------------------------------
 
 @query
@@ -614,6 +624,19 @@ def one_hot(spark, sf):
     return fitted.transform(rows).select("row_id", F.array_join(F.transform(vector_to_array("features"), lambda x: x.cast("int").cast("string")), "").alias("bits"))
 
 
+@query
+def assembled_features(spark, sf):
+    """The whole feature vector: scaled numbers, then the bits of the categories."""
+    from pyspark.ml.functions import vector_to_array
+
+    spec = FeatureSpec(numeric=("ROOMS", "BUILT_AREA", "PRICE"), categorical=("ANTIQUITY", "PROPERTY_TYPE"))
+    rows = listings(spark, sf)
+    vector = features.feature_pipeline(spec).fit(rows).transform(rows).select("row_id", vector_to_array("features").alias("f"))
+    numbers = [F.round(F.get("f", F.lit(i)), 6).alias(f"f{i}") for i in range(3)]
+    bits = F.transform(F.slice("f", 4, F.size("f") - 3), lambda x: x.cast("int").cast("string"))
+    return vector.select("row_id", *numbers, F.array_join(bits, "").alias("bits"))
+
+
 @query
 def target_round_trip(spark, sf):
     rows = listings(spark, sf).filter("PRICE > 0").select("row_id", "PRICE")
@@ -669,6 +692,23 @@ def embed_text(spark, sf):
 
 # --- Streaming and jobs -----------------------------------------------------
 
+def _letter_model():
+    """A caller's model: counts of some letters, times fixed weights."""
+    import numpy as np
+
+    def predict(texts: np.ndarray) -> np.ndarray:
+        return np.array([[len(t), t.count("a") - 2 * t.count("e"), 0.5 * t.count(" ")] for t in texts], dtype=np.float32)
+
+    return predict
+
+
+@query
+def embed_with_model(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    made = embedding.embed_text(parts, "p_name", make_model=_letter_model)
+    return made.select("p_partkey", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(3)])
+
+
 @query
 def stream_ingest(spark, sf):
     path = scratch(spark, "stream")

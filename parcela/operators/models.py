@@ -7,6 +7,7 @@ import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -220,6 +221,37 @@ def prepare_scoring_input(df: DataFrame, fill_null: bool = True) -> DataFrame:
     return drop_incomplete(df.withColumns(typed), list(REQUIRED_INPUT))
 
 
+def _reason(c: str, kind: str, typed: Column) -> Column:
+    """Why a required field is refused, null if it is fine. NaN is no number."""
+    wanted = "a whole number" if kind == "int" else "a number"
+    return F.when(F.col(c).isNull(), F.lit(f"{c} is missing")).when(
+        typed.isNull(), F.concat(F.lit(f"{c} is not {wanted}: "), F.col(c).cast("string")))
+
+
+def judge_scoring_input(df: DataFrame) -> DataFrame:
+    """``df`` with ``reasons``: one text per required field that is missing or of
+    another type, in the order of the fields; a row without any may be scored.
+    A field that the table lacks is missing in every row."""
+    judged = []
+    for c, kind in REQUIRED_INPUT.items():
+        judged.append(_reason(c, kind, _typed(c, kind)) if c in df.columns else F.lit(f"{c} is missing"))
+    return df.withColumn("reasons", F.array_compact(F.array(*judged)))
+
+
+def split_scoring_input(df: DataFrame, path: str, fill_null: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Requests ready for scoring, and the refused ones as they came, with
+    ``reasons``. Both are parts of one table below ``path``, written in one pass,
+    so each request is in exactly one of them."""
+    judged = judge_scoring_input(df)
+    judged.withColumn("accepted", F.size("reasons") == 0).write.partitionBy("accepted").parquet(path)
+    stored = df.sparkSession.read.schema(judged.schema.add("accepted", "boolean")).parquet(path)
+    accepted = stored.filter("accepted").drop("accepted", "reasons")
+    refused = stored.filter("NOT accepted").drop("accepted")
+    if not set(REQUIRED_INPUT) <= set(df.columns):
+        return accepted, refused
+    return prepare_scoring_input(accepted, fill_null), refused
+
+
 def _folder(spark: SparkSession, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
@@ -234,11 +266,29 @@ def _stored_versions(spark: SparkSession, root: str) -> list[tuple[int, int]]:
     return [(int(n[2:]), at) for n, at in found if n.startswith("v=") and n[2:].isdigit()]
 
 
+def claim_version(spark: SparkSession, root: str) -> int:
+    """The next free version, taken by creating its claim file without
+    overwriting: of two writers who try the same number only one succeeds, the
+    other goes on to the next."""
+    files, _ = _folder(spark, root)
+    version = max([v for v, _ in _stored_versions(spark, root)], default=0) + 1
+    while True:
+        claim = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/claims/v={version:04d}")
+        try:
+            files.create(claim, False).close()
+            return version
+        except Py4JJavaError as error:
+            if not files.exists(claim):
+                raise error
+            version += 1
+
+
 def save_model(trained: TrainedModel, root: str) -> int:
-    """Store a model as the next version; its metrics row registers it. A run
-    that dies before that leaves a folder load_latest does not pick."""
+    """Store a model as the next version; its metrics row registers it. Writers
+    at the same time get versions of their own, and a run that dies before
+    its row is written leaves a folder load_latest does not pick."""
     spark = trained.metrics.sparkSession
-    version = max([v for v, _ in _stored_versions(spark, root)], default=0) + 1
+    version = claim_version(spark, root)
     trained.model.write().save(f"{root}/v={version:04d}")
     trained.metrics.select(
         F.lit(version).alias("version"), F.current_timestamp().alias("registered_at"),
@@ -257,7 +307,9 @@ def load_latest(spark: SparkSession, root: str) -> tuple[int, PipelineModel]:
     if files.exists(path):
         version = registered_models(spark, root).agg(F.max("version")).first()[0]
     else:
-        stored = _stored_versions(spark, root)
+        # A folder that was claimed but never registered is not complete.
+        claims, folder = _folder(spark, f"{root}/claims")
+        stored = [] if claims.exists(folder) else _stored_versions(spark, root)
         if not stored:
             raise FileNotFoundError(f"no model below {root}")
         version = max(stored, key=lambda s: (s[1], s[0]))[0]

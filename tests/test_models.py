@@ -89,3 +89,33 @@ def test_bundle(spark, tmp_path, sf):
     train, test, again = tables.load_bundle(spark, str(tmp_path / "b"))
     assert train.count() == rows.count() and test.count() == 0
     assert again.transform(train).select("features").first() is not None
+
+
+def test_refused_requests_carry_their_reasons(spark, tmp_path):
+    schema = ("AREA string, LATITUDE double, LONGITUDE double, ROOMS string, BATHROOMS int, STRATUM int, BEDROOMS int, ANTIQUITY string, "
+              "PROPERTY_TYPE string, extra string")
+    good = ("50", 4.6, -74.0, "3.0", 2, 3, 2, "x", "Casa", "a")
+    rows = [good, ("no", *good[1:]), (*good[:3], "3.5", None, *good[5:]), ("NaN", float("nan"), *good[2:]), good]
+    ready, refused = models.split_scoring_input(spark.createDataFrame(rows, schema), str(tmp_path / "r"))
+    assert ready.count() == 2 and ready.first()["ROOMS"] == 3 and ready.first()["GARAGE"] == 0.0
+    got = {(r["AREA"], r["ROOMS"]): r["reasons"] for r in refused.collect()}
+    assert got["no", "3.0"] == ["AREA is not a number: no"]
+    assert got["50", "3.5"] == ["ROOMS is not a whole number: 3.5", "BATHROOMS is missing"]
+    assert got["NaN", "3.0"] == ["AREA is not a number: NaN", "LATITUDE is not a number: NaN"] and len(got) == 3
+    none, all_rows = models.split_scoring_input(spark.createDataFrame(rows, schema).drop("STRATUM"), str(tmp_path / "s"))
+    assert none.count() == 0 and all("STRATUM is missing" in r["reasons"] for r in all_rows.collect())
+    empty, nothing = models.split_scoring_input(spark.createDataFrame([], schema), str(tmp_path / "e"))
+    assert empty.count() == nothing.count() == 0
+
+
+def test_two_writers_claim_two_versions(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "models")
+    assert models.claim_version(spark, root) == 1
+    # Both writers saw the same folders: neither has stored a model yet.
+    assert models.claim_version(spark, root) == 2
+    monkeypatch.setattr(models, "_stored_versions", lambda *a: [(1, 0)])
+    assert models.claim_version(spark, root) == 3
+    monkeypatch.undo()
+    # A claim without a registered model is not picked.
+    with pytest.raises(FileNotFoundError):
+        models.load_latest(spark, root)
