@@ -144,9 +144,34 @@ class _Ranks:
 def _by_cells(values: DataFrame, columns: list[str], probs: list[float], by: list[str]) -> DataFrame:
     pairs = ", ".join(f"named_struct('field', '{c}', 'v', `{c}`)" for c in columns)
     rows = values.select(*by, F.expr(f"inline(array({pairs}))")).filter("v IS NOT NULL").withColumn("cell", F.expr(_LOG_CELL))
-    group, ranks = [*by, "field"], _Ranks(probs)
+    group = [*by, "field"]
+    return _from_cells(rows, rows.groupBy(*group, "cell").agg(*_cell_counts()), group, _Ranks(probs))
 
-    counted = rows.groupBy(*group, "cell").agg(F.expr("count(*) AS n"), F.expr("min(v) AS lo"), F.expr("max(v) AS hi"))
+
+def _cell_counts() -> list[Column]:
+    return [F.expr("count(*) AS n"), F.expr("min(v) AS lo"), F.expr("max(v) AS hi")]
+
+
+def quantiles_and_cells(df: DataFrame, column: str, probabilities: Sequence[float], by: Sequence[str],
+                        sums: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """Quantiles of one column, and aggregates ``sums`` of all rows in the same
+    scan as the first count.
+
+    The aggregates come back per group and cell of the column's values (rows
+    without a value are a cell too), for the caller to add up: a few
+    thousand rows per group, stored.
+    """
+    by = list(by)
+    rows = df.withColumns({"field": F.lit(column), "v": _number(column)}).withColumn("cell", F.expr(_LOG_CELL))
+    group = [*by, "field"]
+    cells = materialize(rows.groupBy(*group, "cell").agg(*_cell_counts(), *sums), "counts")
+    known = rows.select(*group, "v", "cell").filter("v IS NOT NULL")
+    counted = cells.filter("cell IS NOT NULL").select(*group, "cell", "n", "lo", "hi")
+    found = _from_cells(known, counted, group, _Ranks([float(p) for p in probabilities]))
+    return found, cells.drop("field", "lo", "hi")
+
+
+def _from_cells(rows: DataFrame, counted: DataFrame, group: list[str], ranks: _Ranks) -> DataFrame:
     inside = Window.partitionBy(*group)
     in_order = inside.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.select("*", F.sum("n").over(inside).alias("total"), F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before"))
@@ -161,7 +186,7 @@ def _by_cells(values: DataFrame, columns: list[str], probs: list[float], by: lis
         part = f"if(hi > lo, least(floor((v - lo) / (hi - lo) * {SPLIT}), {SPLIT - 1}), 0)"
         rows = rows.withColumn("cell", F.expr(f"cell * {SPLIT} + {part}")).drop("lo", "hi", "n")
         parent = [*group, "total", "before"]
-        split = rows.groupBy(*parent, "cell").agg(F.expr("count(*) AS n"), F.expr("min(v) AS lo"), F.expr("max(v) AS hi"))
+        split = rows.groupBy(*parent, "cell").agg(*_cell_counts())
         in_parent = Window.partitionBy(*parent).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         split = split.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(in_parent), F.lit(0)))
         chosen, crowded = _holding_ranks(split, ranks)

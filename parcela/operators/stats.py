@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import half_up
 from ..schema import OPERATIONS
 from ..session import local_rows
-from .quantiles import quantiles
+from .quantiles import quantiles, quantiles_and_cells
 
 PROFILE_PROBABILITIES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -247,17 +247,38 @@ def regression_metrics(df: DataFrame, truth: str = "y_true", predicted: str = "y
         # Fixed value: the smallest divisor of the mean percentage error.
         (gap / F.greatest(F.abs(y), F.lit(2.220446049250313e-16))).alias("guarded_ape"),
     )
-    sums = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count_if(F.col("y") == 0.0).alias("zero_truth"),
-        F.max(F.isnan("ape")).alias("undefined"),
-        F.avg("guarded_ape").alias("MAPE"), F.avg(F.abs("residual")).alias("MAE"),
-        F.avg(F.col("residual") * F.col("residual")).alias("mse"),
-        F.var_pop("y").alias("var_y"), F.var_pop("residual").alias("var_r"),
-        F.avg("residual").alias("mean_residual"), F.stddev_pop("residual").alias("std_residual"),
-        F.max(F.abs("residual")).alias("max_error"),
-    )
-    middle = quantiles(rows, ["ape"], [0.5], by, method).select(
-        *by, F.element_at("quantiles", 1).alias("median_ape"))
+    square = F.col("residual") * F.col("residual")
+    if method == "cells":
+        # Sums and first counts of the percentage errors come from one scan.
+        middle, cells = quantiles_and_cells(rows, "ape", [0.5], by, [
+            F.count_if(F.col("y") == 0.0).alias("zero_truth"), F.max(F.isnan("ape")).alias("undefined"),
+            F.sum("guarded_ape").alias("s_ape"), F.sum(F.abs("residual")).alias("s_abs"), F.sum(square).alias("s_square"),
+            F.max(F.abs("residual")).alias("max_error"),
+            F.avg("y").alias("m_y"), F.var_pop("y").alias("v_y"), F.avg("residual").alias("m_r"), F.var_pop("residual").alias("v_r"),
+        ])
+        # Variances are put together from those within the cells and between them.
+        whole = Window.partitionBy(*by)
+        mean = lambda c: F.sum(F.col("n") * F.col(c)).over(whole) / F.sum("n").over(whole)
+        cells = cells.withColumns({"all_y": mean("m_y"), "all_r": mean("m_r")})
+        total = lambda c: F.sum(c) / F.sum("n")
+        spread = lambda v, m, a: F.sum(F.col("n") * (F.col(v) + (F.col(m) - F.col(a)) * (F.col(m) - F.col(a)))) / F.sum("n")
+        sums = cells.groupBy(*by).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("zero_truth"), F.lit(0)).alias("zero_truth"), F.max("undefined").alias("undefined"),
+            total("s_ape").alias("MAPE"), total("s_abs").alias("MAE"), total("s_square").alias("mse"),
+            spread("v_y", "m_y", "all_y").alias("var_y"), spread("v_r", "m_r", "all_r").alias("var_r"),
+            F.max("all_r").alias("mean_residual"), F.max("max_error").alias("max_error"),
+        ).withColumn("std_residual", F.sqrt("var_r"))
+    else:
+        middle = quantiles(rows, ["ape"], [0.5], by, method)
+        sums = rows.groupBy(*by).agg(
+            F.count("*").alias("n"), F.count_if(F.col("y") == 0.0).alias("zero_truth"),
+            F.max(F.isnan("ape")).alias("undefined"),
+            F.avg("guarded_ape").alias("MAPE"), F.avg(F.abs("residual")).alias("MAE"), F.avg(square).alias("mse"),
+            F.var_pop("y").alias("var_y"), F.var_pop("residual").alias("var_r"),
+            F.avg("residual").alias("mean_residual"), F.stddev_pop("residual").alias("std_residual"),
+            F.max(F.abs("residual")).alias("max_error"),
+        )
+    middle = middle.select(*by, F.element_at("quantiles", 1).alias("median_ape"))
     explained = lambda part: F.when(F.col("var_y") > 0.0, 1.0 - part / F.nullif(F.col("var_y"), F.lit(0.0))).otherwise(
         F.when(part == 0.0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return _side_by_side(by, sums, middle).filter("n IS NOT NULL").select(

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,29 @@ def test_compare_models(spark):
     one = spark.createDataFrame([("m", "Test", 2.0, 1.0)], "model string, Set string, y_true double, y_pred double")
     found = models.compare_models([one, one.withColumn("model", F.lit("k"))])
     assert sorted(r["model"] for r in found.collect()) == ["k", "m"]
+
+
+def test_metrics_scan_the_rows_twice_and_equal_a_direct_computation(spark):
+    rng = np.random.default_rng(4)
+    y = rng.lognormal(12, 1, 6000)
+    z = y * rng.normal(1.0, 0.2, 6000) + 1e6
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    df = spark.createDataFrame(pd.DataFrame({"m": ["a", "b", "a"] * 2000, "y_true": y, "y_pred": z}))
+    read = df.mapInPandas(count, df.schema)
+    rows = {r["m"]: r for r in stats.regression_metrics(read, by=["m"]).collect()}
+    # Once for the sums and first counts, once for the values of the chosen cells.
+    assert seen.value == 2 * 6000
+    direct = {r["m"]: r for r in stats.regression_metrics(df, by=["m"], method="hash").collect()}
+    for m in "ab":
+        for c, want in direct[m].asDict().items():
+            assert rows[m][c] == want or rows[m][c] == pytest.approx(want, rel=1e-9)
+    flat = spark.createDataFrame([(5e9 + 1, 5e9), (5e9 + 1, 5e9 + 2)], "y_true double, y_pred double")
+    one = stats.regression_metrics(flat).first()
+    assert (one["n"], one["MAE"], one["R2"]) == (2, 1.0, 0.0)
+    assert stats.regression_metrics(flat.limit(0)).first()["n"] == 0
