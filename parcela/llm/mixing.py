@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import small_or_stored
+from .names import set_apart
 
 SEED = 7
 # exp(-rate) stays far from underflow up to here; larger rates are sums of parts.
@@ -74,17 +75,20 @@ def poisson_mix(docs: DataFrame, weights: DataFrame, source: str = "source", key
     """``docs``, each row repeated by its Poisson count, in random order, with
     ``copy`` (from 1).
 
-    Rows of one key draw the same count; a null key counts as the empty text.
-    An empty table gives no rows. A column ``copy`` in ``docs`` is replaced.
+    Rows of one key draw the same count. Rows without a key draw by their
+    content, so that only equal ones of them draw the same. An empty table gives
+    no rows. A column ``copy`` in ``docs`` is replaced.
     """
     rates = repetition_rates(docs, weights, source, rows)
-    docs = docs.drop("copy")
+    docs, named = set_apart(docs.drop("copy"), ["_source", "rate", "_k", "_key", "_place"], [source, key])
+    content = F.concat(F.lit("null|"), F.xxhash64(*docs.columns).cast("string"))
     known = docs.join(rates, F.col(source).eqNullSafe(F.col("_source")), "inner")
-    times = known.withColumn("_k", copies(F.col("rate"), F.col(key), seed)).filter("_k > 0")
+    known = known.withColumn("_key", F.coalesce(F.col(key).cast("string"), content))
+    times = known.withColumn("_k", copies(F.col("rate"), F.col("_key"), seed)).filter("_k > 0")
     repeated = times.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k"))))
-    place = F.xxhash64(F.lit(seed), F.lit("place"), F.col(key).cast("string"), F.col("copy"))
+    place = F.xxhash64(F.lit(seed), F.lit("place"), F.col("_key"), F.col("copy"))
     mixed = repeated.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place")
-    return mixed.select(*docs.columns, "copy")
+    return named(mixed.select(*docs.columns, "copy"))
 
 
 MIX_SQL = f"""
