@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize, small_or_stored
+from .names import set_apart
 
 HASH_BITS = 60
 SHARD_BYTES = 64 << 20
@@ -68,7 +69,8 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", limit: in
     gives no rows. Columns of the four names in ``df`` are replaced.
     """
     clash = [c for c in ("n_bytes", "shard", "depth", "page") if c in df.columns]
-    keyed = df.drop(*clash).withColumns({
+    own, named = set_apart(df.drop(*clash), ["_hash", "_prefix", "_cell", "_d", "_p", "_over", "_part"], [key, text])
+    keyed = own.withColumns({
         "_hash": key_hash(key),
         "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint"),
     })
@@ -102,9 +104,7 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", limit: in
         placed = placed.withColumn("_part", F.spark_partition_id())
         page = _overflow_page(limit)
     shard = F.expr("if(depth = 0, '', lpad(bin(_prefix), depth, '0'))")
-    return placed.withColumns({"shard": shard, "page": page}).select(
-        *[c for c in df.columns if c not in clash], "n_bytes", "shard", "depth", "page"
-    )
+    return named(placed.withColumns({"shard": shard, "page": page}).select(*own.columns, "n_bytes", "shard", "depth", "page"))
 
 
 def _overflow_page(limit: int) -> Column:
@@ -121,9 +121,16 @@ def _overflow_page(limit: int) -> Column:
     return F.when(F.col("_over"), F.col("_part") * F.lit(1 << 32) + number).otherwise(0).cast("bigint")
 
 
+def together(df: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+    """Rows of ``shard_rows`` with those of a (shard, page) in one partition. The
+    number of partitions follows the bytes, so a task's share does not grow."""
+    total = df.agg(F.sum("n_bytes")).first()[0] or 0
+    return df.repartition(max(1, math.ceil(2 * total / limit)), "shard", "page")
+
+
 def write_shards(df: DataFrame, path: str) -> None:
     """Write rows of ``shard_rows`` so that each shard is one folder."""
-    df.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    together(df).write.partitionBy("shard", "page").parquet(path)
 
 
 def shard_sql(limit: int = SHARD_BYTES) -> str:
