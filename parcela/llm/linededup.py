@@ -87,7 +87,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return gone
 
 
-def _runs(dropped: Column, n_lines: Column) -> Column:
+def kept_runs(dropped: Column, n_lines: Column) -> Column:
     """Kept runs (start, length) between the sorted dropped positions."""
     edges = F.concat(F.array(F.lit(-1)), dropped, F.array(n_lines))
     after = F.slice(edges, 2, F.size(edges) - 1)
@@ -126,7 +126,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return both.select(
         "_row.*", F.col("_n").cast("bigint").alias("n_lines"), F.size(dropped).cast("bigint").alias("n_dropped"),
-        _runs(dropped, F.col("_n")).alias("keep_bitmap"))
+        kept_runs(dropped, F.col("_n")).alias("keep_bitmap"))
 
 
 def kept_text(text: Column, keep_bitmap: Column) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
+from .linededup import kept_runs
+from .names import set_apart
 
 # Sentences per run, and the words a run needs to tell a passage from chance.
 SPAN = 2
@@ -76,15 +78,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     drop = materialize(repeated_sentences(docs, doc_id, text, span, min_words), "repeats")
     # One document's positions: as many as it has sentences.
     per_doc = materialize(drop.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(F.collect_set("at").alias("_drop")), "drop").hint("merge")
-    docs = docs.drop("n_sentences", "n_removed")
+    docs, named = set_apart(docs.drop("n_sentences", "n_removed"), ["_i", "_t", "_drop", "_s"], [doc_id, text])
     joined = docs.join(per_doc, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_t")), "left")
     cut = joined.withColumn("_s", sentences(F.col(text)))
-    kept = F.filter("_s", lambda s, i: ~F.array_contains("_drop", i))
+    # Slices between the dropped positions: one step per run, not per pair.
+    kept = F.flatten(F.transform(kept_runs(F.array_sort("_drop"), F.size("_s")), lambda r: F.slice("_s", r["start"] + 1, r["length"])))
     removed = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_s") - F.size(kept)).cast("bigint")
     return cut.withColumns({
         "n_sentences": F.size("_s").cast("bigint"), "n_removed": removed,
         text: F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
-    }).select(*docs.columns, "n_sentences", "n_removed")
+    }).transform(lambda done: named(done.select(*docs.columns, "n_sentences", "n_removed")))
 
 
 SPANS_SQL = f"""
