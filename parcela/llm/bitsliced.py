@@ -21,16 +21,13 @@ from ..session import materialize
 
 BLOCK_ROWS = 16_384
 QUERY_BLOCK = 512
-# Quantised components are held to this size, so sums stay exact in 64 bits.
-LARGEST = 1 << 24
 
 
 def quantised(vector: str = "embedding", scale: int = 64) -> Column:
     """floor(scale * component); null if a component is null or not finite."""
     v = F.col(vector)
     usable = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    whole = F.transform(v, lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(-1.0 * LARGEST)), F.lit(1.0 * LARGEST))).cast("int"))
-    return F.when(usable, whole)
+    return F.when(usable, F.transform(v, lambda x: F.floor(x.cast("double") * scale)))
 
 
 def _pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -163,10 +160,14 @@ def _tile(k: int):
                 slices = np.pad(raw, ((0, 0), (0, 0), (0, pad)))
                 everyone = np.packbits(np.ones(rows, np.uint8))
                 everyone = np.pad(everyone, (0, slices.shape[2] - len(everyone)))
+                # The score of a row, and what is added on the way to it.
+                reach = len(least) * (int(np.abs(least).max(initial=0)) + (1 << bits))
                 out = []
                 for q, values in zip(tile.query_ids, tile.query_values):
                     query = np.zeros(len(least), np.int64)
                     query[:len(values)] = values
+                    if reach * int(np.abs(query).max(initial=0)) >= 1 << 62:
+                        raise ValueError("components are too large: scores leave 64 bits")
                     allowed = everyone
                     lo, hi = np.searchsorted(ids, [q, q + 1])
                     if hi > lo:
@@ -190,7 +191,8 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
     query. Rows whose vector or id is null, or whose vector holds null or
     non-finite components, take no part. Of query rows with one id the least
     vector is asked; repeated candidate rows all compete. Components that a
-    shorter vector lacks count as 0.
+    shorter vector lacks count as 0. If scores could leave 64 bits, a ValueError
+    ends the job.
     """
     def usable(df: DataFrame) -> DataFrame:
         return df.select(F.col(vec_id).cast("bigint").alias("vec_id"), quantised(vector, scale).alias("values")).filter(
