@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize, small_or_stored
+from .names import set_apart
 
 # Fixed value: a word is a run of digits, lower-case letters and non-ASCII characters,
 # after A-Z became a-z; the pattern finds what separates words.
@@ -165,8 +166,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated rows."""
     found = contamination(docs, items, doc_id, text, **options).filter("contaminated")
+    docs, named = set_apart(docs, ["_i", "_t"], [doc_id, text])
     bad = small_or_stored(found.select(F.col(doc_id).alias("_i"), F.col("_th").alias("_t")).distinct())
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_t")), "left_anti")
+    return named(docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_t")), "left_anti"))
 
 
 _SQL_WORDS = ("regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize, small_or_stored
+from .names import set_apart
 
 TREES = 16
 DEPTH = 4
@@ -270,7 +271,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     of one id stay one row each."""
     found = materialize(near_duplicates(docs, doc_id, text, words, percent), "kept")
     gone = small_or_stored(found.filter("NOT kept").select(F.col(doc_id).alias("_gone")).distinct())
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    docs, named = set_apart(docs, ["_gone"], [doc_id, text])
+    return named(docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], words: int = 5, percent: int = 80) -> dict[int, int]:

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize, small_or_stored
+from .names import set_apart
 
 # Documents the scorer is fitted on, labelled rows the toxic lexicon is read
 # from, and entries of that lexicon: the bounds of what reaches the driver.
@@ -250,4 +251,5 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "d
     found = materialize(classify(docs, labels, doc_id, text), "judged")
     gone = found.filter("NOT kept").select(F.col(doc_id).alias("_i"), F.col("_th").alias("_t")).distinct()
     gone = materialize(gone, "rejected").hint("merge")
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_t")), "left_anti")
+    docs, named = set_apart(docs, ["_i", "_t"], [doc_id, text])
+    return named(docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_t")), "left_anti"))
