@@ -112,24 +112,36 @@ def _rows_of(bitmap: np.ndarray, rows: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap)[:rows])
 
 
-def block_topk(query: np.ndarray, slices: np.ndarray, least: np.ndarray, allowed: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _digits(q: int) -> Iterator[tuple[int, int]]:
+    """The non-adjacent form of ``q``: weights and signs with fewest digits, so
+    fewest slices enter a sum."""
+    j = 0
+    while q:
+        if q & 1:
+            sign = 2 - (q & 3)
+            yield j, sign
+            q -= sign
+        q, j = q >> 1, j + 1
+
+
+def block_topk(query: np.ndarray, slices: np.ndarray, inverse: np.ndarray, least: np.ndarray, allowed: np.ndarray,
+               rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and scores of the ``k`` best allowed rows of a block; of equal ones
-    the first rows, which have the smaller ids."""
+    the first rows, which have the smaller ids. ``inverse`` holds the
+    complements of ``slices``."""
     dims, bits, _ = slices.shape
     top = (1 << bits) - 1
     columns: list[list[np.ndarray]] = []
     offset = int(query @ least)
     for d in np.flatnonzero(query):
-        q = int(query[d])
-        own = slices[d] if q > 0 else ~slices[d]
-        if q < 0:
-            offset += q * top  # q * v = |q| * (top - v) + q * top
-        for j in range(abs(q).bit_length()):
-            if abs(q) >> j & 1:
-                while len(columns) < j + bits:
-                    columns.append([])
-                for b in range(bits):
-                    columns[j + b].append(own[b])
+        for j, sign in _digits(int(query[d])):
+            own = slices[d] if sign > 0 else inverse[d]
+            if sign < 0:
+                offset -= top << j  # -v = (top - v) - top
+            while len(columns) < j + bits:
+                columns.append([])
+            for b in range(bits):
+                columns[j + b].append(own[b])
     score = _sum_slices(columns) if columns else []
     sure, maybe = np.zeros_like(allowed), allowed
     missing = min(k, _count(allowed))
@@ -158,6 +170,7 @@ def _tile(k: int):
                 raw = np.frombuffer(tile.slices, np.uint8).reshape(len(least), bits, -1)
                 pad = -raw.shape[2] % 8
                 slices = np.pad(raw, ((0, 0), (0, 0), (0, pad)))
+                inverse = ~slices
                 everyone = np.packbits(np.ones(rows, np.uint8))
                 everyone = np.pad(everyone, (0, slices.shape[2] - len(everyone)))
                 # The score of a row, and what is added on the way to it.
@@ -166,7 +179,7 @@ def _tile(k: int):
                 for q, values in zip(tile.query_ids, tile.query_values):
                     query = np.zeros(len(least), np.int64)
                     query[:len(values)] = values
-                    if reach * int(np.abs(query).max(initial=0)) >= 1 << 62:
+                    if reach * int(np.abs(query).max(initial=0)) >= 1 << 60:
                         raise ValueError("components are too large: scores leave 64 bits")
                     allowed = everyone
                     lo, hi = np.searchsorted(ids, [q, q + 1])
@@ -174,7 +187,7 @@ def _tile(k: int):
                         allowed = everyone.copy()
                         for r in range(lo, hi):
                             allowed[r >> 3] &= ~np.uint8(128 >> (r & 7))
-                    found, score = block_topk(query, slices, least, allowed, rows, k)
+                    found, score = block_topk(query, slices, inverse, least, allowed, rows, k)
                     out.append(pd.DataFrame({"query_id": q, "vec_id": ids[found], "score": score}))
                 if out:
                     yield pd.concat(out)
