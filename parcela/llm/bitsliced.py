@@ -75,33 +75,26 @@ def _full_add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray,
     return x ^ c, (a & b) | (x & c)
 
 
-def _sum_slices(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Add bitmaps that are listed by weight, until one is left per weight."""
+def _sum_slices(columns: list[list[np.ndarray]], width: int) -> list[np.ndarray]:
+    """Add bitmaps, listed by weight as matrices of bitmaps, until one is left
+    per weight."""
     out: list[np.ndarray] = []
     w = 0
     while w < len(columns):
-        level = columns[w]
+        level = np.concatenate(columns[w]) if columns[w] else np.zeros((1, width), np.uint8)
         while len(level) > 1:
-            carries = columns[w + 1] if w + 1 < len(columns) else columns.append([]) or columns[w + 1]
-            if len(level) == 2:
-                a, b = level
-                level = [a ^ b]
-                carries.append(a & b)
+            if w + 1 == len(columns):
+                columns.append([])
+            third = len(level) // 3
+            if third:
+                s, c = _full_add(level[:third], level[third:2 * third], level[2 * third:3 * third])
+                level = np.concatenate([level[3 * third:], s])
             else:
-                third = len(level) // 3
-                stack = np.stack(level[: 3 * third]) if third > 1 else None
-                if stack is None:
-                    s, c = _full_add(*level[:3])
-                    level = level[3:] + [s]
-                    carries.append(c)
-                else:
-                    s, c = _full_add(stack[:third], stack[third:2 * third], stack[2 * third:])
-                    level = level[3 * third:] + list(s)
-                    carries.extend(c)
-        out.append(level[0] if level else None)
+                c, level = level[:1] & level[1:], level[:1] ^ level[1:]
+            columns[w + 1].append(c)
+        out.append(level[0])
         w += 1
-    zero = next((np.zeros_like(x) for x in out if x is not None), None)
-    return [zero if x is None else x for x in out]
+    return out
 
 
 def _count(bitmap: np.ndarray) -> int:
@@ -124,25 +117,23 @@ def _digits(q: int) -> Iterator[tuple[int, int]]:
         q, j = q >> 1, j + 1
 
 
-def block_topk(query: np.ndarray, slices: np.ndarray, inverse: np.ndarray, least: np.ndarray, allowed: np.ndarray,
+def block_topk(query: np.ndarray, both: np.ndarray, bits: int, least: np.ndarray, allowed: np.ndarray,
                rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and scores of the ``k`` best allowed rows of a block; of equal ones
-    the first rows, which have the smaller ids. ``inverse`` holds the
-    complements of ``slices``."""
-    dims, bits, _ = slices.shape
-    top = (1 << bits) - 1
+    the first rows, which have the smaller ids. ``both`` holds the slices of all
+    dimensions, then their complements, one bitmap a row."""
+    digits = [(d * bits, j, sign) for d in np.flatnonzero(query) for j, sign in _digits(int(query[d]))]
+    top, half = (1 << bits) - 1, len(both) // 2
+    # -v = (top - v) - top, and the complement is top - v.
+    offset = int(query @ least) - sum(top << j for _, j, sign in digits if sign < 0)
+    first = np.array([d if sign > 0 else d + half for d, _, sign in digits], np.int64)
+    weight = np.array([j for _, j, _ in digits], np.int64)
     columns: list[list[np.ndarray]] = []
-    offset = int(query @ least)
-    for d in np.flatnonzero(query):
-        for j, sign in _digits(int(query[d])):
-            own = slices[d] if sign > 0 else inverse[d]
-            if sign < 0:
-                offset -= top << j  # -v = (top - v) - top
-            while len(columns) < j + bits:
-                columns.append([])
-            for b in range(bits):
-                columns[j + b].append(own[b])
-    score = _sum_slices(columns) if columns else []
+    for w in range(int(weight.max(initial=-bits)) + bits):
+        bit = w - weight
+        here = (bit >= 0) & (bit < bits)
+        columns.append([both[first[here] + bit[here]]] if here.any() else [])
+    score = _sum_slices(columns, both.shape[1]) if digits else []
     sure, maybe = np.zeros_like(allowed), allowed
     missing = min(k, _count(allowed))
     for one in reversed(score):
@@ -170,7 +161,8 @@ def _tile(k: int):
                 raw = np.frombuffer(tile.slices, np.uint8).reshape(len(least), bits, -1)
                 pad = -raw.shape[2] % 8
                 slices = np.pad(raw, ((0, 0), (0, 0), (0, pad)))
-                inverse = ~slices
+                both = slices.reshape(len(least) * bits, -1)
+                both = np.concatenate([both, ~both])
                 everyone = np.packbits(np.ones(rows, np.uint8))
                 everyone = np.pad(everyone, (0, slices.shape[2] - len(everyone)))
                 # The score of a row, and what is added on the way to it.
@@ -187,7 +179,7 @@ def _tile(k: int):
                         allowed = everyone.copy()
                         for r in range(lo, hi):
                             allowed[r >> 3] &= ~np.uint8(128 >> (r & 7))
-                    found, score = block_topk(query, slices, inverse, least, allowed, rows, k)
+                    found, score = block_topk(query, both, bits, least, allowed, rows, k)
                     out.append(pd.DataFrame({"query_id": q, "vec_id": ids[found], "score": score}))
                 if out:
                     yield pd.concat(out)
