@@ -19,7 +19,7 @@ HEADLINE = [
     "price_by_group", "market_stats", "dedup_latest", "duplicate_members", "group_limits_lineitem", "group_limits_by_cells",
     "cap_prices", "cap_numeric_fields", "capping_report_fields", "clean_job", "numeric_profile_lineitem", "compare_models",
     "training_rows", "flatten_listings", "normalize_texts", "listing_ids", "vector_topk", "vector_topk_batch",
-    "scrape_signature", "embed_text", "insert_if_absent", "stream_ingest", "vector_topk_lsh", "train_elastic_net",
+    "scrape_signature", "embed_text", "insert_if_absent", "stream_ingest", "vector_topk_lsh", "train_elastic_net", "target_scores", "indexed_search",
 ]
 
 
