@@ -179,6 +179,39 @@ def test_crowded_regions_find_pairs_at_80_percent(spark):
     assert sum(found[i] != exact[i] for i in exact) <= 1
 
 
+def test_crowded_regions_of_unlike_texts_go_deeper(spark, monkeypatch):
+    # All share two thirds of their shingles; pairs are at 0.81 and triples chain.
+    rng = np.random.default_rng(11)
+    common = [f"c{j}" for j in range(200)]
+    rows = []
+    for g in range(90):
+        own = [f"g{g}w{j}" for j in range(100)]
+        rows.append((3 * g, " ".join(common + own)))
+        for c in (1, 2):
+            at = int(rng.integers(0, 60))
+            rows.append((3 * g + c, " ".join(common + own[:at] + [f"g{g}c{c}x{j}" for j in range(26)] + own[at + 26:])))
+    deeper = []
+    real = lshforest._deeper
+    monkeypatch.setattr(lshforest, "_deeper", lambda *a: deeper.append(1) or real(*a))
+    exact = lshforest.brute_force(rows, 2, 80)
+    got = lshforest.near_duplicates(docs_of(spark, rows), words=2, percent=80, region_chars=20_000)
+    found = {r.doc_id: r.component_id for r in got.collect()}
+    assert deeper and sum(exact[i] != i for i in exact) > 50
+    # The bound of 0.23 % leaves about one of these links out.
+    assert sum(found[i] != exact[i] for i in exact) <= 1
+
+
+def test_neighbours_keep_runs_across_batches():
+    import pandas as pd
+
+    def part(*keys):
+        return pd.DataFrame({"_id": range(len(keys)), "_tree": 0, "_k1": keys, "_k2": 0})
+
+    kept = pd.concat(lshforest._neighbours(iter([part(1, 2, 3, 3), part(4), part(), part(4, 5, 6, 6), part(7)])))
+    # The outer rows stay, single ones inside go.
+    assert kept["_k1"].tolist() == [1, 3, 3, 4, 4, 6, 6, 7]
+
+
 def test_region_of_many_classes(spark):
     sig = F.array(*[F.lit(i) for i in range(lshforest.SIGNATURE)])
     profiles = spark.range(40_000).select(F.col("id").alias("_id"), sig.alias("_sig"), F.lit(10).cast("bigint").alias("_chars"))
