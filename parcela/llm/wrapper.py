@@ -1,12 +1,17 @@
 """Main text of pages by wrapper induction.
 
 Pages of one host are aligned by simple tree matching: the trees of two pages
-are matched top down so that most nodes of equal label pair up in order. Text
-that all aligned pages share belongs to the host's template; text that differs
-sits in the slots the template leaves open. What menus, adverts and the like
-hold differs from page to page as well, so regions that are marked as such are
-no slots. A host with many pages is dealt into slices of bounded size, each of
-which induces its wrapper from all of its pages.
+are matched top down so that most nodes of equal label pair up in order. The
+page whose elements most pages have is the one the others are aligned with.
+Over all aligned pages, text that stays the same belongs to the host's
+template. So do recurring lists of links, and short recurring blocks beside the
+element that holds most of the running text: their texts differ from page to
+page, their place and shape do not. What is left are the slots of the content.
+
+Marks that authors give (an article element, a region named after a menu or an
+advert) settle what structure leaves open, such as hosts of few pages. A host
+with many pages is dealt into slices of bounded size, each of which induces its
+wrapper from all of its pages.
 """
 
 from __future__ import annotations
@@ -25,6 +30,14 @@ from ..session import materialize, small_or_stored
 SLICE_PAGES = 32
 # Text is taken for a template if so many different pages have it at one place.
 TEMPLATE_PAGES = 4
+# A child with this share of the running text leads on to the content; recurring
+# blocks beside it with less than the other share are template.
+LEADING, BESIDE = 0.6, 0.1
+# A block is a list of links if this share of its text is linked.
+LINKED = 0.6
+# Blocks that may be template by structure. Paragraphs and headings never are.
+REGIONS = frozenset("div section ul ol nav aside footer header form table".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Up to so many pairs of children are weighed against each other; longer lists
 # pair up in order, each child with the next one of equal shape.
 MOST_PAIRS = 250_000
@@ -54,11 +67,18 @@ BOILERPLATE_NAMES = frozenset(
     "breadcrumbs sidebar side aside header masthead footer foot comment comments reply replies respond disqus share sharing social "
     "related recommended recommendations widget toolbar pagination pager search copyright legal disclaimer tags skip".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# A quote opens a value only behind an equals sign.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)"
+                    r"((?:[^>=]++|=\s*+\"[^\"]*+(?:\"|$)|=\s*+'[^']*+(?:'|$)|=)*+)(?:>|$)", re.S)
+_MARK = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+_MARKS = frozenset("class id role hidden aria-hidden".split())
 _PART = re.compile(r"[a-z]+|\d+")
 # Names such as has-sidebar tell what an element holds, not what it is.
 _STATE = re.compile(r"(?:has|with|without|no)[-_]")
+# Parts of names that tell of content, beside such as tell of something else.
+CONTENT_NAMES = frozenset("article body content entry main page post story text".split())
+# Running text that makes a region marked by its name the content, if nothing else is.
+RESCUE_CHARS = 200
 # A slash that belongs to an unquoted value closes nothing.
 _VALUE_SLASH = re.compile(r"=\s*[^\s\"'=]+/$")
 _SPACE = re.compile(r"\s+")
@@ -66,16 +86,17 @@ _SPACE = re.compile(r"\s+")
 
 class Node:
     """An element, or a text if ``text`` is set. ``named`` elements are skipped
-    for a part of their class or id alone. A text below MAX_DEPTH has the tag of
-    the article or main element that it lost as a parent."""
+    for a part of their class or id alone; ``mixed`` ones have a name of content
+    too. A text below MAX_DEPTH has the tag of the article or main element that
+    it lost as a parent. ``chars`` and ``linked`` count text."""
 
-    __slots__ = ("label", "tag", "kids", "text", "skip", "named", "shape")
+    __slots__ = ("label", "tag", "kids", "text", "skip", "named", "mixed", "shape", "chars", "linked", "links")
 
     def __init__(self, label: str, tag: str = "", text: str | None = None, skip: bool = False):
         self.label, self.tag, self.text, self.skip = label, tag, text, skip
-        self.named = False
+        self.named = self.mixed = False
         self.kids: list[Node] = []
-        self.shape = 0
+        self.shape = self.chars = self.linked = self.links = 0
 
 
 def _beside(tag: str, marks: dict[str, str]) -> bool:
@@ -98,11 +119,17 @@ def _named_beside(tag: str, marks: dict[str, str]) -> bool:
     return any(not BOILERPLATE_NAMES.isdisjoint(_PART.findall(n)) for n in names if not _STATE.match(n))
 
 
-def parse(page: str) -> Node:
+def _mixed(marks: dict[str, str]) -> bool:
+    """Whether a class or id has a part that tells of content."""
+    return not CONTENT_NAMES.isdisjoint(_PART.findall(f"{marks.get('class', '')} {marks.get('id', '')}".lower()))
+
+
+def parse(page: str, marked: bool = True) -> Node:
     """Tree of a page. Raw elements and comments are left out; ends that HTML
     lets authors omit are implied. Elements below MAX_DEPTH become childless
     children of that depth; they stay open until their end, and what is in them
-    keeps their marks."""
+    keeps their marks. Not ``marked``: nothing is taken from marks of authors
+    but which elements browsers do not show."""
     root = Node("#root", "#root")
     stack = [root]
     # What each open element below MAX_DEPTH passes on: skipped, by name, frame.
@@ -154,9 +181,13 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in SCOPE:
                     break
-        marks = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _MARK.finditer(found.group(3))} if found.group(3) else {}
-        node = Node(f"{tag}.{marks['class']}" if marks.get("class") else tag, tag, skip=_beside(tag, marks))
-        node.named = not node.skip and _named_beside(tag, marks)
+        marks: dict[str, str] = {}
+        for m in _MARK.finditer(found.group(3)) if found.group(3) else ():
+            if (name := m[1].lower()) in _MARKS:
+                marks.setdefault(name, m[2] or m[3] or m[4] or "")
+        node = Node(f"{tag}.{marks['class']}" if marks.get("class") else tag, tag, skip=_beside(tag, marks) if marked else tag == "head")
+        node.named = marked and not node.skip and _named_beside(tag, marks)
+        node.mixed = node.named and _mixed(marks)
         add(node)
         if tag not in VOID and not found.group(3).endswith("/"):
             deep = len(stack) >= MAX_DEPTH
@@ -226,14 +257,13 @@ class Matcher:
         return out
 
     def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
-        """Text nodes that the largest match of two trees pairs up."""
+        """Nodes that the largest match of two trees pairs up, parents first."""
         out, waiting = [], [(a, b)]
         while waiting:
-            x, y = waiting.pop()
-            if x.text is not None:
-                out.append((x, y))
-            else:
-                waiting += self._aligned(x.kids, y.kids)
+            pair = waiting.pop()
+            out.append(pair)
+            if pair[0].text is None:
+                waiting += self._aligned(pair[0].kids, pair[1].kids)
         return out
 
 
@@ -256,28 +286,110 @@ def _clean(text: str) -> str:
     return _SPACE.sub(" ", html.unescape(text)).strip()
 
 
-def template_texts(trees: list[Node], contents: list[str]) -> set[int]:
-    """Ids of the text nodes that belong to the template of aligned pages.
+def _measure(node: Node, in_link: bool = False) -> None:
+    """Count the text, linked text and links of every node."""
+    if node.text is not None:
+        node.chars = len(_clean(node.text))
+        node.linked = node.chars if in_link else 0
+        return
+    for kid in node.kids:
+        _measure(kid, in_link or node.tag == "a")
+    node.chars = sum(k.chars for k in node.kids)
+    node.linked = sum(k.linked for k in node.kids)
+    node.links = sum(k.links for k in node.kids) + (node.tag == "a")
 
-    Every tree is aligned with the first one. A place is template if at least
-    TEMPLATE_PAGES different pages have text there and all of it is the same;
-    copies of one page count once.
+
+def _typical(trees: list[Node]) -> int:
+    """The page whose elements most pages have, the first one of several."""
+    paths = []
+    for tree in trees:
+        own, waiting = set(), [(tree, "", 0)]
+        while waiting:
+            x, path, depth = waiting.pop()
+            for kid in x.kids if depth < 6 else ():
+                if kid.text is None:
+                    own.add(at := f"{path}/{kid.label}")
+                    waiting.append((kid, at, depth + 1))
+        paths.append(own)
+    held = Counter(p for own in paths for p in own)
+    # An element that few pages have counts against a page.
+    worth = [sum(2 * held[p] - len(trees) for p in own) for own in paths]
+    return worth.index(max(worth))
+
+
+def _beside_content(root: Node, counts: dict[int, list[int]]) -> set[int]:
+    """Ids of the elements of the typical page that structure shows to be
+    template. ``counts``: pages, text, linked text and links of each element,
+    summed over its places on all pages."""
+    running = lambda x: counts[id(x)][1] - counts[id(x)][2] if id(x) in counts else 0
+    recurs = lambda x: x.tag in REGIONS and id(x) in counts and counts[id(x)][0] >= TEMPLATE_PAGES
+    out: set[int] = set()
+    waiting = [root]
+    while waiting:
+        x = waiting.pop()
+        if recurs(x):
+            pages, chars, linked, links = counts[id(x)]
+            if links >= 3 * pages and linked >= LINKED * chars:
+                out.add(id(x))
+                continue
+        waiting += [k for k in x.kids if k.text is None]
+    content: Node | None = root
+    while content is not None:
+        whole = running(content)
+        lead = next((k for k in content.kids if k.text is None and whole and running(k) >= LEADING * whole), None)
+        if lead is not None:
+            out |= {id(k) for k in content.kids if k is not lead and recurs(k) and running(k) < BESIDE * whole and not _headings(k)}
+        content = lead
+    return out
+
+
+def template_nodes(trees: list[Node], contents: list[str]) -> tuple[set[int], set[int]]:
+    """Ids of the text nodes that are the same on all aligned pages, and of the
+    elements that are template by structure.
+
+    A text is template if at least TEMPLATE_PAGES different pages have text at
+    its place and all of it is the same; copies of one page count once.
     """
     if len(set(contents)) < TEMPLATE_PAGES:
-        return set()
+        return set(), set()
     matcher = Matcher()
     for tree in trees:
         matcher.name_shapes(tree)
+        _measure(tree)
+    typical = trees[_typical(trees)]
     texts: dict[int, set[str]] = {}
     places: dict[int, list[Node]] = {}
     pages: dict[int, set[str]] = {}
+    counts: dict[int, list[int]] = {}
+    seen: set[str] = set()
     for tree, content in zip(trees, contents):
-        for own, other in matcher.pairs(trees[0], tree):
-            texts.setdefault(id(own), set()).add(_clean(other.text))
-            places.setdefault(id(own), []).append(other)
-            pages.setdefault(id(own), set()).add(content)
+        again = content in seen
+        seen.add(content)
+        for own, other in matcher.pairs(typical, tree):
+            key = id(own)
+            places.setdefault(key, []).append(other)
+            if own.text is not None:
+                texts.setdefault(key, set()).add(_clean(other.text))
+                pages.setdefault(key, set()).add(content)
+            elif not again:
+                sums = counts.setdefault(key, [0, 0, 0, 0])
+                for i, more in enumerate((1, other.chars, other.linked, other.links)):
+                    sums[i] += more
     fixed = [k for k, t in texts.items() if len(t) == 1 and len(pages[k]) >= TEMPLATE_PAGES]
-    return {id(node) for k in fixed for node in places[k]}
+    beside = _beside_content(typical, counts)
+    return {id(node) for k in fixed for node in places[k]}, {id(node) for k in beside for node in places[k]}
+
+
+def _headings(node: Node) -> list[Node]:
+    """The headings in a tree, in page order."""
+    out, waiting = [], [node]
+    while waiting:
+        x = waiting.pop()
+        if x.tag in HEADINGS:
+            out.append(x)
+        else:
+            waiting += reversed(x.kids)
+    return out
 
 
 def _has_frame(node: Node, tag: str, named: bool) -> bool:
@@ -315,43 +427,97 @@ def _holders(tree: Node) -> set[int]:
     return out
 
 
-def main_text(tree: Node, template: set[int]) -> str:
-    """Texts outside the template and outside marked regions, block by block: of
-    the page's articles if it has any, else of its main element, else of all. If
-    no article lies outside regions that are marked by name, such regions are
-    kept if they hold an article or main element: a page's wrapper may be named
-    after what it holds besides."""
-    frame = next((t for t in ("article", "main") if _has_frame(tree, t, False)), "")
-    kept = _holders(tree) if frame != "article" else set()
-    frame = frame or next((t for t in ("article", "main") if _has_frame(tree, t, True)), "")
-    blocks: list[list[str]] = [[]]
+def _texts(tree: Node, template: set[int], beside: set[int], frame: str, kept: set[int]) -> list[tuple[bool, str]]:
+    """Blocks outside marked regions, and whether they are inside a ``frame``
+    element. Inside it, no text is template: articles may share passages."""
+    blocks: list[tuple[bool, list[str]]] = []
     # (node, whether it is inside the frame); None ends a block.
-    waiting: list[tuple[Node | None, bool]] = [(tree, not frame)]
+    waiting: list[tuple[Node | None, bool]] = [(tree, False)]
     while waiting:
         node, inside = waiting.pop()
         if node is None:
-            blocks.append([])
-        elif node.skip or node.named and id(node) not in kept:
+            blocks.append((inside, []))
+        elif node.skip and node.tag == "header" and inside and frame:
+            # An article's header holds its title.
+            for heading in reversed(_headings(node)):
+                heading.skip = False
+                waiting += [(None, inside), (heading, inside)]
+        elif node.skip or node.named and id(node) not in kept or not inside and id(node) in beside:
             continue
         elif node.text is not None:
-            if (inside or node.tag == frame) and id(node) not in template:
-                blocks[-1].append(node.text)
+            inside = inside or bool(frame) and node.tag == frame
+            if inside or id(node) not in template:
+                if not blocks or blocks[-1][0] != inside:
+                    blocks.append((inside, []))
+                blocks[-1][1].append(node.text)
         else:
-            inside = inside or node.tag == frame
+            inside = inside or bool(frame) and node.tag == frame
             if node.tag not in INLINE:
-                blocks.append([])
+                blocks.append((inside, []))
                 waiting.append((None, inside))
             waiting += [(kid, inside) for kid in reversed(node.kids)]
-    return " ".join(t for t in (_clean("".join(b)) for b in blocks) if t)
+    return [(inside, t) for inside, t in ((i, _clean("".join(b))) for i, b in blocks) if t]
+
+
+def _frames(tree: Node, frame: str) -> int:
+    """Outermost elements ``frame`` that are not skipped."""
+    found, waiting = 0, [tree]
+    while waiting:
+        x = waiting.pop()
+        if x.tag == frame and x.text is None and not (x.skip or x.named):
+            found += 1
+        elif not x.skip:
+            waiting += x.kids
+    return found
+
+
+def _rescued(tree: Node) -> set[int]:
+    """Regions marked by name that are the content for want of any other: with
+    a name of content besides, or with much running text."""
+    _measure(tree)
+    out, waiting = set(), [tree]
+    while waiting:
+        x = waiting.pop()
+        if x.skip or x.text is not None and x.named:
+            continue
+        if x.named:
+            if not (x.mixed or x.chars - x.linked >= RESCUE_CHARS):
+                continue
+            out.add(id(x))
+        waiting += x.kids
+    return out
 
 
-def _extract(page_id: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def main_text(tree: Node, template: set[int], beside: set[int] = frozenset(), marked: bool = True) -> str:
+    """Texts outside the template and outside marked regions, block by block: of
+    the page's articles if it has any, else of its main element, else of all.
+    Several articles that hold less than a third of the text around them are
+    teasers, and the text around them counts. If no article lies outside regions
+    that are marked by name, such regions are kept if they hold an article or
+    main element: a page's wrapper may be named after what it holds besides.
+    If nothing is left, regions marked by name alone may be the content."""
+    frame, kept = "", set()
+    if marked:
+        frame = next((t for t in ("article", "main") if _has_frame(tree, t, False)), "")
+        kept = _holders(tree) if frame != "article" else set()
+        frame = frame or next((t for t in ("article", "main") if _has_frame(tree, t, True)), "")
+    found = _texts(tree, template, beside, frame, kept)
+    if frame:
+        inner, outer = ([t for i, t in found if i == side] for side in (True, False))
+        teasers = frame == "article" and 3 * sum(map(len, inner)) < sum(map(len, outer)) and _frames(tree, frame) > 1
+        found = [(False, t) for t in (outer if teasers else inner)]
+    elif not found and marked and (kept := _rescued(tree)):
+        found = _texts(tree, template, beside, "", kept)
+    return " ".join(t for _, t in found)
+
+
+def _extract(page_id: str, marked: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def extract(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_id", "url", "html"], na_position="last")
         contents = group["html"].fillna("").tolist()
-        trees = [parse(page) for page in contents]
-        template = template_texts(trees, contents)
-        texts = [main_text(tree, template) for tree in trees]
+        trees = [parse(page, marked) for page in contents]
+        template, beside = template_nodes(trees, contents)
+        texts = [main_text(tree, template, beside, marked) for tree in trees]
         ids = group["_id"].astype("Int64")
         return pd.DataFrame({page_id: ids, "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
@@ -362,13 +528,15 @@ def _host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
 
 
-def extract_pages(pages: DataFrame, page_id: str = "page_id", slice_pages: int = SLICE_PAGES) -> DataFrame:
+def extract_pages(pages: DataFrame, page_id: str = "page_id", slice_pages: int = SLICE_PAGES, marked: bool = True) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` for every row of ``pages``
     (page_id, url, html).
 
     A null html gives the empty text. Rows without url, or with one that has no
     host, form a host of their own. Repeated rows give repeated results. The page
-    that the others of a slice are aligned with is the one of least id.
+    that the others of a slice are aligned with is the most typical one, of
+    several the one of least id. Not ``marked``: the wrapper decides by the
+    aligned pages alone, without the marks that authors give.
     """
     rows = pages.select(F.col(page_id).cast("bigint").alias("_id"), "url", "html", _host(F.col("url")).alias("_host"))
     # A host's number of slices follows from its number of pages.
@@ -379,4 +547,4 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", slice_pages: int =
     number = F.pmod(F.xxhash64("_id", "url"), F.coalesce("_slices", F.lit(1)))
     dealt = placed.select("_id", "url", "html", "_host", number.alias("_slice"))
     return dealt.groupBy("_host", "_slice").applyInPandas(
-        _extract(page_id), f"{page_id} bigint, url string, text string, n_chars bigint")
+        _extract(page_id, marked), f"{page_id} bigint, url string, text string, n_chars bigint")

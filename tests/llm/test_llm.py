@@ -120,6 +120,78 @@ def test_wrapper_keeps_article_text():
     assert text("<article>one</article><div class=related><article>two</article></div>") == "one"
 
 
+def wrapped(pages, marked=True):
+    trees = [wrapper.parse(p, marked) for p in pages]
+    template, beside = wrapper.template_nodes(trees, pages)
+    return [wrapper.main_text(t, template, beside, marked) for t in trees]
+
+
+def test_wrapper_keeps_articles_and_reads_odd_quotes():
+    shared = [f"<body><nav>x</nav><article><p>Same article</p></article><footer>f{i}</footer></body>" for i in range(6)]
+    assert wrapped(shared) == ["Same article"] * 6
+    assert wrapped(["<p title=Bob's>one</p><p>two</p>"]) == ["one two"] and wrapped(['<p ">one</p>']) == ["one"]
+    assert wrapped(["<p data-class='menu' title='a class=menu'>one</p>"]) == ["one"]
+    for mark in ('class="post-tags-wrapper"', 'class="col-side main-col"', 'id="share-post"'):
+        assert wrapped([f"<body><div {mark}><p>The body</p></div></body>"]) == ["The body"]
+    long = "The body goes on. " * 20
+    assert wrapped([f"<div class=notice><p>{long}</div>", "<div class=notice>We use cookies</div>"]) == [long.strip(), ""]
+    assert wrapped(["<article><header><h1>Title</h1><p>by x</p></header><p>text</article>"]) == ["Title text"]
+    teasers = f"<div><p>{long}</p></div><article>teaser one</article><article>teaser two</article>"
+    assert wrapped([teasers]) == [long.strip()]
+    odd = ["<body><p>odd</p></body>"] + [f"<body><div>Site menu</div><div><p>text {i} of it</p></div></body>" for i in range(6)]
+    assert wrapped(odd) == ["odd"] + [f"text {i} of it" for i in range(6)]
+
+
+def test_wrapper_finds_the_template_without_marks():
+    page = ("<body><div><ul><li><a>m{0}<li><a>n{0}<li><a>o{0}</ul></div><div>advert {0}</div><div><h1>T{0}</h1>"
+            "<p>{1}</p><p>{1}</p></div><div>made by {0}</div></body>")
+    body = [f"Running text of number {i}, which goes on for quite a while. " * 3 for i in range(5)]
+    pages = [page.format(i, b) for i, b in enumerate(body)]
+    assert wrapped(pages, False) == [f"T{i} {b.strip()} {b.strip()}" for i, b in enumerate(body)]
+    # Too few pages tell nothing.
+    assert wrapped(pages[:3], False)[0].startswith("m0 n0 o0 advert 0")
+
+
+def test_wrapper_alone_agrees_with_marks(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host = wrapper._host(F.col("url"))
+    many = pages.groupBy(host.alias("h")).agg(F.countDistinct("html").alias("n")).filter("n BETWEEN 4 AND 32")
+    pages = pages.join(many, host == F.col("h"), "left_semi")
+    with_marks = {r.page_id: r.text for r in wrapper.extract_pages(pages).collect()}
+    without = {r.page_id: r.text for r in wrapper.extract_pages(pages, marked=False).collect()}
+    assert len(without) > 50 and sum(without[i] == t for i, t in with_marks.items()) >= 0.98 * len(without)
+
+
+def brute_match(a, b):
+    """Largest match of two trees, by every pair of orders of children."""
+    if a.label != b.label:
+        return 0
+
+    def best(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(best(xs[1:], ys), best(xs, ys[1:]), brute_match(xs[0], ys[0]) + best(xs[1:], ys[1:]) if xs[0].label == ys[0].label else 0)
+
+    return 1 + best(a.kids, b.kids)
+
+
+def test_matching_equals_brute_force():
+    rng = np.random.default_rng(3)
+
+    def tree(depth):
+        node = wrapper.Node(str(rng.choice(["div", "p", "ul"])), "div")
+        node.kids = [tree(depth - 1) for _ in range(int(rng.integers(0, 4)))] if depth else []
+        return node
+
+    for _ in range(60):
+        a, b = wrapper.Node("body", "body"), wrapper.Node("body", "body")
+        a.kids, b.kids = [tree(2) for _ in range(3)], [tree(2) for _ in range(3)]
+        matcher = wrapper.Matcher()
+        matcher.name_shapes(a)
+        matcher.name_shapes(b)
+        assert matcher.size(a, b) == brute_match(a, b) == len(matcher.pairs(a, b))
+
+
 def test_spans(spark):
     passage = "The first sentence is here. The second one follows it now. A third ends it."
     rows = [(1, "Start of one. " + passage), (2, "Other begin.\n" + passage + "\nOther end."), (3, passage), (4, None), (5, ""), (6, "Ab. Cd."), (7, "Ab. Cd.")]
