@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import to_number
@@ -116,30 +117,61 @@ def draw_params(space: Mapping[str, tuple], trials: int, seed: int = 42) -> list
 
 @dataclass
 class SearchResult:
+    """The best draw, its score, and every draw with its mean score over the
+    folds it was measured on (``seen``, in the order of ``trials``)."""
+
     params: dict[str, object]
     score: float
     trials: list[tuple[dict[str, object], float]]
+    seen: list[int] = field(default_factory=list)
+
+
+def stored_folds(prepared: DataFrame, folds: int, seed: int = 42, key: str | None = None) -> DataFrame:
+    """``prepared`` stored once with ``_fold`` (0 to ``folds`` - 1) as partition
+    column, so that training and validation rows are files of their own. Rows of
+    one ``key`` share a fold; without a key, rows are dealt at random."""
+    dealt = F.floor(F.rand(seed) * folds) if key is None else F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(folds))
+    return materialize(prepared.withColumn("_fold", dealt.cast("int")), "folds", by=["_fold"])
 
 
 def random_search(prepared: DataFrame, kind: str, trials: int = 50, folds: int = 5, seed: int = 42,
                   parallelism: int = 4, key: str | None = None,
-                  space: Mapping[str, tuple] | None = None) -> SearchResult:
+                  space: Mapping[str, tuple] | None = None, keep: float = 1.0) -> SearchResult:
     """Draw parameters at random and keep the lowest cross-validated median APE,
-    measured on the transformed target. ``key`` makes the folds reproducible."""
-    estimator = make_regressor(kind, seed=seed)
+    measured on the transformed target. ``key`` makes the folds reproducible.
+
+    Draws are measured fold by fold, ``parallelism`` of them side by side. After
+    every fold the best share ``keep`` of the draws still running goes on, at
+    least one; at 1, the default, all of them see every fold. A draw that scores
+    NaN comes last, of equal draws the first is the better one.
+    """
+    if not 0 < keep <= 1:
+        raise ValueError(f"keep must be above 0 and at most 1, not {keep}")
     draws = draw_params(space or SEARCH_SPACES[kind], trials, seed)
-    grid = [{estimator.getParam(n): v for n, v in d.items()} for d in draws]
-    validator = CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=MedianApeEvaluator(),
-        numFolds=folds, parallelism=parallelism, seed=seed,
-    )
-    if key is not None:
-        fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(folds)).cast("int")
-        prepared = prepared.withColumn("_fold", fold)
-        validator = validator.setFoldCol("_fold")
-    scores = validator.fit(prepared).avgMetrics
-    best = min(range(trials), key=lambda i: (math.isnan(scores[i]), scores[i]))
-    return SearchResult(draws[best], scores[best], list(zip(draws, scores)))
+    table = stored_folds(prepared, folds, seed, key)
+    measure = MedianApeEvaluator()
+    scores: list[list[float]] = [[] for _ in draws]
+
+    def mean(i: int) -> float:
+        return sum(scores[i]) / len(scores[i])
+
+    def order(i: int) -> tuple[bool, float, int]:
+        return math.isnan(mean(i)), mean(i), i
+
+    running = list(range(trials))
+    with ThreadPool(min(parallelism, trials)) as pool:
+        for fold in range(folds):
+            train, valid = table.filter(F.col("_fold") != fold), table.filter(F.col("_fold") == fold)
+
+            def score(i: int, train: DataFrame = train, valid: DataFrame = valid) -> float:
+                return measure.evaluate(make_regressor(kind, draws[i], seed=seed).fit(train).transform(valid))
+
+            for i, found in zip(running, pool.map(inheritable_thread_target(table.sparkSession)(score), running)):
+                scores[i].append(found)
+            if fold < folds - 1:
+                running = sorted(running, key=order)[:max(1, math.ceil(keep * len(running)))]
+    best = min(running, key=order)
+    return SearchResult(draws[best], mean(best), [(d, mean(i)) for i, d in enumerate(draws)], [len(x) for x in scores])
 
 
 @dataclass
@@ -153,10 +185,10 @@ class TrainedModel:
 def train_price_model(df: DataFrame, kind: str = "xgboost", spec: FeatureSpec = FeatureSpec(),
                       key: str = "_id", params: Mapping[str, object] | None = None, trials: int = 50,
                       folds: int = 5, seed: int = 42, space: Mapping[str, tuple] | None = None,
-                      test_share: float = 0.2, order: str = "drop_first") -> TrainedModel:
+                      test_share: float = 0.2, order: str = "drop_first", keep: float = 1.0) -> TrainedModel:
     """Filter, split, prepare, search (unless ``params`` are given), fit and
     evaluate. ``metrics`` holds one row for the training set and one for the
-    test set, in the unit of the target."""
+    test set, in the unit of the target. ``keep`` is the search's."""
     # Read by every fit below, so what made ``df`` is not computed again each time.
     rows = materialize(training_rows(df, spec, order, keep=[key]), "training")
     train, test = hash_split(rows, key, test_share, seed)
@@ -170,7 +202,7 @@ def train_price_model(df: DataFrame, kind: str = "xgboost", spec: FeatureSpec =
     labelled = target.transform(features.transform(learnable)).select(key, "features", "label")
     prepared = materialize(labelled, "prepared")
     if params is None:
-        params = random_search(prepared, kind, trials, folds, seed, key=key, space=space).params
+        params = random_search(prepared, kind, trials, folds, seed, key=key, space=space, keep=keep).params
     fitted = make_regressor(kind, params, seed=seed).fit(prepared)
     model = PipelineModel([*features.stages, fitted, TargetInverse(levels=target.get("levels"))])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -65,19 +65,19 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def materialize(df: DataFrame, name: str = "part", lasting: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str = "part", lasting: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a result feeds several jobs. The copy survives lost executors,
     and its measured size lets Catalyst choose joins. A ``lasting`` copy outlives
-    the scratch scope it is made in.
+    the scratch scope it is made in. Columns ``by`` become partition columns.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parcela-{name}-{uuid.uuid4().hex}"
     if not lasting:
         for scope in _scopes.__dict__.get("stack", [])[-1:]:
             scope.append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

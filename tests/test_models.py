@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from plan_text import plan_of
 from parcela.fixtures import listings
 from parcela.operators import models
 from parcela.plans.clean import clean_listings
@@ -50,6 +51,47 @@ def test_search_keeps_the_lowest_score(spark):
     assert one.score == min(s for _, s in one.trials)
 
 
+def noisy_line(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.range(400).selectExpr("id", "cast(id % 10 as double) a", "cast(id % 10 * 2 + 1 + id % 7 / 10 as double) label")
+    return VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
+
+
+def test_search_equals_cross_validation(spark):
+    from pyspark.ml.tuning import CrossValidator
+    from pyspark.sql import functions as F
+
+    space = {"regParam": ("log", 1e-3, 10.0), "elasticNetParam": ("float", 0.1, 0.9)}
+    prepared = noisy_line(spark)
+    found = models.random_search(prepared, "elastic_net", 4, 3, key="id", space=space)
+    estimator = models.make_regressor("elastic_net")
+    grid = [{estimator.getParam(n): v for n, v in d.items()} for d in models.draw_params(space, 4)]
+    fold = F.pmod(F.xxhash64("id", F.lit(43)), F.lit(3)).cast("int")
+    exact = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=models.MedianApeEvaluator(), numFolds=3,
+                           foldCol="_fold").fit(prepared.withColumn("_fold", fold)).avgMetrics
+    assert [s for _, s in found.trials] == pytest.approx(exact, rel=1e-9) and found.seen == [3] * 4
+    assert found.params == models.draw_params(space, 4)[exact.index(min(exact))]
+
+
+def test_search_stops_poor_draws(spark):
+    space = {"regParam": ("log", 1e-3, 10.0)}
+    prepared = noisy_line(spark)
+    every = models.random_search(prepared, "elastic_net", 8, 3, key="id", space=space)
+    half = models.random_search(prepared, "elastic_net", 8, 3, key="id", space=space, keep=0.5)
+    assert sorted(half.seen) == [1, 1, 1, 1, 2, 2, 3, 3] and every.seen == [3] * 8
+    assert half.params == every.params and half.score == pytest.approx(every.score)
+    with pytest.raises(ValueError):
+        models.random_search(prepared, "elastic_net", 2, 3, keep=0)
+
+
+def test_folds_are_partitions_of_one_stored_table(spark):
+    folds = models.stored_folds(noisy_line(spark), 4, key="id")
+    assert folds.count() == 400 and folds.select("_fold").distinct().count() == 4
+    plan = plan_of(folds.filter("_fold <> 2").select("label"))
+    assert "PartitionFilters: [isnotnull(_fold" in plan and "Filter (" not in plan
+
+
 def test_draws_stay_in_the_space():
     for kind, space in models.SEARCH_SPACES.items():
         for draw in models.draw_params(space, 20):
