@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -202,6 +203,51 @@ def test_spans(spark):
     assert spans.remove_repeats(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def brute_spans(rows):
+    """Whole texts after removal, by a table of all runs in order of documents."""
+    cut = {}
+    for i, text in rows:
+        parts = re.split("[\n\r\x01]+", re.sub(r"([.!?])[ \t]+", "\\1\x01", text or ""))
+        cut[i] = [p.strip(" \t") for p in parts if p.strip(" \t")]
+    seen, gone = {}, {i: set() for i in cut}
+    for i in sorted(cut):
+        low = [re.sub("[ \t]+", " ", s.lower()) for s in cut[i]]
+        words = [len(s.split(" ")) for s in low]
+        for at in range(len(low)):
+            fits = [n for n in range(min(2, len(low)), len(low) - at + 1) if sum(words[at:at + n]) >= 8][:1]
+            for n in {*fits, *([1] if words[at] >= 20 else [])}:
+                if seen.setdefault(tuple(low[at:at + n]), (i, at)) != (i, at):
+                    gone[i] |= set(range(at, at + n))
+    return {i: "\n".join(s for k, s in enumerate(cut[i]) if k not in gone[i]) if gone[i] else text for i, text in rows}
+
+
+def test_spans_of_short_and_long_sentences(spark):
+    verse = "".join(f"word{j}!! " for j in range(60))
+    middle = " ".join(f"m{j}" for j in range(30)) + "."
+    head, tail = (" ".join(f"{c}{j}" for j in range(15)) for c in "ht")
+    rows = [(1, "Own start. " + verse + "own end."), (2, "Begin. " + verse + "\nOther end of it."),
+            (3, f"Some other words {head}. {middle} {tail} and so on."), (4, f"{head}. {middle} {tail} or not at all."),
+            (5, "One. Two. Three."), (6, "One. Two. Three.")]
+    got = {r.doc_id: r for r in spans.remove_repeats(docs_of(spark, rows)).collect()}
+    # Fewer words than a run needs may stay at the end of a passage.
+    assert got[2].n_removed >= 60 - 7 and got[2].text.startswith("Begin.\n") and got[2].text.endswith("Other end of it.")
+    assert got[4].text == f"{head}.\n{tail} or not at all." and got[6].n_removed == 0
+    assert {i: got[i].text for i in got} == brute_spans(rows)
+
+
+def test_spans_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    pool = [" ".join(rng.choice(["a", "Bc", "def", "g"], int(rng.integers(1, 26)))) + rng.choice([".", "!", "?"]) for _ in range(40)]
+    rows = [(i, rng.choice([" ", "\n", "\t "]).join(rng.choice(pool, int(rng.integers(0, 30))))) for i in range(80)]
+    # Many equal one-word sentences, a repeated row and one without id.
+    rows += [(80, "Go. " * 3000), (81, rows[3][1]), (82, None)]
+    twice = docs_of(spark, rows + [rows[5]]).withColumn("_runs", F.lit(1)).withColumn("n", F.lit("own"))
+    got = spans.remove_repeats(twice)
+    assert got.columns == twice.columns + ["n_sentences", "n_removed"]
+    found = got.collect()
+    assert len(found) == len(rows) + 1 and {r.doc_id: r.text for r in found} == brute_spans(rows)
+
+
 def test_near_duplicates_equal_brute_force(spark, odd):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(300)]
