@@ -10,6 +10,7 @@ from . import bitsliced, crf, decontaminate, fagin, linededup, lshforest, merkle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+SMALL_SHARD_BYTES = 32 << 10
 
 
 def query(fn: Query) -> Query:
@@ -61,6 +62,14 @@ def op7_extendible_sharding(spark, sf):
     return sharding.shard_rows(table(spark, sf, "documents"))
 
 
+@query
+def shards_of_32_kib(spark, sf):
+    # Small tables split to several depths as well, and hold texts above the limit.
+    # The number of an overflow page depends on the input's partitions.
+    rows = sharding.shard_rows(table(spark, sf, "documents"), limit=SMALL_SHARD_BYTES)
+    return rows.withColumn("overflowed", F.col("page") > 0).drop("page")
+
+
 @query
 def op8_crf_language(spark, sf):
     return crf.identify(table(spark, sf, "documents"))
@@ -99,6 +108,7 @@ ORACLE: dict[str, str] = {
     "op3_benchmark_decontamination": decontaminate.DECONTAMINATE_SQL,
     "op5_sentence_spans": spans.SPANS_SQL,
     "op7_extendible_sharding": sharding.shard_sql(),
+    "shards_of_32_kib": f"SELECT * EXCLUDE (page), page > 0 AS overflowed FROM ({sharding.shard_sql(SMALL_SHARD_BYTES)})",
     "op10_poisson_mixing": mixing.MIX_SQL,
     "op11_line_dedup": linededup.LINES_SQL,
     "op12_merkle_manifest": merkle.MERKLE_SQL,

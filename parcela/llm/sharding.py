@@ -17,8 +17,10 @@ from .names import set_apart
 
 HASH_BITS = 60
 SHARD_BYTES = 64 << 20
-# Bits beyond the expected depth that one round of counting looks at.
-EXTRA_BITS = 6
+# Bits beyond the expected depth that the first round of counting looks at, and
+# what later rounds look at: at most so many bits, and cells unless more are full.
+EXTRA_BITS = 1
+ROUND_BITS, ROUND_CELLS = 10, 20_000
 
 
 def key_hash(key: str) -> Column:
@@ -88,11 +90,13 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", limit: in
             .drop("_cell", "_d", "_p")
         )
         full = small_or_stored(full)
-        if full.isEmpty() or bits == HASH_BITS:
+        crowded = full.count()
+        if not crowded or bits == HASH_BITS:
             break
         # Only the buckets that are still too large are looked at again.
         sizes = sizes.withColumn("cell", _cell(bits)).join(full, "cell", "left_semi").drop("cell")
-        bits = min(HASH_BITS, bits + 10)
+        step = int(math.log2(max(2, ROUND_CELLS // crowded)))
+        bits = min(HASH_BITS, bits + min(ROUND_BITS, step))
 
     placed = placed.withColumns({
         "_over": F.col("depth").isNull(),
@@ -100,7 +104,7 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", limit: in
         "_prefix": F.coalesce("_prefix", F.col("_hash")),
     })
     page = F.lit(0).cast("bigint")
-    if not full.isEmpty():
+    if crowded:
         placed = placed.withColumn("_part", F.spark_partition_id())
         page = _overflow_page(limit)
     shard = F.expr("if(depth = 0, '', lpad(bin(_prefix), depth, '0'))")
@@ -134,7 +138,9 @@ def write_shards(df: DataFrame, path: str) -> None:
 
 
 def shard_sql(limit: int = SHARD_BYTES) -> str:
-    """The same shards in DuckDB: the least depth whose prefix fits."""
+    """The same shards in DuckDB: the least depth whose prefix fits. Where doc_ids
+    are unique, a row that fits nowhere is larger than the limit by itself and
+    stands alone on the first page of large rows."""
     return f"""
 WITH d AS (SELECT documents.*, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
@@ -142,6 +148,6 @@ WITH d AS (SELECT documents.*, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
          sum(n_bytes) OVER (PARTITION BY r.depth, h >> (60 - r.depth)) AS bytes
          FROM d, (SELECT unnest(range(0, 61))::INT AS depth) r)
 SELECT doc_id, text, lang, source, n_chars, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard,
-       0::BIGINT AS page
-FROM s WHERE bytes <= {limit}
+       CASE WHEN bytes > {limit} THEN 3 ELSE 0 END::BIGINT AS page
+FROM s WHERE bytes <= {limit} OR depth = 60
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""

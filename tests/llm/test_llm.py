@@ -350,6 +350,36 @@ def test_shards_fit(spark, odd):
     assert sharding.shard_rows(odd.limit(0)).count() == 0
 
 
+def test_shards_split_as_far_as_needed(spark):
+    rows = [(i, "é" * (i % 70)) for i in range(600)] + [(600, "x" * 900), (601, None)]
+    limit = 500
+    cut = sharding.shard_rows(docs_of(spark, rows), limit=limit).collect()
+    held = {i: bin(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16))[2:].zfill(60) for i, _ in rows}
+    size = {i: len((t or "").encode()) for i, t in rows}
+    want = {}
+    for i in held:
+        fits = (d for d in range(60) if sum(size[j] for j in held if held[j][:d] == held[i][:d]) <= limit)
+        want[i] = held[i][:next(fits, 60)]
+    assert {r.doc_id: r.shard for r in cut} == want and len({r.depth for r in cut}) > 3
+    assert [r.doc_id for r in cut if r.page] == [600]
+
+
+def test_language_sample_is_the_least_hashes(spark, monkeypatch):
+    docs = docs_of(spark, [(i, f"text number {i}") for i in range(600)] + [(3, "text number 3"), (None, "no id")])
+    seen = []
+    monkeypatch.setattr(crf, "train", lambda rows: seen.extend(rows))
+    crf.fit(docs, per_language=20)
+    labelled = docs.filter(~crf.held_out(F.col("doc_id"))).select(F.xxhash64("doc_id", "text").alias("h"), "text").distinct()
+    assert [t for t, _ in seen] == [r.text for r in labelled.orderBy("h").limit(20).collect()]
+
+
+def test_toxic_lexicon_has_no_limit(spark):
+    bad = [(i, " ".join(f"vile{j}x" for j in range(700))) for i in range(5)]
+    rows = docs_of(spark, bad + [(i, f"kind words {i}") for i in range(5, 40)]).withColumn("toxic", (F.col("doc_id") < 5).cast("int"))
+    words, stems = quality.toxic_lexicon(rows)
+    assert words == {f"vile{j}x".encode() for j in range(700)} and stems == {w[:5] for w in words if len(w) > 5}
+
+
 def test_mixing(spark, odd):
     docs = spark.range(4000).selectExpr("id AS doc_id", "if(id % 4 = 0, 'a', 'b') AS source")
     weights = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("none", 5.0)], "source string, weight double")
