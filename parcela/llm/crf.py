@@ -25,6 +25,8 @@ BITS = 17
 GRAMS = (1, 2, 3, 4)
 LEXICON_COUNT = 3
 BATCH_WORDS = 200_000
+# Parts of a language whose least hashes are found before those of the language.
+SALTS = 64
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -239,9 +241,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     rows = docs.filter(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     keyed = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("_h"))
-    # Only hashes are ranked; of a hot language few rows leave each task.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    chosen = keyed.select("lang", "_h").distinct().withColumn("_n", rank).filter(F.col("_n") <= per_language)
+    # Only hashes are ranked, first within parts of a language, so that the task
+    # of a hot language sees a number of rows that does not grow with the table.
+    chosen = keyed.select("lang", "_h").distinct()
+    for parts in (["lang", F.pmod("_h", F.lit(SALTS))], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*parts).orderBy("_h"))
+        chosen = chosen.withColumn("_n", rank).filter(F.col("_n") <= per_language).select("lang", "_h")
     chosen = chosen.select(F.col("lang").alias("_l"), F.col("_h").alias("_c"))
     found = keyed.join(F.broadcast(chosen), (F.col("lang") == F.col("_l")) & (F.col("_h") == F.col("_c"))).groupBy("lang", "_h").agg(
         F.first("text").alias("text")).orderBy("lang", "_h").collect()
