@@ -21,11 +21,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize, small_or_stored
 from .names import set_apart
 
-# Documents the scorer is fitted on, labelled rows the toxic lexicon is read
-# from, and entries of that lexicon: the bounds of what reaches the driver.
+# Documents the scorer is fitted on, and labelled rows the toxic lexicon is read
+# from: the bounds of what reaches the driver, parameters of ``fit``.
 SAMPLE_DOCS = 10_000
 LABELLED_DOCS = 20_000
-LEXICON = 400
 LEXICON_DOCS = 4
 STEM = 5
 BITS = 18
@@ -93,7 +92,8 @@ def toxic_lexicon(labelled: DataFrame, text: str = "text") -> tuple[frozenset[by
     counts = rows.select(F.col(text).alias("text"), "toxic").mapInPandas(terms, "term string, kind string, toxic int").groupBy(
         "kind", "term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     telling = counts.filter((F.col("bad") >= LEXICON_DOCS) & (F.col("bad") >= 0.9 * F.col("n")))
-    found = telling.orderBy(F.desc("bad"), "term").limit(LEXICON).collect()
+    # Bounded by the words of the sample.
+    found = telling.select("term", "kind").collect()
     return (frozenset(r.term.encode() for r in found if r.kind == "w"), frozenset(r.term.encode() for r in found if r.kind == "s"))
 
 
@@ -182,16 +182,18 @@ def train(rows: list[np.ndarray], target: np.ndarray, epochs: int = 4, alpha: fl
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Weights of the two scorers (features x 2). Votes of all of ``docs`` are
-    counted; ``labels`` (doc_id, toxic) gives the lexicon and the annotators' votes."""
+def fit(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text",
+        sample_docs: int = SAMPLE_DOCS, labelled_docs: int = LABELLED_DOCS) -> np.ndarray:
+    """Weights of the two scorers (features x 2), trained on ``sample_docs`` rows.
+    Votes of all of ``docs`` are counted; ``labels`` (doc_id, toxic) gives the
+    annotators' votes and, by ``labelled_docs`` of its rows, the lexicon."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if labels is None:
         labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = materialize(marks, "marks")
-    sampled = small_or_stored(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_DOCS))
+    sampled = small_or_stored(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_docs))
     lexicon = toxic_lexicon(rows.join(sampled, "doc_id"))
 
     # A row is known by a hash; the sample is the least of them.
@@ -205,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id"
     # At most 3 ** labellers patterns.
     models = [label_model({r.p: r.n for r in votes.groupBy(F.col(task).alias("p")).agg(F.count("*").alias("n")).collect()})[0]
               for task in ("quality", "toxic")]
-    cut = votes.select("_pick").distinct().orderBy("_pick").limit(SAMPLE_DOCS).agg(F.max("_pick")).first()[0]
+    cut = votes.select("_pick").distinct().orderBy("_pick").limit(sample_docs).agg(F.max("_pick")).first()[0]
     if cut is None:
         return np.zeros(((1 << BITS) + 1, 2))
     picked = votes.filter(F.col("_pick") <= cut).groupBy("_pick").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
@@ -240,10 +242,11 @@ def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: st
                          ((bad < THRESHOLD) & (F.col("toxic_score") < THRESHOLD)).alias("kept"))
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text",
+             **bounds) -> DataFrame:
     """Fit on ``docs`` and score every row of it. Rows with a null id are scored
     like others; repeated rows get equal scores; an empty table gives no rows."""
-    return score(docs, fit(docs, labels, doc_id, text), doc_id, text)
+    return score(docs, fit(docs, labels, doc_id, text, **bounds), doc_id, text)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
