@@ -19,15 +19,16 @@ TEXTS_PER_BATCH = 8
 
 def embed_text(df: DataFrame, text: str = "DESCRIPTION", output: str = "embedding", width: int = DEFAULT_WIDTH,
                make_model: Callable[[], Callable[[np.ndarray], np.ndarray]] | None = None,
-               batch_size: int = TEXTS_PER_BATCH) -> DataFrame:
+               batch_size: int = TEXTS_PER_BATCH, share: bool = True) -> DataFrame:
     """Add a vector of the normalised text.
 
     ``make_model`` loads a model and returns a function from an array of texts
     to a matrix; it runs once per Python worker. Without it, words are hashed
     into ``width`` buckets and the counts scaled to length one: no model file
-    and the same vector everywhere, but only word overlap counts.
+    and the same vector everywhere, but only word overlap counts. ``share`` off
+    leaves the rows in their partitions, however few these are.
     """
-    df = spread(df)
+    df = spread(df) if share else df
     clean = F.coalesce(normalize_text(text), F.lit(""))
     if make_model is not None:
         run = predict_batch_udf(make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)

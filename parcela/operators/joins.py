@@ -4,11 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..session import materialize, small_or_stored
+from ..session import MAX_SMALL_ROWS, materialize, small_or_stored
 from .cleaning import first_per_key
 
+# Key hashes of a batch that are broadcast: some 100 MB in a task's process.
+MAX_BROADCAST_HASHES = 1 << 21
+# Types whose equal values have equal texts.
+_PLAIN_KEYS = (T.StringType(), T.LongType(), T.IntegerType())
+
+
+def key_hash(key: str) -> Column:
+    """64 bits of a key's text; null is a key."""
+    return F.xxhash64(F.col(key).cast("string"))
+
+
+def hashed_keys(batch: DataFrame, key: str) -> DataFrame:
+    """The batch's key hashes ``_hash`` and their row counts ``_n``, stored."""
+    return materialize(batch.groupBy(key_hash(key).alias("_hash")).agg(F.count("*").alias("_n")), "keys")
+
+
+def first_of_hashed(batch: DataFrame, keys: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
+    """``first_per_key`` of a stored batch whose ``hashed_keys`` are known. Only
+    rows whose hash occurs again are shuffled, unless those hashes are many; two
+    keys of one hash cost a comparison, no row."""
+    again = keys.filter("_n > 1").select("_hash").limit(MAX_SMALL_ROWS + 1).toArrow()
+    if not again.num_rows:
+        return batch
+    if again.num_rows > MAX_SMALL_ROWS:
+        return first_per_key(batch, [key], order)
+    side = F.broadcast(batch.sparkSession.createDataFrame(again, "_hash long"))
+    once, more = (batch.join(side, key_hash(key) == F.col("_hash"), how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(first_per_key(more, [key], order))
+
+
+def without_stored(batch: DataFrame, keys: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """Rows of a stored batch whose key is not in ``target``. The target's key
+    column is scanned past the batch's hashes; what passes is compared by key."""
+    many = keys.count() > MAX_BROADCAST_HASHES
+    side = keys.select("_hash").hint("shuffle_hash" if many else "broadcast")
+    stored = target.select(F.col(key).alias("_stored"))
+    known = small_or_stored(stored.join(side, key_hash("_stored") == F.col("_hash"), "left_semi").distinct())
+    # A null key is one key: rows without key are stored once.
+    return batch.join(known, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
+
+
+def plain_key(batch: DataFrame, target: DataFrame, key: str) -> bool:
+    """Whether the keys of both may be compared by the hash of their text."""
+    return batch.schema[key].dataType == target.schema[key].dataType and batch.schema[key].dataType in _PLAIN_KEYS
+
 
 def unseen_rows(batch: DataFrame, target: DataFrame, key: str = "_id",
                 order: Sequence[Column] = ()) -> DataFrame:
@@ -18,10 +63,13 @@ def unseen_rows(batch: DataFrame, target: DataFrame, key: str = "_id",
     batch of ordinary size the target is only scanned (its key column), never
     shuffled.
     """
+    if plain_key(batch, target, key):
+        batch = materialize(batch, "batch")
+        keys = hashed_keys(batch, key)
+        return without_stored(first_of_hashed(batch, keys, key, order), keys, target, key)
     batch = materialize(first_per_key(batch, [key], order), "first")
     keys = small_or_stored(batch.select(F.col(key).alias("_key")))
     stored = target.select(F.col(key).alias("_stored"))
-    # A null key is one key: rows without key are stored once.
     known = small_or_stored(stored.join(keys, F.col("_stored").eqNullSafe(F.col("_key")), "left_semi").distinct())
     return batch.join(known, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
 

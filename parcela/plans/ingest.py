@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,15 +16,34 @@ from ..sources.pages import flatten_listings, flatten_pages
 from ..sources.sinks import existing_table, insert_if_absent
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """Flattened listings with key and clean text."""
+    return rows.withColumn("_id", uuid5_dns("WEB_PROPERTY_CODE")).withColumn("DESCRIPTION", normalize_text("DESCRIPTION"))
+
+
 def prepared(rows: DataFrame, at: Column, embed: bool = True, **embedding) -> DataFrame:
     """Flattened listings with key, clean text, vector and batch stamp."""
-    rows = rows.withColumn("_id", uuid5_dns("WEB_PROPERTY_CODE"))
-    rows = rows.withColumn("DESCRIPTION", normalize_text("DESCRIPTION"))
+    rows = keyed(rows)
     if embed:
         rows = embed_text(rows, "DESCRIPTION", **embedding)
     return stamp_batch(rows, at)
 
 
+def store_listings(rows: DataFrame, target: str, at: Column, order: Sequence[Column], embed: bool = True,
+                   copy: bool = True, **embedding) -> None:
+    """Insert flattened listings that are not stored yet, prepared as by
+    ``prepared``. Vector and stamp are made for the rows that are stored, as these
+    are written. A caller's model runs before the insert, on all cores."""
+    rows = keyed(rows)
+    if embed and embedding.get("make_model") is not None:
+        rows, embed, copy = embed_text(rows, "DESCRIPTION", **embedding), False, True
+
+    def finish(fresh: DataFrame) -> DataFrame:
+        return stamp_batch(embed_text(fresh, "DESCRIPTION", share=False, **embedding) if embed else fresh, at)
+
+    insert_if_absent(rows, target, order=order, finish=finish, copy=copy)
+
+
 def prepare_listings(pages: DataFrame, at: Column, json_col: str = "value", keep: tuple[str, ...] = (), **options) -> DataFrame:
     """Rows ready to be stored, from pages of raw JSON."""
     return prepared(flatten_listings(pages, json_col, keep), at, **options)
@@ -48,7 +67,7 @@ def ingest_listings(pages: DataFrame, requests: DataFrame, target: str, at: Colu
     with scratch_scope(spark):
         flat = materialize(flatten_pages(pages, json_col, keys), "pages")
         rows = flat.filter("is_listing").drop("ok", "page_start", "is_listing", "position")
-        insert_if_absent(prepared(rows.drop(*keys), at, **options), target, order=[F.asc("WEB_PROPERTY_CODE")])
+        store_listings(rows.drop(*keys), target, at, [F.asc("WEB_PROPERTY_CODE")], copy=False, **options)
         states = flat.filter("page_start").select(*keys, "ok")
         signed = materialize(scrape_signature(requests, states, rows, stamp), "signature", lasting=True)
     if signatures is None:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.joins import unseen_rows
+from ..operators.joins import first_of_hashed, hashed_keys, key_hash, plain_key, unseen_rows, without_stored
 from ..session import materialize, scratch_scope
 
 
@@ -43,7 +43,11 @@ def _prefix_column(columns: Sequence[str]) -> str | None:
 
 def key_prefix(key: str, prefix_column: str) -> Column:
     """The key range of a row; null is a key."""
-    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(int(prefix_column.removeprefix(_PREFIX)))).cast("int")
+    return _prefix_of(key_hash(key), prefix_column)
+
+
+def _prefix_of(hashed: Column, prefix_column: str) -> Column:
+    return F.pmod(hashed, F.lit(int(prefix_column.removeprefix(_PREFIX)))).cast("int")
 
 
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
@@ -56,15 +60,17 @@ def keys_in_reach(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """The part of a keyed table that may hold the batch's keys: only the
     partitions of their prefixes are read."""
     column = _prefix_column(target.columns)
-    if column is None:
-        return target
+    return target if column is None else _in_reach(target, column, batch.select(key_prefix(key, column)))
+
+
+def _in_reach(target: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
     # At most as many values as a table has prefixes.
-    wanted = [r[0] for r in batch.select(key_prefix(key, column)).distinct().collect()]
-    return target.filter(F.col(column).isin(wanted))
+    return target.filter(F.col(column).isin([r[0] for r in prefixes.distinct().collect()]))
 
 
 def insert_if_absent(batch: DataFrame, path: str, key: str = "_id", order: Sequence[Column] = (),
-                     partition_by: Sequence[str] = ("OPERATION_TYPE",), prefixes: int = KEY_PREFIXES) -> None:
+                     partition_by: Sequence[str] = ("OPERATION_TYPE",), prefixes: int = KEY_PREFIXES,
+                     finish: Callable[[DataFrame], DataFrame] | None = None, copy: bool = True) -> None:
     """Append the rows whose key is not stored yet; stored rows always win.
 
     The table is partitioned by a hash prefix of the key, so a batch reads the
@@ -72,18 +78,29 @@ def insert_if_absent(batch: DataFrame, path: str, key: str = "_id", order: Seque
     Running the same batch again adds nothing. A table that was stored without
     prefixes is read and continued as it is. The batch is written once to the
     shared folder, since its keys are read before its rows, and the copies are
-    deleted at the end. Read the table with ``read_keyed``.
+    deleted at the end; ``copy`` off says that it reads a stored table anyway.
+    ``finish`` adds columns that follow from the rest of their row. It gets the
+    rows that are stored, after the last shuffle, so wide columns are made once
+    and never moved. Read the table with ``read_keyed``.
     """
     spark = batch.sparkSession
     with scratch_scope(spark):
-        batch = materialize(batch, "batch")
+        batch = materialize(batch, "batch") if copy else batch
         target = existing_table(spark, path, batch)
-        stored = _prefix_column(target.columns) is not None
-        column = _prefix_column(target.columns) or f"{_PREFIX}{prefixes}"
-        fresh = unseen_rows(batch, keys_in_reach(target, batch, key), key, order)
+        stored = _prefix_column(target.columns)
+        column = stored or f"{_PREFIX}{prefixes}"
+        new = not stored and (not target.columns or target.isEmpty())
+        if new or plain_key(batch, target, key):
+            keys = hashed_keys(batch, key)
+            fresh = first_of_hashed(batch, keys, key, order)
+            if not new:
+                reach = _in_reach(target, stored, keys.select(_prefix_of(F.col("_hash"), stored))) if stored else target
+                fresh = without_stored(fresh, keys, reach, key)
+        else:
+            fresh = unseen_rows(batch, keys_in_reach(target, batch, key), key, order)
         by = [c for c in partition_by if c in batch.columns]
-        if stored or not target.columns or target.isEmpty():
+        if stored or new:
             # One file for each prefix and partition.
             fresh = fresh.withColumn(column, key_prefix(key, column)).repartition(column, *by)
             by = [column, *by]
-        append_rows(fresh, path, by)
+        append_rows(finish(fresh) if finish else fresh, path, by)

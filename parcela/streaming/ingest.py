@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.ingest import prepare_listings
+from ..plans.ingest import store_listings
 from ..session import scratch_scope
-from ..sources.sinks import insert_if_absent
+from ..sources.pages import flatten_listings
 
 
 def stream_pages(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -28,8 +28,8 @@ def start_ingest(pages: DataFrame, target: str, checkpoint: str, trigger: dict |
     """
     def insert(batch: DataFrame, batch_id: int) -> None:
         with scratch_scope(batch.sparkSession):
-            rows = prepare_listings(batch, F.current_timestamp(), json_col, **options)
-            insert_if_absent(rows.drop("position"), target, order=[F.asc("WEB_PROPERTY_CODE"), F.asc("LINK")])
+            rows = flatten_listings(batch, json_col).drop("position")
+            store_listings(rows, target, F.current_timestamp(), [F.asc("WEB_PROPERTY_CODE"), F.asc("LINK")], **options)
 
     writer = pages.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -3,8 +3,11 @@ import json
 from pyspark.sql import functions as F
 
 from parcela.fixtures import stored_pages
+from parcela.operators import joins
 from parcela.plans.end_to_end import JobConfig, run_end_to_end
 from parcela.plans.ingest import ingest_listings, prepare_listings
+from parcela.session import materialize
+from parcela.sources import sinks
 from parcela.streaming.ingest import start_ingest, stream_pages
 from test_pages import listing, page
 
@@ -56,3 +59,18 @@ def test_end_to_end(spark, sf, tmp_path):
     assert done.trained.metrics.count() == 2
     assert done.cleaned.filter("PRICE < 0").count() == 0
     assert json.loads(done.signature.toJSON().first())["operation"] == "Arriendo"
+
+
+def test_vectors_are_made_once_as_rows_are_stored(spark, tmp_path, monkeypatch):
+    copies = []
+    for module in (joins, sinks):
+        monkeypatch.setattr(module, "materialize", lambda df, name, **kw: copies.append(df.columns) or materialize(df, name, **kw))
+    pages = [page(listing(id=1), listing(id=2)), page(listing(id=2), listing(id=3, description="otra casa"))]
+    df = spark.createDataFrame([("Arriendo", "Casa", t) for t in pages], "operation string, property string, value string")
+    for _ in range(2):
+        ingest_listings(df, requests(spark), f"{tmp_path}/t", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    assert copies and not any("embedding" in c for c in copies)
+    stored = sinks.read_keyed(spark, f"{tmp_path}/t")
+    expected = prepare_listings(df.limit(2), F.lit("2024-01-01 00:00:00").cast("timestamp")).drop("position").distinct()
+    assert set(stored.columns) == set(expected.columns)
+    assert stored.count() == 3 and stored.select(expected.columns).exceptAll(expected).count() == 0

@@ -79,3 +79,17 @@ def test_insert_continues_a_table_without_prefixes(spark, tmp_path):
     rows.write.partitionBy("OPERATION_TYPE").parquet(path)
     sinks.insert_if_absent(spark.createDataFrame([("a", 9, "x"), ("c", 3, "x")], rows.schema), path)
     assert sorted((r["_id"], r["n"]) for r in sinks.read_keyed(spark, path).collect()) == [("a", 1), ("b", 1), ("c", 3)]
+
+
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_hashes_beyond_the_bounds(spark, monkeypatch, bound):
+    monkeypatch.setattr(joins, "MAX_SMALL_ROWS", bound)
+    monkeypatch.setattr(joins, "MAX_BROADCAST_HASHES", bound)
+    # Keys of one hash are still told apart.
+    monkeypatch.setattr(joins, "key_hash", lambda key: F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(7)))
+    batch = spark.range(60).selectExpr("if(id = 59, null, cast(id % 50 as string)) AS _id", "id AS n")
+    target = spark.range(45, 99).selectExpr("cast(id as string) _id")
+    found = {r["_id"]: r["n"] for r in joins.unseen_rows(batch, target, order=[F.desc("n")]).collect()}
+    assert found == {None: 59} | {str(i): i + 50 if i < 9 else i for i in range(45)}
+    numbers = spark.range(5).selectExpr("cast(id as int) _id")
+    assert joins.unseen_rows(numbers, spark.range(3).selectExpr("id AS _id")).count() == 2
