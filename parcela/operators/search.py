@@ -20,6 +20,8 @@ from ..session import materialize
 QUERIES_PER_PASS = 16_384
 # Scores a task holds in memory at a time.
 SCORES_AT_ONCE = 2_000_000
+# Query copies a pass deals out, one to each task; the tasks are fewer if the queries are many.
+QUERY_COPIES = 1 << 19
 
 
 def similarity(metric: str, vector: Column | str, query: Sequence[float]) -> Column:
@@ -83,6 +85,30 @@ class _BestRows:
         # Between prunings a task holds a few times what it passes on.
         self.most = 4 * k * len(queries)
         self.held: list[pa.Table] = []
+        # Per query the k-th best score at the last pruning: a lower one is of no
+        # use. Queries without k scores yet are open to any.
+        self.least = np.full(len(queries), -np.inf)
+        self.open = np.arange(len(queries))
+
+    def _wanted(self, scores: np.ndarray) -> np.ndarray:
+        """Mask of the scores that may be among the best, ``k`` or fewer per query."""
+        mask = scores >= self.least
+        if np.count_nonzero(mask) > len(self.least):
+            crowded = np.flatnonzero(np.count_nonzero(mask, axis=0) > self.k)
+            mask[:, crowded] = _best_of_block(scores[:, crowded], self.k)
+        if self.open.size:
+            mask[:, self.open] = _best_of_block(scores[:, self.open], self.k)
+        return mask
+
+    def _prune(self) -> None:
+        best = _best_so_far(pa.concat_tables(self.held), self.k)
+        query = best["query"].to_numpy()
+        last = np.searchsorted(query, np.arange(len(self.least)), "right") - 1
+        full = np.bincount(query, minlength=len(self.least)) >= self.k
+        found = best["score"].to_numpy()
+        self.least[full] = np.where(np.isnan(found[last[full]]), -np.inf, found[last[full]])
+        self.open = np.flatnonzero(np.isneginf(self.least))
+        self.held = [best]
 
     def offer(self, ids: pa.Array, vectors: pa.ListArray) -> None:
         for start in range(0, len(ids), self.step):
@@ -92,14 +118,15 @@ class _BestRows:
             flat = vectors.slice(start, self.step).take(order).flatten().to_numpy(zero_copy_only=False)
             matrix = flat.astype(np.float64).reshape(-1, self.queries.shape[1])
             scores = (_unit_rows(matrix) if self.metric == "cosine" else matrix) @ self.queries.T
-            rows, cols = np.nonzero(_best_of_block(scores, self.k))
+            rows, cols = np.divmod(np.flatnonzero(self._wanted(scores)), scores.shape[1])
             found = scores[rows, cols]
+            first = not self.held
             self.held.append(pa.table({
                 "query": pa.array(cols), "id": some.take(pa.array(rows)).cast(self.schema.field(1).type),
                 "score": pa.array(found, type=pa.float64(), mask=np.isnan(found)),
             }))
-            if sum(t.num_rows for t in self.held) > self.most:
-                self.held = [_best_so_far(pa.concat_tables(self.held), self.k)]
+            if first or sum(t.num_rows for t in self.held) > self.most:
+                self._prune()
 
     def batches(self) -> list[pa.RecordBatch]:
         if not self.held:
@@ -146,7 +173,7 @@ def vector_topk_batch(df: DataFrame, queries: DataFrame, k: int = 10, vector: st
     shuffled, and neither queries nor listings visit the driver. Up to
     ``per_pass`` queries take one scan; more take further passes, each storing
     its result. Vectors that are missing or not as wide as the widest query take
-    no part.
+    no part. Every query meets every listing, so the work is that of all pairs.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -160,22 +187,26 @@ def vector_topk_batch(df: DataFrame, queries: DataFrame, k: int = 10, vector: st
     if not number:
         return spark.createDataFrame([], out.add("rank", T.IntegerType()))
     fits = lambda c: F.coalesce(F.size(c) == width, F.lit(False))
+    # Floats stay floats on the way; the tasks reckon in doubles.
+    single = {df.schema[vector].dataType, queries.schema[query_vector].dataType} <= {T.ArrayType(T.FloatType()), T.ArrayType(T.FloatType(), False)}
+    kind = "array<float>" if single else "array<double>"
     asked = queries.filter(fits(query_vector)).select(
         F.lit(0).alias("kind"), F.col(query_id).alias("query"), F.lit(None).cast(out[id_col].dataType).alias("id"),
-        F.col(query_vector).cast("array<double>").alias("vector"))
+        F.col(query_vector).cast(kind).alias("vector"))
     passes = max(1, math.ceil(number / per_pass))
     if passes > 1:
         # Dealt in turn, so that passes are of equal size.
         asked = materialize(asked.repartition(passes).withColumn("pass", F.spark_partition_id()), "queries")
     places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = max(min(places, 2 * spark.sparkContext.defaultParallelism), min(places, QUERY_COPIES // min(number, per_pass)))
     rows = df.filter(fits(vector)).select(
         F.lit(1).alias("kind"), F.lit(None).cast(out[query_id].dataType).alias("query"), F.col(id_col).alias("id"),
-        F.col(vector).cast("array<double>").alias("vector"), F.pmod(F.xxhash64(id_col, vector), F.lit(places)).cast("int").alias("place"))
+        F.col(vector).cast(kind).alias("vector"), F.pmod(F.xxhash64(id_col, vector), F.lit(places)).cast("int").alias("place"))
     order = Window.partitionBy(query_id).orderBy(F.desc_nulls_last("score"), F.asc(id_col))
 
     def one_pass(some: DataFrame) -> DataFrame:
         everywhere = some.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
-        met = everywhere.unionByName(rows).repartition("place").sortWithinPartitions("kind")
+        met = everywhere.unionByName(rows).repartitionById(places, "place").sortWithinPartitions("kind")
         found = met.mapInArrow(_task_topk(k, metric, _arrow_schema(out)), out)
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from plan_text import plan_of
 from pyspark.sql import functions as F
 
 from parcela.operators import embedding, filters, search
@@ -143,3 +144,42 @@ def test_own_embedder_runs_in_batches(spark):
     df = spark.range(30).select("id", F.repeat(F.lit("x"), F.col("id").cast("int")).alias("DESCRIPTION"))
     rows = embedding.embed_text(df, make_model=load).collect()
     assert all(r["embedding"] == [float(r["id"]), 1.0] for r in rows)
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_scores_below_the_best_so_far_are_not_ranked(monkeypatch, copies):
+    ranked, rank = [], search._best_of_block
+    monkeypatch.setattr(search, "SCORES_AT_ONCE", 2000)
+    monkeypatch.setattr(search, "_best_of_block", lambda scores, k: ranked.append(scores.size) or rank(scores, k))
+    rng = np.random.default_rng(9)
+    ids, vectors, queries = rng.permutation(4000), rng.integers(-9, 10, (4000, 5)).astype(float), rng.integers(-9, 10, (20, 5)).astype(float)
+    if copies:
+        vectors[::4], queries[0] = [9, 9, -9, 9, 9], [9, 9, -9, 9, 9]
+    vectors[3], queries[7] = np.nan, 0
+    schema = pa.schema([("query_id", pa.int64()), ("_id", pa.int64()), ("score", pa.float64())])
+    best = search._BestRows(queries, pa.array(range(20)), 6, "dot", schema)
+    best.offer(pa.array(ids), pa.array(vectors.tolist(), pa.list_(pa.float64())))
+    found = pa.Table.from_batches(best.batches(), schema).to_pylist()
+    for i, q in enumerate(queries):
+        scores = np.where(np.isnan(vectors @ q), -np.inf, vectors @ q)
+        order = sorted(range(4000), key=lambda j: (-scores[j], ids[j]))[:6]
+        assert [r["_id"] for r in found if r["query_id"] == i] == [ids[j] for j in order]
+    # The query of zeros ties with every row.
+    assert sum(ranked) < 80_000 * 0.25
+
+
+def test_tasks_are_fewer_if_the_queries_are_many(spark, store, monkeypatch):
+    df, vectors, ids = store
+    qdf = df.filter("size(embedding) = 6").selectExpr("_id AS query_id", "embedding AS query_vector")
+    same = [search.vector_topk_batch(df, qdf, 3).orderBy("query_id", "rank").collect()]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for copies, tasks in ((1, 16), (9000, 30)):
+            monkeypatch.setattr(search, "QUERY_COPIES", copies)
+            found = search.vector_topk_batch(df, qdf, 3)
+            assert f", {tasks})" in plan_of(found) or f"{tasks}), REPARTITION" in plan_of(found)
+            same.append(found.orderBy("query_id", "rank").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert same[0] == same[1] == same[2] and len(same[0]) == 900
