@@ -33,9 +33,11 @@ class JobResult:
 
 
 def run_end_to_end(spark: SparkSession, pages: DataFrame, requests: DataFrame, cfg: JobConfig) -> JobResult:
-    """The stored table is never overwritten: cleaning writes a new copy."""
+    """The stored table is never overwritten: cleaning writes a new copy, which
+    training reads. Vectors aren't copied: ``cleaned`` has them from the table, as
+    it is when the job reads it."""
     signature = ingest_listings(pages, requests, cfg.target, signatures=cfg.signatures,
                                 json_col=cfg.json_col, **cfg.ingest)
-    cleaned = materialize(clean_listings(read_keyed(spark, cfg.target)), "cleaned")
-    trained = train_price_model(cleaned, cfg.kind, **cfg.training)
+    cleaned = clean_listings(read_keyed(spark, cfg.target))
+    trained = train_price_model(materialize(cleaned.drop("embedding"), "cleaned"), cfg.kind, **cfg.training)
     return JobResult(signature, cleaned, trained, save_model(trained, cfg.model_root))

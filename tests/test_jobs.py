@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from parcela.fixtures import stored_pages
 from parcela.operators import joins
+from parcela.plans import end_to_end
 from parcela.plans.end_to_end import JobConfig, run_end_to_end
 from parcela.plans.ingest import ingest_listings, prepare_listings
 from parcela.session import materialize
@@ -74,3 +75,16 @@ def test_vectors_are_made_once_as_rows_are_stored(spark, tmp_path, monkeypatch):
     expected = prepare_listings(df.limit(2), F.lit("2024-01-01 00:00:00").cast("timestamp")).drop("position").distinct()
     assert set(stored.columns) == set(expected.columns)
     assert stored.count() == 3 and stored.select(expected.columns).exceptAll(expected).count() == 0
+
+
+def test_end_to_end_copies_no_vectors(spark, sf, tmp_path, monkeypatch):
+    copies = {}
+    monkeypatch.setattr(end_to_end, "materialize", lambda df, name: copies.setdefault(name, materialize(df, name)))
+    pages = stored_pages(spark, sf).select(F.lit("Arriendo").alias("operation"), F.lit("Casa").alias("property"), "value")
+    cfg = JobConfig(f"{tmp_path}/t", f"{tmp_path}/m", kind="elastic_net", training={"params": {"regParam": 0.1}})
+    done = run_end_to_end(spark, pages, requests(spark), cfg)
+    stored = sinks.read_keyed(spark, cfg.target)
+    assert copies["cleaned"].columns == [c for c in stored.columns if c != "embedding"]
+    assert done.cleaned.columns == stored.columns
+    assert done.cleaned.filter("size(embedding) = 256").count() == copies["cleaned"].count() > 0
+    assert done.cleaned.drop("embedding").exceptAll(copies["cleaned"]).count() == 0
