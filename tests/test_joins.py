@@ -93,3 +93,17 @@ def test_hashes_beyond_the_bounds(spark, monkeypatch, bound):
     assert found == {None: 59} | {str(i): i + 50 if i < 9 else i for i in range(45)}
     numbers = spark.range(5).selectExpr("cast(id as int) _id")
     assert joins.unseen_rows(numbers, spark.range(3).selectExpr("id AS _id")).count() == 2
+
+
+def test_many_keys_do_not_shuffle_the_target(spark, monkeypatch):
+    plans, small = [], joins.small_or_stored
+    monkeypatch.setattr(joins, "small_or_stored", lambda df: plans.append(plan_of(df)) or small(df))
+    batch = spark.range(25_000).selectExpr("cast(id as string) _id")
+    target = spark.range(24_990, 30_000).selectExpr("cast(id as string) _id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert joins.unseen_rows(batch, target).count() == 24_990
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans[-1] and "SortMergeJoin" not in plans[-1]
