@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..session import MAX_SMALL_ROWS, materialize, small_or_stored
 from .cleaning import first_per_key
 
-# Key hashes of a batch that are broadcast: some 100 MB in a task's process.
+# Key hashes of a batch that are broadcast at a time: some 100 MB in a task's process.
 MAX_BROADCAST_HASHES = 1 << 21
+# Broadcasts, one after the other, before the target is shuffled instead.
+MAX_BROADCASTS = 8
 # Types whose equal values have equal texts.
 _PLAIN_KEYS = (T.StringType(), T.LongType(), T.IntegerType())
 
@@ -39,15 +41,33 @@ def first_of_hashed(batch: DataFrame, keys: DataFrame, key: str, order: Sequence
     return once.unionByName(first_per_key(more, [key], order))
 
 
-def without_stored(batch: DataFrame, keys: DataFrame, target: DataFrame, key: str) -> DataFrame:
+def without_stored(batch: DataFrame, keys: DataFrame, target: DataFrame, key: str,
+                   prefix: tuple[str, int] | None = None) -> DataFrame:
     """Rows of a stored batch whose key is not in ``target``. The target's key
-    column is scanned past the batch's hashes; what passes is compared by key."""
-    many = keys.count() > MAX_BROADCAST_HASHES
-    side = keys.select("_hash").hint("shuffle_hash" if many else "broadcast")
-    stored = target.select(F.col(key).alias("_stored"))
-    known = small_or_stored(stored.join(side, key_hash("_stored") == F.col("_hash"), "left_semi").distinct())
-    # A null key is one key: rows without key are stored once.
-    return batch.join(known, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
+    column is scanned past the batch's hashes; what passes is compared by key.
+
+    More hashes than one broadcast may hold go in slices, one after the other.
+    ``prefix``: the target's partition column and the number its key hashes are
+    divided by there; a slice then reads its own partitions only.
+    """
+    n, slices = keys.count(), 1
+    # Powers of two, which divide the usual number of prefixes.
+    while slices * MAX_BROADCAST_HASHES < n and slices <= MAX_BROADCASTS:
+        slices *= 2
+    hashes, parts = keys.select("_hash"), []
+    if slices > MAX_BROADCASTS:
+        parts.append((target, hashes.hint("shuffle_hash")))
+    else:
+        own = prefix is not None and prefix[1] % slices == 0
+        for i in range(slices):
+            rows = target.filter(F.col(prefix[0]) % slices == i) if own and slices > 1 else target
+            parts.append((rows, F.broadcast(hashes.filter(F.pmod("_hash", F.lit(slices)) == i))))
+    for rows, side in parts:
+        stored = rows.select(F.col(key).alias("_stored"))
+        known = small_or_stored(stored.join(side, key_hash("_stored") == F.col("_hash"), "left_semi").distinct())
+        # A null key is one key: rows without key are stored once.
+        batch = batch.join(known, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
+    return batch
 
 
 def plain_key(batch: DataFrame, target: DataFrame, key: str) -> bool:

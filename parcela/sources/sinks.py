@@ -46,8 +46,12 @@ def key_prefix(key: str, prefix_column: str) -> Column:
     return _prefix_of(key_hash(key), prefix_column)
 
 
+def _prefixes(prefix_column: str) -> int:
+    return int(prefix_column.removeprefix(_PREFIX))
+
+
 def _prefix_of(hashed: Column, prefix_column: str) -> Column:
-    return F.pmod(hashed, F.lit(int(prefix_column.removeprefix(_PREFIX)))).cast("int")
+    return F.pmod(hashed, F.lit(_prefixes(prefix_column))).cast("int")
 
 
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
@@ -94,13 +98,15 @@ def insert_if_absent(batch: DataFrame, path: str, key: str = "_id", order: Seque
             keys = hashed_keys(batch, key)
             fresh = first_of_hashed(batch, keys, key, order)
             if not new:
-                reach = _in_reach(target, stored, keys.select(_prefix_of(F.col("_hash"), stored))) if stored else target
-                fresh = without_stored(fresh, keys, reach, key)
+                if stored:
+                    target = _in_reach(target, stored, keys.select(_prefix_of(F.col("_hash"), stored)))
+                fresh = without_stored(fresh, keys, target, key, (stored, _prefixes(stored)) if stored else None)
         else:
             fresh = unseen_rows(batch, keys_in_reach(target, batch, key), key, order)
         by = [c for c in partition_by if c in batch.columns]
         if stored or new:
-            # One file for each prefix and partition.
-            fresh = fresh.withColumn(column, key_prefix(key, column)).repartition(column, *by)
             by = [column, *by]
+            # One file for each prefix and partition. The writer wants its rows in
+            # that order: they are sorted before ``finish`` makes them wide.
+            fresh = fresh.withColumn(column, key_prefix(key, column)).repartition(*by).sortWithinPartitions(*by)
         append_rows(finish(fresh) if finish else fresh, path, by)

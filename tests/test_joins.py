@@ -1,4 +1,5 @@
 import pathlib
+import re
 
 import pytest
 from plan_text import plan_of
@@ -107,3 +108,23 @@ def test_many_keys_do_not_shuffle_the_target(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plans[-1] and "SortMergeJoin" not in plans[-1]
+
+
+@pytest.mark.parametrize("prefixes", [64, 3, None])
+def test_more_hashes_than_a_broadcast_holds_do_not_shuffle_the_target(spark, tmp_path, monkeypatch, prefixes):
+    path = str(tmp_path / "t")
+    rows = spark.range(2000, 6000).selectExpr("if(id = 2000, null, cast(id as string)) _id", "id AS n", "'x' AS OPERATION_TYPE")
+    rows.write.partitionBy("OPERATION_TYPE").parquet(path) if prefixes is None else sinks.insert_if_absent(rows, path, prefixes=prefixes)
+    plans, finished, small = [], [], joins.small_or_stored
+    monkeypatch.setattr(joins, "small_or_stored", lambda df: plans.append((plan_of(df), df._jdf.queryExecution().optimizedPlan().toString())) or small(df))
+    monkeypatch.setattr(joins, "MAX_BROADCAST_HASHES", 1000)
+    batch = spark.range(3000).selectExpr("if(id = 0, null, cast(id as string)) _id", "-id AS n", "'x' AS OPERATION_TYPE")
+    sinks.insert_if_absent(batch, path, finish=lambda df: finished.append(plan_of(df)) or df)
+    assert len(plans) == 4 and all("BroadcastHashJoin" in p and "ShuffledHashJoin" not in p for p, _ in plans)
+    # Each slice reads its own partitions, if the prefixes can be told apart by slices.
+    slices = [re.findall(r"key_prefix_of_64#\d+ % 4\) = (\d)", p) for _, p in plans]
+    assert slices == ([["0"], ["1"], ["2"], ["3"]] if prefixes == 64 else [[]] * 4)
+    assert ("Sort [" in finished[0]) == (prefixes is not None)
+    stored = {r["_id"]: r["n"] for r in sinks.read_keyed(spark, path).collect()}
+    assert sinks.read_keyed(spark, path).count() == len(stored) == 6000
+    assert stored[None] == 2000 and stored["1999"] == -1999 and stored["2001"] == 2001 and "2000" in stored
