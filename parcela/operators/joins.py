@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from ..session import MAX_SMALL_ROWS, materialize, small_or_stored
 from .cleaning import first_per_key
@@ -27,30 +27,34 @@ def hashed_keys(batch: DataFrame, key: str) -> DataFrame:
     return materialize(batch.groupBy(key_hash(key).alias("_hash")).agg(F.count("*").alias("_n")), "keys")
 
 
-def first_of_hashed(batch: DataFrame, keys: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
-    """``first_per_key`` of a stored batch whose ``hashed_keys`` are known. Only
-    rows whose hash occurs again are shuffled, unless those hashes are many; two
-    keys of one hash cost a comparison, no row."""
-    again = keys.filter("_n > 1").select("_hash").limit(MAX_SMALL_ROWS + 1).toArrow()
-    if not again.num_rows:
+def counted(keys: DataFrame, *more: Column) -> Row:
+    """Of ``hashed_keys`` in one job: how many, ``n``, how many with several rows, ``again``, and ``more``."""
+    return keys.agg(F.count("*").alias("n"), F.count_if(F.col("_n") > 1).alias("again"), *more).first()
+
+
+def first_of_hashed(batch: DataFrame, keys: DataFrame, again: int, key: str, order: Sequence[Column] = ()) -> DataFrame:
+    """``first_per_key`` of a stored batch whose ``hashed_keys`` are known, ``again``
+    of them with several rows. Only rows whose hash occurs again are shuffled, unless
+    those hashes are many; two keys of one hash cost a comparison, no row."""
+    if not again:
         return batch
-    if again.num_rows > MAX_SMALL_ROWS:
+    if again > MAX_SMALL_ROWS:
         return first_per_key(batch, [key], order)
-    side = F.broadcast(batch.sparkSession.createDataFrame(again, "_hash long"))
+    side = F.broadcast(keys.filter("_n > 1").select("_hash"))
     once, more = (batch.join(side, key_hash(key) == F.col("_hash"), how) for how in ("left_anti", "left_semi"))
     return once.unionByName(first_per_key(more, [key], order))
 
 
-def without_stored(batch: DataFrame, keys: DataFrame, target: DataFrame, key: str,
+def without_stored(batch: DataFrame, keys: DataFrame, n: int, target: DataFrame, key: str,
                    prefix: tuple[str, int] | None = None) -> DataFrame:
     """Rows of a stored batch whose key is not in ``target``. The target's key
-    column is scanned past the batch's hashes; what passes is compared by key.
+    column is scanned past the batch's ``n`` hashes; what passes is compared by key.
 
     More hashes than one broadcast may hold go in slices, one after the other.
     ``prefix``: the target's partition column and the number its key hashes are
     divided by there; a slice then reads its own partitions only.
     """
-    n, slices = keys.count(), 1
+    slices = 1
     # Powers of two, which divide the usual number of prefixes.
     while slices * MAX_BROADCAST_HASHES < n and slices <= MAX_BROADCASTS:
         slices *= 2
@@ -86,7 +90,8 @@ def unseen_rows(batch: DataFrame, target: DataFrame, key: str = "_id",
     if plain_key(batch, target, key):
         batch = materialize(batch, "batch")
         keys = hashed_keys(batch, key)
-        return without_stored(first_of_hashed(batch, keys, key, order), keys, target, key)
+        found = counted(keys)
+        return without_stored(first_of_hashed(batch, keys, found.again, key, order), keys, found.n, target, key)
     batch = materialize(first_per_key(batch, [key], order), "first")
     keys = small_or_stored(batch.select(F.col(key).alias("_key")))
     stored = target.select(F.col(key).alias("_stored"))

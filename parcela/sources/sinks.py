@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.joins import first_of_hashed, hashed_keys, key_hash, plain_key, unseen_rows, without_stored
+from ..operators.joins import counted, first_of_hashed, hashed_keys, key_hash, plain_key, unseen_rows, without_stored
 from ..session import materialize, scratch_scope
 
 
@@ -64,12 +64,10 @@ def keys_in_reach(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """The part of a keyed table that may hold the batch's keys: only the
     partitions of their prefixes are read."""
     column = _prefix_column(target.columns)
-    return target if column is None else _in_reach(target, column, batch.select(key_prefix(key, column)))
-
-
-def _in_reach(target: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
+    if column is None:
+        return target
     # At most as many values as a table has prefixes.
-    return target.filter(F.col(column).isin([r[0] for r in prefixes.distinct().collect()]))
+    return target.filter(F.col(column).isin([r[0] for r in batch.select(key_prefix(key, column)).distinct().collect()]))
 
 
 def insert_if_absent(batch: DataFrame, path: str, key: str = "_id", order: Sequence[Column] = (),
@@ -96,11 +94,12 @@ def insert_if_absent(batch: DataFrame, path: str, key: str = "_id", order: Seque
         new = not stored and (not target.columns or target.isEmpty())
         if new or plain_key(batch, target, key):
             keys = hashed_keys(batch, key)
-            fresh = first_of_hashed(batch, keys, key, order)
+            found = counted(keys, *([F.collect_set(_prefix_of(F.col("_hash"), stored)).alias("prefixes")] if stored else []))
+            fresh = first_of_hashed(batch, keys, found.again, key, order)
             if not new:
-                if stored:
-                    target = _in_reach(target, stored, keys.select(_prefix_of(F.col("_hash"), stored)))
-                fresh = without_stored(fresh, keys, target, key, (stored, _prefixes(stored)) if stored else None)
+                # At most as many values as a table has prefixes.
+                reach = target.filter(F.col(stored).isin(found.prefixes)) if stored else target
+                fresh = without_stored(fresh, keys, found.n, reach, key, (stored, _prefixes(stored)) if stored else None)
         else:
             fresh = unseen_rows(batch, keys_in_reach(target, batch, key), key, order)
         by = [c for c in partition_by if c in batch.columns]

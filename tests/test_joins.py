@@ -128,3 +128,20 @@ def test_more_hashes_than_a_broadcast_holds_do_not_shuffle_the_target(spark, tmp
     stored = {r["_id"]: r["n"] for r in sinks.read_keyed(spark, path).collect()}
     assert sinks.read_keyed(spark, path).count() == len(stored) == 6000
     assert stored[None] == 2000 and stored["1999"] == -1999 and stored["2001"] == 2001 and "2000" in stored
+
+
+def test_an_insert_counts_its_hashes_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(500).selectExpr("cast(id as string) _id", "id AS n", "'x' AS OPERATION_TYPE")
+    sinks.insert_if_absent(rows, path)
+    batch = spark.range(400, 900).selectExpr("cast(id % 600 as string) _id", "-id AS n", "'x' AS OPERATION_TYPE")
+    spark.sparkContext.setJobGroup("one-insert", "")
+    try:
+        sinks.insert_if_absent(batch, path, order=[F.asc("n")])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-insert"))
+    # Hashes, repeats and prefixes are counted in one job: 13 in all, 16 with a job for each.
+    assert 0 < jobs <= 14
+    stored = {r["_id"]: r["n"] for r in sinks.read_keyed(spark, path).collect()}
+    assert stored == {str(i): i if i < 500 else -i for i in range(600)}
