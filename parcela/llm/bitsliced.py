@@ -20,7 +20,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import materialize
 
 BLOCK_ROWS = 16_384
-QUERY_BLOCK = 512
+# Queries that are worth a task of their own, and tasks per core they are dealt to.
+QUERY_BLOCK = 64
+TASKS_A_CORE = 4
+# Bytes of slices that one task holds; it holds their complements too.
+SPAN_BYTES = 32 << 20
 
 
 def quantised(vector: str = "embedding", scale: int = 64) -> Column:
@@ -152,37 +156,55 @@ def block_topk(query: np.ndarray, both: np.ndarray, bits: int, least: np.ndarray
     return found, total
 
 
-def _tile(k: int):
+class _Block:
+    """A block of the index, ready to be asked."""
+
+    def __init__(self, rows: int, bits: int, ids: bytes, least: bytes, slices: bytes):
+        self.rows, self.bits = rows, bits
+        self.ids, self.least = np.frombuffer(ids, np.int64), np.frombuffer(least, np.int64)
+        raw = np.frombuffer(slices, np.uint8).reshape(len(self.least), bits, -1)
+        padded = np.pad(raw, ((0, 0), (0, 0), (0, -raw.shape[2] % 8)))
+        both = padded.reshape(len(self.least) * bits, -1)
+        self.both = np.concatenate([both, ~both])
+        everyone = np.packbits(np.ones(rows, np.uint8))
+        self.everyone = np.pad(everyone, (0, padded.shape[2] - len(everyone)))
+        # The score of a row, and what is added on the way to it.
+        self.reach = len(self.least) * (int(np.abs(self.least).max(initial=0)) + (1 << bits))
+
+    def topk(self, query_id: int, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the ``k`` best rows that are not the query's own."""
+        query = np.zeros(len(self.least), np.int64)
+        query[:len(values)] = values
+        if self.reach * int(np.abs(query).max(initial=0)) >= 1 << 60:
+            raise ValueError("components are too large: scores leave 64 bits")
+        allowed = self.everyone
+        lo, hi = np.searchsorted(self.ids, [query_id, query_id + 1])
+        if hi > lo:
+            allowed = self.everyone.copy()
+            for r in range(lo, hi):
+                allowed[r >> 3] &= ~np.uint8(128 >> (r & 7))
+        found, score = block_topk(query, self.both, self.bits, self.least, allowed, self.rows, k)
+        return self.ids[found], score
+
+
+def _place(k: int):
+    """A place's rows are its blocks first, then queries, which stream past them:
+    per query the ``k`` best rows of all the blocks go on."""
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[_Block] = []
         for part in parts:
-            for tile in part.itertuples():
-                rows, bits = tile.rows, tile.bits
-                ids, least = np.frombuffer(tile.ids, np.int64), np.frombuffer(tile.least, np.int64)
-                raw = np.frombuffer(tile.slices, np.uint8).reshape(len(least), bits, -1)
-                pad = -raw.shape[2] % 8
-                slices = np.pad(raw, ((0, 0), (0, 0), (0, pad)))
-                both = slices.reshape(len(least) * bits, -1)
-                both = np.concatenate([both, ~both])
-                everyone = np.packbits(np.ones(rows, np.uint8))
-                everyone = np.pad(everyone, (0, slices.shape[2] - len(everyone)))
-                # The score of a row, and what is added on the way to it.
-                reach = len(least) * (int(np.abs(least).max(initial=0)) + (1 << bits))
-                out = []
-                for q, values in zip(tile.query_ids, tile.query_values):
-                    query = np.zeros(len(least), np.int64)
-                    query[:len(values)] = values
-                    if reach * int(np.abs(query).max(initial=0)) >= 1 << 60:
-                        raise ValueError("components are too large: scores leave 64 bits")
-                    allowed = everyone
-                    lo, hi = np.searchsorted(ids, [q, q + 1])
-                    if hi > lo:
-                        allowed = everyone.copy()
-                        for r in range(lo, hi):
-                            allowed[r >> 3] &= ~np.uint8(128 >> (r & 7))
-                    found, score = block_topk(query, both, bits, least, allowed, rows, k)
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[found], "score": score}))
-                if out:
-                    yield pd.concat(out)
+            own = part[part["kind"] == 0]
+            held += [_Block(*b) for b in own[["rows", "bits", "ids", "least", "slices"]].itertuples(index=False)]
+            asked = part[part["kind"] == 1]
+            out = []
+            for q, values in zip(asked["query_id"], asked["query_values"]):
+                found = [block.topk(q, values, k) for block in held]
+                if found:
+                    ids, score = map(np.concatenate, zip(*found))
+                    first = np.lexsort((ids, -score))[:k]
+                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[first], "score": score[first]}))
+            if out:
+                yield pd.concat(out)
     return best
 
 
@@ -192,8 +214,8 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
     to the smaller id: ``query_id``, ``rank``, ``vec_id``, ``score``. A query does
     not find rows of its own id.
 
-    Every block meets every block of queries once, and passes on ``k`` rows per
-    query. Rows whose vector or id is null, or whose vector holds null or
+    A task holds some blocks, and passes on their ``k`` best rows for each query
+    that streams past them. Rows whose vector or id is null, or whose vector holds null or
     non-finite components, take no part. Of query rows with one id the least
     vector is asked; repeated candidate rows all compete. Components that a
     shorter vector lacks count as 0. If scores could leave 64 bits, a ValueError
@@ -204,20 +226,27 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
             "vec_id IS NOT NULL AND values IS NOT NULL")
 
     index, blocks = build_index(usable(vectors), block_rows=block_rows)
-    asked = usable(queries).groupBy("vec_id").agg(F.min("values").alias("values"))
+    asked = materialize(usable(queries).groupBy("vec_id").agg(F.min("values").alias("values")), "queries")
     number = asked.count()
-    groups = max(1, math.ceil(number / query_block))
-    # A group of queries is one row of about query_block vectors.
-    grouped = materialize(
-        asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"))
-        .agg(F.collect_list(F.struct("vec_id", "values")).alias("q"))
-        .select("group", F.col("q.vec_id").alias("query_ids"), F.col("q.values").alias("query_values")), "queries")
-    tiles = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    sides = grouped.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = tiles.join(sides, ["block", "group"]).select("rows", "bits", "ids", "least", "slices", "query_ids", "query_values")
-    # A tile is large work on few rows: one task each, not many in a row.
-    met = met.repartition(min(blocks * groups, 20_000))
-    found = met.mapInPandas(_tile(k), "query_id bigint, vec_id bigint, score bigint")
+    # A span is the blocks that one task holds. Every span meets all queries, dealt
+    # to so many places that the cores are busy but blocks are copied a few times.
+    largest = index.agg(F.max(F.octet_length("slices"))).first()[0] or 1
+    spans = math.ceil(blocks / max(1, SPAN_BYTES // largest))
+    wanted = TASKS_A_CORE * vectors.sparkSession.sparkContext.defaultParallelism
+    dealt = max(1, min(math.ceil(number / query_block), math.ceil(wanted / spans)))
+    first = F.pmod("block", F.lit(spans)) * dealt
+    held = index.withColumn("place", F.explode(F.sequence(first, first + (dealt - 1)))).select(
+        F.lit(0).alias("kind"), "place", "rows", "bits", "ids", "least", "slices", F.lit(0).cast("bigint").alias("query_id"),
+        F.lit(None).cast("array<bigint>").alias("query_values"))
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(dealt)).cast("int")
+    none = F.lit(None).cast("binary")
+    met = asked.withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1)))).select(
+        F.lit(1).alias("kind"), (F.col("span") * dealt + share).alias("place"), F.lit(0).alias("rows"), F.lit(0).alias("bits"),
+        none.alias("ids"), none.alias("least"), none.alias("slices"), F.col("vec_id").alias("query_id"), F.col("values").alias("query_values"))
+    # No join: Spark would take a side for as small as it is before it is copied,
+    # and send the copies to the driver to be broadcast.
+    places = held.unionByName(met).repartitionById(spans * dealt, "place").sortWithinPartitions("kind")
+    found = places.mapInPandas(_place(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plan_text import plan_of
+
 from parcela.llm import bitsliced, crf, decontaminate, lshforest, mixing, quality, sharding, spans, warc, wrapper
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -68,6 +70,21 @@ def test_topk_equals_brute_force(spark):
     assert bitsliced.topk(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_topk_broadcasts_nothing_and_holds_some_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-50, 50, (400, 8)) / 64
+    df = spark.createDataFrame([(i + (1 << 60), v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    sums = np.rint(vectors @ vectors.T * 64 * 64).astype(int)
+    want = [(q + (1 << 60), n + 1, i + (1 << 60), int(sums[q, i])) for q in range(400)
+            for n, i in enumerate([i for i in np.lexsort((np.arange(400), -sums[q])) if i != q][:5])]
+    # Spans of one block, of several, and of all.
+    for most in (1, 300, 1 << 20):
+        monkeypatch.setattr(bitsliced, "SPAN_BYTES", most, raising=False)
+        found = bitsliced.topk(df, df, 5, block_rows=70, query_block=16)
+        assert "Broadcast" not in plan_of(found)
+        assert [tuple(r) for r in found.orderBy("query_id", "rank").collect()] == want
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([("b", ITEM), ("a", ITEM), ("c", "short one"), ("d", None), (None, "nil item"), ("e", "")], "item_id string, text string")
     rows = [(1, "x " + ITEM.upper() + ", y"), (2, "alpha beta gamma"), (3, None), (4, ""), (5, "a short one here, short one"), (6, LONG + " " + ITEM), (1, "other"), (7, "nil item")]
