@@ -75,6 +75,23 @@ def _best_so_far(found: pa.Table, k: int) -> pa.Table:
     return found.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query) < k))
 
 
+def _first_of_equals(matrix: np.ndarray, k: int) -> np.ndarray:
+    """Rows of ``matrix`` without those that have ``k`` equal rows before them."""
+    whole = np.ascontiguousarray(matrix).view(np.dtype((np.void, matrix.itemsize * matrix.shape[1]))).ravel()
+    kind = np.unique(whole, return_inverse=True)[1].ravel()
+    order = np.argsort(kind, kind="stable")
+    nth = np.arange(len(kind)) - np.searchsorted(kind[order], kind[order])
+    return np.sort(order[nth < k])
+
+
+def _pair_scores(rows: np.ndarray, queries: np.ndarray, at: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Products of single pairs. A matrix product's last bits depend on the shape
+    of the block; these do not, so equal vectors tie wherever they are met."""
+    step = max(1, SCORES_AT_ONCE // max(1, rows.shape[1]))
+    parts = [(rows[at[i:i + step]] * queries[asked[i:i + step]]).sum(axis=1) for i in range(0, len(at), step)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 class _BestRows:
     """The ``k`` best rows of each query among the blocks offered so far."""
 
@@ -89,15 +106,26 @@ class _BestRows:
         # use. Queries without k scores yet are open to any.
         self.least = np.full(len(queries), -np.inf)
         self.open = np.arange(len(queries))
+        self.sizes = np.nan_to_num(np.linalg.norm(self.queries, axis=1), posinf=0.0)
 
-    def _wanted(self, scores: np.ndarray) -> np.ndarray:
-        """Mask of the scores that may be among the best, ``k`` or fewer per query."""
-        mask = scores >= self.least
+    def _slack(self, rows: np.ndarray) -> np.ndarray:
+        """Per query, more than a matrix product and ``_pair_scores`` can differ by."""
+        sizes = np.linalg.norm(rows, axis=1)
+        return 4 * np.finfo(float).eps * rows.shape[1] * self.sizes * sizes[np.isfinite(sizes)].max(initial=0.0)
+
+    def _best(self, scores: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        mask = _best_of_block(scores, self.k)
+        return mask | (scores >= np.where(mask, scores, np.inf).min(axis=0) - slack)
+
+    def _wanted(self, scores: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """Mask of the scores that may be among the best, ``k`` per query and what
+        is as good as the last of them."""
+        mask = scores >= self.least - slack
         if np.count_nonzero(mask) > len(self.least):
             crowded = np.flatnonzero(np.count_nonzero(mask, axis=0) > self.k)
-            mask[:, crowded] = _best_of_block(scores[:, crowded], self.k)
+            mask[:, crowded] = self._best(scores[:, crowded], slack[crowded])
         if self.open.size:
-            mask[:, self.open] = _best_of_block(scores[:, self.open], self.k)
+            mask[:, self.open] = self._best(scores[:, self.open], slack[self.open])
         return mask
 
     def _prune(self) -> None:
@@ -117,9 +145,12 @@ class _BestRows:
             some = some.take(order)
             flat = vectors.slice(start, self.step).take(order).flatten().to_numpy(zero_copy_only=False)
             matrix = flat.astype(np.float64).reshape(-1, self.queries.shape[1])
-            scores = (_unit_rows(matrix) if self.metric == "cosine" else matrix) @ self.queries.T
-            rows, cols = np.divmod(np.flatnonzero(self._wanted(scores)), scores.shape[1])
-            found = scores[rows, cols]
+            kept = _first_of_equals(matrix, self.k)
+            some, matrix = some.take(pa.array(kept)), matrix[kept]
+            matrix = _unit_rows(matrix) if self.metric == "cosine" else matrix
+            scores = matrix @ self.queries.T
+            rows, cols = np.divmod(np.flatnonzero(self._wanted(scores, self._slack(matrix))), scores.shape[1])
+            found = _pair_scores(matrix, self.queries, rows, cols)
             first = not self.held
             self.held.append(pa.table({
                 "query": pa.array(cols), "id": some.take(pa.array(rows)).cast(self.schema.field(1).type),
@@ -148,7 +179,8 @@ def _task_topk(k: int, metric: str, schema: pa.Schema) -> Callable:
             if queries.num_rows:
                 asked.append(queries)
             listings = table.filter(pc.equal(table["kind"], 1)).combine_chunks()
-            if not listings.num_rows:
+            # A place that nobody asks about has no queries.
+            if not listings.num_rows or not asked:
                 continue
             if rows is None:
                 known = pa.concat_tables(asked)
@@ -163,6 +195,12 @@ def _task_topk(k: int, metric: str, schema: pa.Schema) -> Callable:
     return best
 
 
+def task_topk(k: int, metric: str, out: T.StructType) -> Callable:
+    """A task's work on rows (kind, query, id, vector, place): queries (kind 0)
+    first, then listings; for ``mapInArrow``."""
+    return _task_topk(k, metric, _arrow_schema(out))
+
+
 def vector_topk_batch(df: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding",
                       id_col: str = "_id", query_id: str = "query_id", query_vector: str = "query_vector",
                       metric: str = "cosine", per_pass: int = QUERIES_PER_PASS) -> DataFrame:
@@ -207,7 +245,7 @@ def vector_topk_batch(df: DataFrame, queries: DataFrame, k: int = 10, vector: st
     def one_pass(some: DataFrame) -> DataFrame:
         everywhere = some.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
         met = everywhere.unionByName(rows).repartitionById(places, "place").sortWithinPartitions("kind")
-        found = met.mapInArrow(_task_topk(k, metric, _arrow_schema(out)), out)
+        found = met.mapInArrow(task_topk(k, metric, out), out)
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     if passes == 1:

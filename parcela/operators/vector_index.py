@@ -10,18 +10,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.vectors import dot, norm
-from ..session import materialize, small_or_stored
-from .search import vector_topk
+from ..session import materialize
+from .search import QUERIES_PER_PASS, task_topk, vector_topk
 
 # Rows the centroids are learnt from, at most about this many.
 SAMPLE_ROWS = 200_000
 CELL = "vector_cell"
+# Tasks per core that a batch of searches is dealt to.
+TASKS_A_CORE = 4
 
 
 def _unit(df: DataFrame, vector: str) -> DataFrame:
@@ -30,7 +33,9 @@ def _unit(df: DataFrame, vector: str) -> DataFrame:
     usable = df.filter(F.col(vector).isNotNull() & finite & (dot(vector, vector) > 0.0))
     # Spark may evaluate this before the filter, so it must take any row.
     scale = F.coalesce(F.try_divide(F.lit(1.0), norm(vector)), F.lit(0.0))
-    return usable.withColumn("_unit", F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)) * scale))
+    # Bound once for a row: inside the inner function it would be worked out for each component.
+    scaled = F.transform(F.array(scale), lambda one: F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)) * one))
+    return usable.withColumn("_unit", scaled[0])
 
 
 def learn_cells(df: DataFrame, path: str, cells: int = 64, vector: str = "embedding",
@@ -80,17 +85,54 @@ def indexed_topk(spark: SparkSession, path: str, query: Sequence[float], k: int
 def indexed_topk_batch(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, probes: int = 8,
                        vector: str = "embedding", id_col: str = "_id", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """``indexed_topk`` for every query: query and row id, ``score`` and ``rank``.
-    A query meets the rows of its cells only, by a join on the cell."""
+    A query meets the rows of its cells only, as matrices in tasks that hold the
+    queries of one cell. Queries that are not as wide as the centroids take no
+    part, nor do those without a direction."""
+    learnt = _centroids(path)
     # As many rows as the index has cells.
-    centroids = F.broadcast(spark.createDataFrame(list(enumerate(_centroids(path))), f"{CELL} int, _c array<double>"))
-    asked = _unit(queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv")), "_qv")
+    centroids = F.broadcast(spark.createDataFrame(list(enumerate(learnt)), f"{CELL} int, _c array<double>"))
+    asked = _unit(queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv")), "_qv").filter(F.size("_qv") == len(learnt[0]))
     gap = dot("_c", "_c") - 2 * dot("_unit", "_c")
     closest = Window.partitionBy("_q").orderBy("_gap", CELL)
-    near = asked.crossJoin(centroids).select("_q", F.col("_unit").alias("_qu"), CELL, gap.alias("_gap"))
+    near = asked.crossJoin(centroids).select("_q", "_qv", CELL, gap.alias("_gap"))
     near = near.withColumn("_nth", F.row_number().over(closest)).filter(F.col("_nth") <= probes).drop("_gap", "_nth")
-    near = small_or_stored(near)
-    rows = stored_rows(spark, path).select(F.col(id_col).alias("_r"), F.col(vector).alias("_v"), CELL)
-    scored = rows.join(near, CELL).select("_q", "_r", F.try_divide(dot("_v", "_qu"), norm("_v")).alias("score"))
-    order = Window.partitionBy("_q").orderBy(F.desc_nulls_last("score"), F.asc("_r"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        F.col("_q").alias(query_id), F.col("_r").alias(id_col), "score", "rank")
+    near = materialize(near, "near")
+    met = {r[CELL]: r["n"] for r in near.groupBy(CELL).agg(F.count("*").alias("n")).collect()}
+    rows = stored_rows(spark, path).filter(F.col(CELL).isin(list(met)))
+    held = {r[CELL]: r["n"] for r in rows.groupBy(CELL).agg(F.count("*").alias("n")).collect()}
+    # Places of a cell follow its pairs, so that no task has much more than others.
+    pairs = sum(n * met[c] for c, n in held.items())
+    wanted = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    dealt, places = [], 0
+    for c, n in held.items():
+        slices = min(n, max(1, round(wanted * n * met[c] / pairs)))
+        dealt.append((c, places, slices))
+        places += slices
+    out = T.StructType([
+        T.StructField(query_id, queries.schema[query_id].dataType),
+        T.StructField(id_col, rows.schema[id_col].dataType),
+        T.StructField("score", T.DoubleType()),
+    ])
+    if not places:
+        return spark.createDataFrame([], out.add("rank", T.IntegerType()))
+    dealt = F.broadcast(spark.createDataFrame(dealt, f"{CELL} int, _first int, _slices int"))
+    single = {rows.schema[vector].dataType, near.schema["_qv"].dataType} <= {T.ArrayType(T.FloatType()), T.ArrayType(T.FloatType(), False)}
+    kind = "array<float>" if single else "array<double>"
+    listed = rows.select(F.col(id_col).alias("_r"), F.col(vector).alias("_v"), CELL).join(dealt, CELL).select(
+        F.lit(1).alias("kind"), F.lit(None).cast(out[query_id].dataType).alias("query"), F.col("_r").alias("id"), F.col("_v").cast(kind).alias("vector"),
+        (F.col("_first") + F.pmod(F.xxhash64("_r", "_v"), F.col("_slices"))).cast("int").alias("place"))
+    passes = max(1, math.ceil(max(met.values()) / QUERIES_PER_PASS))
+    order = Window.partitionBy(query_id).orderBy(F.desc_nulls_last("score"), F.asc(id_col))
+
+    def one_pass(some: DataFrame) -> DataFrame:
+        everywhere = some.join(dealt, CELL).select(
+            F.lit(0).alias("kind"), F.col("_q").alias("query"), F.lit(None).cast(out[id_col].dataType).alias("id"), F.col("_qv").cast(kind).alias("vector"),
+            F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_slices") - 1)).alias("place"))
+        together = everywhere.unionByName(listed).repartitionById(places, "place").sortWithinPartitions("kind")
+        found = together.mapInArrow(task_topk(k, "cosine", out), out)
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    if passes == 1:
+        return one_pass(near)
+    share = F.pmod(F.xxhash64("_q"), F.lit(passes))
+    return reduce(DataFrame.unionAll, [materialize(one_pass(near.filter(share == p)), "topk") for p in range(passes)])

@@ -168,6 +168,23 @@ def test_scores_below_the_best_so_far_are_not_ranked(monkeypatch, copies):
     assert sum(ranked) < 80_000 * 0.25
 
 
+def test_equal_vectors_tie_whatever_the_block(monkeypatch):
+    rng = np.random.default_rng(11)
+    kinds, queries = rng.normal(0, 1, (40, 64)), rng.normal(0, 1, (200, 64))
+    vectors, ids = kinds[np.arange(1200) % 40], rng.permutation(1200)
+    schema = pa.schema([("query_id", pa.int64()), ("_id", pa.int64()), ("score", pa.float64())])
+    found = []
+    for at_once in (200 * 7, 200 * 33, 200 * 1200):
+        monkeypatch.setattr(search, "SCORES_AT_ONCE", at_once)
+        best = search._BestRows(queries, pa.array(range(200)), 10, "cosine", schema)
+        best.offer(pa.array(ids), pa.array(vectors.tolist(), pa.list_(pa.float64())))
+        found.append(pa.Table.from_batches(best.batches(), schema).to_pylist())
+    assert found[0] == found[1] == found[2]
+    for i in range(200):
+        kind = int(np.argmax(kinds / np.linalg.norm(kinds, axis=1, keepdims=True) @ queries[i]))
+        assert [r["_id"] for r in found[0] if r["query_id"] == i] == sorted(ids[kind::40].tolist())[:10]
+
+
 def test_tasks_are_fewer_if_the_queries_are_many(spark, store, monkeypatch):
     df, vectors, ids = store
     qdf = df.filter("size(embedding) = 6").selectExpr("_id AS query_id", "embedding AS query_vector")

@@ -50,6 +50,20 @@ def test_recall_of_many_searches(spark, stored):
     assert len(exact) == 600 and len(found & exact) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("per_pass", [16_384, 25])
+def test_many_searches_are_matrices_not_a_join_of_pairs(spark, stored, monkeypatch, per_pass):
+    monkeypatch.setattr(vector_index, "QUERIES_PER_PASS", per_pass, raising=False)
+    df, path = stored
+    odd = spark.createDataFrame([(5000, None), (5001, [0.0] * 8), (5002, [float("nan")] * 8), (5003, [1.0] * 7)], df.schema)
+    asked = df.filter("_id % 20 = 0").unionByName(odd).selectExpr("_id AS query_id", "embedding AS query_vector")
+    found = vector_index.indexed_topk_batch(spark, path, asked, 10, probes=12)
+    if per_pass > 60:
+        assert plan_of(found).count("MapInArrow") == 1
+    exact = search.vector_topk_batch(df, asked.filter("query_id < 5000"), 10)
+    rows = [tuple(r) for r in found.orderBy("query_id", "rank").collect()]
+    assert rows == [tuple(r) for r in exact.orderBy("query_id", "rank").collect()] and len(rows) == 600
+
+
 def test_five_thousand_queries_take_one_scan(spark):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(i, rng.normal(0, 1, 4).tolist()) for i in range(300)], "_id int, embedding array<double>")
