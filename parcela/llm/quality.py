@@ -83,6 +83,9 @@ def toxic_lexicon(labelled: DataFrame, text: str = "text") -> tuple[frozenset[by
         for part in parts:
             for t, toxic in zip(part["text"], part["toxic"]):
                 own = {w for w in _words(t) if w}
+                # Columns of an empty frame are floats, which Spark does not take for texts.
+                if not own:
+                    continue
                 stems = {w[:STEM] for w in own if len(w) > STEM}
                 yield pd.DataFrame({
                     "term": [w.decode("utf-8", "replace") for x in (own, stems) for w in x],

@@ -397,6 +397,15 @@ def test_toxic_lexicon_has_no_limit(spark):
     assert words == {f"vile{j}x".encode() for j in range(700)} and stems == {w[:5] for w in words if len(w) > 5}
 
 
+@pytest.mark.parametrize("text", [None, "", " \n", "... !"])
+def test_labelled_documents_without_words(spark, text):
+    rows = [(i, f"fine words of text {i}") for i in range(6)] + [(6 + i, "vile words") for i in range(4)] + [(10, text), (11, text)]
+    labels = spark.createDataFrame([(i, 1, int(6 <= i < 11)) for i in range(12)], "doc_id bigint, quality int, toxic int")
+    docs = docs_of(spark, rows)
+    assert quality.toxic_lexicon(docs.join(labels, "doc_id"))[0] == {b"vile"}
+    assert quality.classify(docs, labels).count() == 12
+
+
 def test_mixing(spark, odd):
     docs = spark.range(4000).selectExpr("id AS doc_id", "if(id % 4 = 0, 'a', 'b') AS source")
     weights = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("none", 5.0)], "source string, weight double")
